@@ -44,7 +44,7 @@ def forget(df: DataFrame) -> None:
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
-def small_batches(spark: SparkSession, rows: int = 1024) -> None:
+def small_batches(spark: SparkSession, rows: int = 256) -> None:
     """Long texts go to Python in Arrow batches of few rows."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 

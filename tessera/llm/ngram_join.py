@@ -25,6 +25,8 @@ Null texts count as empty. Repeated rows are copies. An empty table gives an emp
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -38,36 +40,120 @@ BUCKETS = 17
 MOST_MATCHES = 16
 FREQUENT = 2
 ROUNDS = 4
+GAP, SPACE = re.compile(rb"[ \t-\r]*"), re.compile(rb"[ \t-\r]")
 
 
 class Shingler:
-    """Distinct shingle hashes of texts, sorted; words' hashes are remembered while memory lasts."""
-
-    def __init__(self, size: int, memory: int = 400_000):
-        self.size, self.memory, self.known = size, memory, {}
-
-    def __call__(self, text: str | None) -> np.ndarray:
-        words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-        if not words:
-            return np.zeros(0, np.uint64)
-        known = self.known
-        try:
-            h = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
-        except KeyError:
-            if len(known) > self.memory:
-                known.clear()
-            for w in set(words).difference(known):
-                known[w] = xxhash.xxh3_64_intdigest(w)
-            h = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
+    """Distinct shingle hashes of texts, sorted.
+
+    Words are hashed together: with a random 64-bit value per byte, prefix sums of value times
+    power give any word's polynomial hash by one difference, so a megabyte of texts takes a
+    few array operations. Longer texts are hashed a part at a time.
+    """
+
+    PART = 1 << 20
+    GIANT = 1 << 16
+    BASE = 0x9E3779B97F4A7C15
+
+    def __init__(self, size: int):
+        self.size = size
+        self.values = np.random.default_rng(11).integers(1, 2**63, 256, dtype=np.uint64)
+        self.space = np.zeros(256, bool)
+        self.space[[32, *range(9, 14)]] = True
+        with np.errstate(over="ignore"):
+            self.up, self.down = np.full(self.PART + 1, self.BASE, np.uint64), np.full(self.PART + 1, pow(self.BASE, -1, 1 << 64), np.uint64)
+            for powers in (self.up, self.down):
+                powers[0] = 1
+                np.cumprod(powers, out=powers)
+
+    def words(self, data: bytes) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes and starts of the words of at most PART bytes."""
+        c = np.frombuffer(data, np.uint8)
+        gap = self.space[c]
+        edge = np.flatnonzero(gap[1:] != gap[:-1]) + 1
+        if not gap[0]:
+            edge = np.concatenate([[0], edge])
+        if not gap[-1]:
+            edge = np.concatenate([edge, [len(c)]])
+        starts, ends = edge[::2], edge[1::2]
+        with np.errstate(over="ignore"):
+            sums = np.zeros(len(c) + 1, np.uint64)
+            np.cumsum(self.values[c] * self.up[: len(c)], out=sums[1:])
+            h = (sums[ends] - sums[starts]) * self.down[starts]
+            h += (ends - starts).astype(np.uint64)
+        h = mixed(h)
+        for i in np.flatnonzero(ends - starts >= self.GIANT):
+            h[i] = self.giant(data[starts[i] : ends[i]])[0]
+        return h, starts
+
+    def long_words(self, data: bytes) -> np.ndarray:
+        out, at = [], GAP.match(data).end()
+        while at < len(data):
+            end = min(at + self.PART, len(data))
+            if end < len(data):
+                end = max(data.rfind(x, at, end) for x in (b" ", b"\n", b"\t", b"\r", b"\x0b", b"\x0c")) + 1
+            if end:
+                out.append(self.words(data[at:end])[0])
+            else:  # one word fills the part
+                found = SPACE.search(data, at)
+                end = found.start() if found else len(data)
+                out.append(self.giant(data[at:end]))
+            at = GAP.match(data, end).end()
+        return np.concatenate(out) if out else np.zeros(0, np.uint64)
+
+    @staticmethod
+    def giant(word: bytes) -> np.ndarray:
+        return np.array([xxhash.xxh3_64_intdigest(word)], np.uint64)
+
+    def runs(self, h: np.ndarray) -> np.ndarray:
         k = min(self.size, len(h))
         with np.errstate(over="ignore"):
             s = np.zeros(len(h) - k + 1, np.uint64)
             for i in range(k):
-                s = s * np.uint64(0x9E3779B97F4A7C15) + h[i : len(h) - k + 1 + i]
-                s ^= s >> np.uint64(29)
-            s *= np.uint64(0xBF58476D1CE4E5B9)
-            s ^= s >> np.uint64(32)
-        return np.unique(s)
+                s = mixed(s * np.uint64(self.BASE) + h[i : len(h) - k + 1 + i])
+        return s
+
+    def many(self, texts: list[str | None]):
+        """The sets of texts, in order."""
+        held, size = [], 0
+        for text in texts:
+            data = (text or "").encode("utf-8", "surrogatepass").lower()
+            if len(data) > self.PART // 4:
+                yield from self.together(held)
+                held, size = [], 0
+                h = self.long_words(data)
+                yield distinct(self.runs(h)) if len(h) else h
+                continue
+            if size + len(data) + 1 > self.PART:
+                yield from self.together(held)
+                held, size = [], 0
+            held.append(data)
+            size += len(data) + 1
+        yield from self.together(held)
+
+    def together(self, parts: list[bytes]):
+        if not parts:
+            return
+        h, starts = self.words(b"\n".join(parts) + b"\n")
+        ends = np.cumsum([len(x) + 1 for x in parts])
+        last = np.searchsorted(starts, ends)
+        whole = self.runs(h) if len(h) >= self.size else h
+        first = 0
+        for stop in last.tolist():
+            n = stop - first
+            yield distinct(whole[first : stop - self.size + 1] if n >= self.size else self.runs(h[first:stop]) if n else h[:0])
+            first = stop
+
+
+def mixed(x: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        x = (x ^ (x >> np.uint64(32))) * np.uint64(0xBF58476D1CE4E5B9)
+    return x ^ (x >> np.uint64(29))
+
+
+def distinct(x: np.ndarray) -> np.ndarray:
+    x = np.sort(x)
+    return x[np.concatenate([[True], x[1:] != x[:-1]])] if len(x) else x
 
 
 def corpus_levels(texts: DataFrame, size: int) -> np.ndarray:
@@ -76,8 +162,7 @@ def corpus_levels(texts: DataFrame, size: int) -> np.ndarray:
     def run(batches):
         shingler, sums, held, n = Shingler(size), np.zeros(1 << BUCKETS, np.int64), [], 0
         for batch in batches:
-            for t in batch.column(0).to_pylist():
-                s = shingler(t)
+            for s in shingler.many(batch.column(0).to_pylist()):
                 held.append(s >> np.uint64(64 - BUCKETS))
                 n += len(s)
                 if n > 1 << 20:
@@ -104,8 +189,7 @@ def prefixes(rows: DataFrame, size: int, percent: int, levels) -> DataFrame:
         shingler, level, seen = Shingler(size), levels.value, set()
         for batch in batches:
             nodes, ns, ells, qs, lists = [], [], [], [], []
-            for t in batch.column(2).to_pylist():
-                s = shingler(t)
+            for s in shingler.many(batch.column(2).to_pylist()):
                 n = len(s)
                 node = xxhash.xxh3_64_intdigest(s.tobytes()) >> 1 if n else None
                 nodes.append(node)
@@ -175,10 +259,9 @@ def verified(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> Dat
         shingler, at, own = Shingler(size), None, None
         for batch in batches:
             keep = []
-            for a, x, y in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+            for a, x, other in zip(batch.column(0).to_pylist(), batch.column(2), shingler.many(batch.column(3).to_pylist()), strict=True):
                 if a != at:
-                    at, own = a, shingler(x)
-                other = shingler(y)
+                    at, own = a, next(shingler.many([x.as_py()]))
                 both = len(np.intersect1d(own, other, assume_unique=True))
                 keep.append(100 * both >= percent * (len(own) + len(other) - both))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
@@ -216,8 +299,8 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     star = stored(star.groupBy("b").agg(F.max_by("a", "c").alias("a")).select("a", "b"), "trials")
     # A list matters from here on only where it has a node pair that may link.
     wanted = nodes.select("node", F.col("r.id").alias("id"), F.col("r.key").alias("key"))
+    small_batches(spark, 64)
     texts = stored(rows.join(wanted.hint("shuffle_hash"), (rows.id.eqNullSafe(wanted.id)) & (rows.key == wanted.key)).select("node", "text").dropDuplicates(["node"]), "texts")
-    small_batches(spark)
     links = [stored(verified(star, texts, size, percent), "links")]
     forget(star)
 
