@@ -16,7 +16,7 @@ tokens. What lies behind the prefixes bounds the overlap from above (n - prefix)
 pairs before any text is read.
 
 Linking. Copies in groups would give all pairs, so links are found in rounds: in a token's list
-each class is tried against one hub, the best trial of each node is verified on whole texts, and
+each node is tried against a few hubs of other classes, possible trials are verified on whole texts, and
 classes merge. When no trial helps, every pair of the lists that still hold two classes or more is
 counted, bounded and verified. Pairs inside one class change no class and are never made.
 
@@ -40,6 +40,7 @@ BUCKETS = 17
 MOST_MATCHES = 16
 FREQUENT = 2
 ROUNDS = 4
+HUBS = 6
 GAP, SPACE = re.compile(rb"[ \t-\r]*"), re.compile(rb"[ \t-\r]")
 
 
@@ -217,10 +218,10 @@ def prefixes(rows: DataFrame, size: int, percent: int, levels) -> DataFrame:
 
 
 def shared_lists(batches):
-    """Rows (token, node) in order -> (token, node, hub) of the tokens with two nodes or more; hub is the smallest."""
-    last, hub, told = None, None, False
+    """Rows (token, node, short) in order -> (token, node, short, hub) of the tokens with two nodes or more; hub is the smallest."""
+    last, hub, told, tail, held = None, None, False, None, False
     for batch in batches:
-        t, v = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+        t, v, f = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
         if not len(t):
             continue
         new = np.empty(len(t), bool)
@@ -238,11 +239,13 @@ def shared_lists(batches):
         if not new[0] and told:
             many[0] = True
         keep = many[run] & fresh
-        out_t, out_v, out_h = t[keep], v[keep], mine[keep]
+        out_t, out_v, out_f, out_h = t[keep], v[keep], f[keep], mine[keep]
         if not new[0] and not told and many[0]:
-            out_t, out_v, out_h = np.append(out_t, last), np.append(out_v, hub), np.append(out_h, hub)
+            out_t, out_v, out_f, out_h = np.append(out_t, last), np.append(out_v, hub), np.append(out_f, held), np.append(out_h, hub)
+        # The short prefix flag of the run's first row, for when the run goes on in the next batch.
+        held = f[first[-1]] if len(first) else held
         last, hub, told, tail = t[-1], mine[-1], bool(many[-1]), v[-1]
-        yield pa.RecordBatch.from_arrays([pa.array(out_t), pa.array(out_v), pa.array(out_h)], names=["token", "node", "hub"])
+        yield pa.RecordBatch.from_arrays([pa.array(out_t), pa.array(out_v), pa.array(out_f), pa.array(out_h)], names=["token", "node", "short", "hub"])
 
 
 def possible(percent: int):
@@ -284,11 +287,12 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     made = stored(prefixes(rows, size, percent, levels), "prefixes")
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "65536")
     # One document, with its text's key, stands for each set. Sets in no list need no more than that.
-    postings = made.where(F.col("prefix").isNotNull()).select(F.explode("prefix").alias("token"), "node")
-    lists = stored(postings.repartition("token").sortWithinPartitions("token", "node").mapInArrow(shared_lists, "token long, node long, hub long"), "lists")
+    postings = made.where(F.col("prefix").isNotNull()).select(F.posexplode("prefix").alias("at", "token"), "node", (F.col("n") - F.ceil(F.col("n") * F.lit(2.0 * percent / (100 + percent)) - 1e-9) + F.col("ell")).alias("own"))
+    postings = postings.select("token", "node", (F.col("at") < F.col("own")).alias("short"))
+    lists = stored(postings.repartition("token").sortWithinPartitions("token", "node").mapInArrow(shared_lists, "token long, node long, short boolean, hub long"), "lists")
     listed = lists.select("node").distinct()
     nodes = stored(
-        made.where("ell > 0").groupBy("node").agg(F.min("n").alias("n"), F.min("ell").alias("ell"), F.min("q").alias("q"), F.min(F.struct("id", "key")).alias("r")).join(listed, "node", "left_semi"),
+        made.where("ell > 0").groupBy("node").agg(F.min("n").alias("n"), F.min("ell").alias("ell"), F.min("q").alias("q"), F.min(F.struct("id", "key")).alias("r"), F.min("prefix").alias("prefix")).join(listed, "node", "left_semi"),
         "nodes",
     )
     sides = nodes.select("node", "n", "ell", "q")
@@ -300,7 +304,8 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     # A list matters from here on only where it has a node pair that may link.
     wanted = nodes.select("node", F.col("r.id").alias("id"), F.col("r.key").alias("key"))
     small_batches(spark, 64)
-    texts = stored(rows.join(wanted.hint("shuffle_hash"), (rows.id.eqNullSafe(wanted.id)) & (rows.key == wanted.key)).select("node", "text").dropDuplicates(["node"]), "texts")
+    one = rows.select(F.xxhash64("id", "key").alias("row"), "text").join(wanted.select("node", F.xxhash64("id", "key").alias("row")).hint("shuffle_hash"), "row")
+    texts = stored(one.dropDuplicates(["row"]).select("node", "text"), "texts")
     links = [stored(verified(star, texts, size, percent), "links")]
     forget(star)
 
@@ -314,23 +319,30 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         still = named.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo != hi").select("token")
         return stored(named.join(still, "token"), "open")
 
-    left = open_lists(lists.select("token", "node"))
+    left = open_lists(lists.select("token", "node", "short"))
     forget(lists)
     for turn in range(ROUNDS):
-        hubs = left.groupBy("token").agg(F.min_by(F.struct("node", "comp"), F.xxhash64("node", F.lit(turn))).alias("h"))
-        trials = left.join(hubs, "token").where("comp != h.comp").groupBy(F.col("h.node").alias("a"), F.col("node").alias("b")).agg(F.count(F.lit(1)).alias("c"))
-        # c counts only the lists whose hub is a, so the bound is not exact here: it only orders and thins trials.
-        best = tried(trials).groupBy("b").agg(F.max_by("a", "c").alias("a")).select("a", "b")
-        found = stored(verified(best, texts, size, percent), "links")
+        hubs = left.groupBy("token").agg(*(F.min_by(F.struct("node", "comp"), F.xxhash64("node", F.lit(turn * HUBS + i))).alias(f"h{i}") for i in range(HUBS)))
+        hubs = hubs.select("token", F.explode(F.array_distinct(F.array(*(f"h{i}" for i in range(HUBS))))).alias("h"))
+        trials = left.join(hubs, "token").where("comp != h.comp").groupBy(F.least("h.node", "node").alias("a"), F.greatest("h.node", "node").alias("b")).agg(F.count(F.lit(1)).alias("c"))
+        # c counts only the lists that have this hub, so the bound is not exact here: it only thins the trials.
+        found = stored(verified(tried(trials).select("a", "b"), texts, size, percent), "links")
         if found.isEmpty():
             break
         links = [stored((links[0] if len(links) == 1 else links[0].union(links[1])).union(found), "links")]
         after = open_lists(left)
         forget(left)
         left = after
-    x, y = (left.select("token", F.col("node").alias(k), F.col("comp").alias(f"comp_{k}")) for k in "ab")
-    pairs = x.join(y, "token").where("comp_a < comp_b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("c"))
-    links.append(stored(verified(tried(pairs).select("a", "b"), texts, size, percent), "links"))
+    sized = left.join(sides.select("node", "n"), "node")
+    x, y = (sized.select("token", F.col("node").alias(k), F.col("comp").alias(f"comp_{k}"), F.col("n").alias(f"m_{k}"), F.col("short").alias(f"short_{k}")) for k in "ab")
+    shorter = F.when(F.struct("m_a", "a") < F.struct("m_b", "b"), F.col("short_a")).otherwise(F.col("short_b"))
+    near = F.least("m_a", "m_b") * 100 >= F.greatest("m_a", "m_b") * percent
+    pairs = x.join(y, "token").where((F.col("comp_a") < F.col("comp_b")) & shorter & near).groupBy("a", "b").agg(F.count(F.lit(1)).alias("c"))
+    pairs = pairs.join(side("a"), "a").join(side("b"), "b").where(F.col("c") >= F.least("ell_a", "ell_b")).drop("c")
+    # The whole prefixes of what is left give the count for the bound.
+    lists_of = lambda k: nodes.select(F.col("node").alias(k), F.col("prefix").alias(f"prefix_{k}"))
+    pairs = pairs.join(lists_of("a"), "a").join(lists_of("b"), "b").withColumn("c", F.size(F.array_intersect("prefix_a", "prefix_b"))).where(possible(percent))
+    links.append(stored(verified(pairs.select("a", "b"), texts, size, percent), "links"))
     forget(texts)
 
     label = components(links[0].union(links[1]))
