@@ -5,10 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, decontaminate, language, line_dedup, ngram_join, token_counts
+from tessera.llm import bpe, decontaminate, html_text, language, line_dedup, near_vectors, ngram_join, quality, suffix_dedup, token_counts
 from tessera.llm.base import table
 
 
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang", "n_chars")
+    model = quality.fit(docs, table(spark, sf_dir, "labels"))
+    return quality.score(docs, model).select("doc_id", "score", "quality_pred", "text_score", "meta_score", "keep")
+
+
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return token_counts.count_tokens(docs, "byte_bpe_50k.json").drop("text")
@@ -31,6 +37,18 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_removed_lines", F.md5(F.coalesce("text", F.lit(""))).alias("kept_md5"))
 
 
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.main_text(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
+def op8_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors.near_duplicates(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
 def op9_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return bpe.encode_decode(docs, "word_bpe_49k.json").drop("text")
@@ -41,7 +59,7 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_token_counts, op3_language_id, op4_benchmark_decontamination, op5_line_dedup, op9_bpe_codec, op10_ngram_join)}
+    return {f.__name__: f for f in (op1_quality, op2_token_counts, op3_language_id, op4_benchmark_decontamination, op5_line_dedup, op6_suffix_dedup, op7_html_text, op8_near_vectors, op9_bpe_codec, op10_ngram_join)}
 
 
 LINES_SQL = r"""
@@ -83,5 +101,16 @@ SELECT doc_id, item_id, round(max(sim), 6) AS similarity, arg_min(start, (-sim,
 """
 
 
+#: All pairs; components by spreading the smallest id.
+VECTORS_SQL = """
+WITH RECURSIVE v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings),
+links AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id AND list_cosine_similarity(a.e, b.e) >= 0.95),
+reach(a, b) AS (SELECT a, b FROM links UNION SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a),
+low AS (SELECT a, min(b) AS m FROM reach GROUP BY a)
+SELECT vec_id, (SELECT count(*) FROM links WHERE links.a = v.vec_id)::BIGINT AS n_links, least(vec_id, coalesce(m, vec_id)) AS component_id,
+  vec_id = least(vec_id, coalesce(m, vec_id)) AS kept
+FROM v LEFT JOIN low ON low.a = v.vec_id
+"""
+
 def oracle_sql() -> dict[str, str]:
-    return {"op4_benchmark_decontamination": LEAKS_SQL, "op5_line_dedup": LINES_SQL}
+    return {"op4_benchmark_decontamination": LEAKS_SQL, "op5_line_dedup": LINES_SQL, "op8_near_vectors": VECTORS_SQL}
