@@ -14,7 +14,8 @@ verified by the exact similarity.
 DataFrame functions only. The item table is broadcast if its shingles number less than
 BROADCAST_ROWS; else joins shuffle. A document's text moves once.
 
-Null or wordless texts and items match nothing. An item shorter than a shingle is one shingle. In a text shorter
+Null or wordless texts and items match nothing. A text shorter than a shingle is one
+shingle, so an item of so few words matches only a text of just these words. In a text shorter
 than the item the window is the whole text. Items of equal text each count. Rows equal in id and text are
 one document.
 """
