@@ -4,7 +4,8 @@ Similarity of a window and an item: weighted Jaccard of their `size`-word shingl
 weighing as often as it occurs. A window at threshold t shares a shingle with the item, so only
 windows around a shared shingle are fingerprinted; with m shingles on both sides the shared ones
 lie on diagonals (place in document less place in item) that differ by (1 - t) / (1 + t) * m at most, and
-the best window starts on or between them. All windows of the item's length there are taken.
+the best window starts on or between them. All windows of the item's length there are taken in which enough places hold
+a shingle of the item.
 
 Their 64-bit SimHashes meet the items' in a multi-index: 64 bits are cut into radius + 1 blocks,
 so fingerprints within the radius have an equal block. At t = 0.8 a bit differs with
@@ -75,10 +76,14 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
     rows = docs.select(F.col(doc_id).alias("id"), F.xxhash64(F.col(text)).alias("key"), words_of(text).alias("w"))
     places = rows.select("id", "key", F.size("w").alias("n"), F.posexplode(shingles_of("w", size)).alias("at", "h"))
     wide = (1 - threshold) / (1 + threshold)
-    index = items.select("item_id", "length", F.ceil(F.col("m") * wide).cast("int").alias("e"), F.posexplode("s").alias("q", "h"))
-    hits = places.join(sent(index), "h").select("id", "key", "item_id", F.expr("sequence(greatest(0, least(at - q - e, n - length)), greatest(0, least(at - q + e, n - length)))").alias("starts"))
-    starts = hits.select("id", "key", "item_id", F.explode("starts").alias("start")).distinct()
-    near = starts.groupBy("id", "key").agg(F.collect_list(F.struct("item_id", "start")).alias("windows")).select(F.col("id").alias("i"), F.col("key").alias("k"), "windows")
+    index = items.select("item_id", "length", "m", F.ceil(F.col("m") * wide).cast("int").alias("e"), F.posexplode("s").alias("q", "h"))
+    hits = places.join(sent(index), "h").groupBy("id", "key", "item_id", "n", "length", "m", "e").agg(F.collect_set("at").alias("places"), F.collect_set(F.col("at") - F.col("q")).alias("diagonals"))
+    # A window at the threshold holds at least threshold * m places with a shingle of the item.
+    least = F.ceil(F.col("m") * threshold - 1e-9)
+    hits = hits.where(F.size("places") >= least)
+    around = F.expr("array_distinct(flatten(transform(diagonals, d -> sequence(greatest(0, least(d - e, n - length)), greatest(0, least(d + e, n - length))))))")
+    full = F.filter(around, lambda s: F.size(F.filter("places", lambda p: (p >= s) & (p < s + F.col("m")))) >= least)
+    starts = hits.select("id", "key", "item_id", F.explode(full).alias("start"))
     # The texts with windows, each once.
     texts = docs.select(F.col(doc_id).alias("id"), F.xxhash64(F.col(text)).alias("key"), F.col(text).alias("t")).join(near.hint("shuffle_hash"), F.col("id").eqNullSafe(F.col("i")) & (F.col("key") == F.col("k")))
     texts = texts.select("id", "key", "windows", words_of("t").alias("w")).select("id", "key", "windows", shingles_of("w", size).alias("s"))
