@@ -55,7 +55,7 @@ def shown(value, physical: str) -> str | None:
     if isinstance(value, bool):
         return str(value).lower()
     if isinstance(value, float):
-        return f"{value:.4f}"
+        return f"{value + 0.0:.4f}"  # writers store a least value of zero as -0.0
     if isinstance(value, bytes):
         if physical != "BYTE_ARRAY":
             return value[:20].hex()
