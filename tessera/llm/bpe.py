@@ -109,9 +109,29 @@ class Vocabulary:
 
     def merged(self, symbols: list[int]) -> list[int]:
         """All merges applied: the lowest rank first, of equal ranks the leftmost."""
+        return self._few(symbols) if len(symbols) <= 24 else self._many(symbols)
+
+    def _few(self, symbols: list[int]) -> list[int]:
+        """By looking over all pairs for each merge, which is the faster way for a word."""
+        ids, find = list(symbols), self.merges.get
+        pairs = [find(p) for p in zip(ids, ids[1:], strict=False)]
+        while True:
+            best, at = None, -1
+            for i, m in enumerate(pairs):
+                if m is not None and (best is None or m[0] < best):
+                    best, at = m[0], i
+            if at < 0:
+                return ids
+            ids[at : at + 2] = [pairs[at][1]]
+            del pairs[at]
+            if at:
+                pairs[at - 1] = find((ids[at - 1], ids[at]))
+            if at < len(pairs):
+                pairs[at] = find((ids[at], ids[at + 1]))
+
+    def _many(self, symbols: list[int]) -> list[int]:
+        """By a heap of the pairs that can merge."""
         n = len(symbols)
-        if n < 2:
-            return symbols
         ids, after, before = list(symbols), [*range(1, n), -1], [*range(-1, n - 1)]
         heap = [(self.merges[p][0], i, p) for i, p in enumerate(zip(ids, ids[1:], strict=False)) if p in self.merges]
         heapq.heapify(heap)
@@ -138,10 +158,16 @@ class Transducer:
         self.v, self.window = vocabulary, max(64, 4 * vocabulary.lookahead)
         self.pending: list[int] = []
 
-    def push(self, byte: int):
-        self.pending.append(byte)
-        if len(self.pending) > self.window:
-            yield from self._stable()
+    def push(self, data: bytes) -> list[int]:
+        """The tokens that are stable once data is read; no more than a window's bytes are held."""
+        out, at = [], 0
+        while at < len(data):
+            more = data[at : at + self.window + 1 - len(self.pending)]
+            self.pending.extend(more)
+            at += len(more)
+            if len(self.pending) > self.window:
+                out.extend(self._stable())
+        return out
 
     def _stable(self):
         """Tokens that start at least the lookahead before the window's end, whose last byte may be any."""
@@ -155,10 +181,12 @@ class Transducer:
             done += size
         del self.pending[:done]
 
-    def close(self):
-        if self.pending:
-            yield from self.v.merged([*(self.v.inner[b] for b in self.pending[:-1]), self.v.last[self.pending[-1]]])
-            self.pending.clear()
+    def close(self) -> list[int]:
+        if not self.pending:
+            return []
+        out = self.v.merged([*(self.v.inner[b] for b in self.pending[:-1]), self.v.last[self.pending[-1]]])
+        self.pending.clear()
+        return out
 
 
 class Decoder:
@@ -182,10 +210,10 @@ class Decoder:
 class Codec:
     """Whole texts to ids and back, with a bounded memory of short words."""
 
-    def __init__(self, path: str, memory: int = 200_000):
+    def __init__(self, path: str, memory: int = 400_000):
         self.v = Vocabulary(path)
         self.special = regex.compile("(" + "|".join(regex.escape(s) for s in sorted(self.v.special, key=len, reverse=True)) + ")")
-        self.memory, self.known = memory, {}
+        self.memory, self.known, self.moving = memory, {}, Transducer(self.v)
 
     def words(self, text: str) -> list[str]:
         return [w for w in regex.split(f"[{SPACE}]+", text) if w] if ODD.search(text) else text.split()
@@ -193,7 +221,7 @@ class Codec:
     def encode_word(self, word: str) -> list[int]:
         """Ids of a run without white space."""
         ids: list[int] = []
-        for part in self.special.split(word):
+        for part in self.special.split(word) if self.special.search(word) else (word,):
             if part in self.v.special:
                 ids.append(self.v.special[part])
                 continue
@@ -201,10 +229,9 @@ class Codec:
                 # Each letter is lowered by itself: no rule for a sigma at a word's end.
                 part = unicodedata.normalize("NFC", part).replace("Σ", "σ")
             for m in self.v.pattern.finditer(part.lower()):
-                moving = Transducer(self.v)
-                for byte in m.group().encode("utf-8", "replace"):
-                    ids.extend(moving.push(byte))
-                ids.extend(moving.close())
+                self.moving.pending.clear()
+                ids += self.moving.push(m.group().encode("utf-8", "replace"))
+                ids += self.moving.close()
         return ids
 
     def entry(self, word: str) -> tuple[int, str, str]:

@@ -94,9 +94,11 @@ def test_transducer_keeps_a_bounded_window():
     v = bpe.Vocabulary(public_tokenizers.path("word_bpe_49k.json"))
     moving, most, n = bpe.Transducer(v), 0, 0
     for i in range(20_000):
-        n += len(list(moving.push(97 + i * 7 % 26)))
+        n += len(moving.push(bytes([97 + i * 7 % 26])))
         most = max(most, len(moving.pending))
     assert most <= moving.window + 1 and n > 1000
+    symbols = [v.inner[97 + i * 7 % 26] for i in range(20)]
+    assert all(v._few(symbols[i:j]) == v._many(symbols[i:j]) for i in range(20) for j in range(i + 2, 21))
 
 
 def test_language(spark):
