@@ -36,6 +36,7 @@ BITS = 20
 HOLD = 8
 MARGIN = 0.5
 PART = 1 << 20
+RUN = 100_000
 SCALES = [2.0**-k for k in range(0, 9)]
 LETTERS = re.compile(r"[^\W\d_]+")
 START, END = 2, 3
@@ -161,24 +162,34 @@ class Model:
     def score(self, words: list[str]) -> np.ndarray:
         """Log-likelihood of each word by language."""
         out = np.zeros((len(words), len(self.langs)))
-        parts = list(grams(words))
+        # Each distinct hash is looked up once for all its places, in ascending order.
+        rows = list(grams(words))
+        parts = [(n, at, distinct(gram), distinct(ctx)) for n, at, gram, ctx, _, _, _ in rows]
         total = parts[0][1][-1] + 1
         for k in range(len(self.langs)):
             logs = np.full(total, self.base[k], np.float64)
-            for n, at, gram, ctx, _, _, _ in parts:
+            for n, at, (gram, g), (ctx, c) in parts:
                 keys, values = self.grams[k][n - 1]
                 cs, lefts = self.ctxs[k][n - 1]
                 if not len(keys):
                     continue
-                gram, ctx = gram.astype(np.int64), ctx.astype(np.int64)
                 i = np.minimum(np.searchsorted(keys, gram), len(keys) - 1)
                 j = np.minimum(np.searchsorted(cs, ctx), len(cs) - 1)
-                logs[at] = np.where(keys[i] == gram, values[i], np.where(cs[j] == ctx, lefts[j], 0) + logs[at])
-            first = parts[0]
-            out[:, k] = np.bincount(first[5], logs[first[1]], len(words))
+                known, left = keys[i] == gram, np.where(cs[j] == ctx, lefts[j], 0)
+                logs[at] = np.where(known[g], values[i][g], left[c] + logs[at])
+            out[:, k] = np.bincount(rows[0][5], logs[rows[0][1]], len(words))
         return out
 
 
+def distinct(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct hashes of BITS bits in ascending order, and the place of each hash among them."""
+    at = hashes.astype(np.int64)
+    seen = np.zeros(1 << BITS, bool)
+    seen[at] = True
+    place = np.cumsum(seen, dtype=np.int32) - 1
+    return np.flatnonzero(seen), place[at]
+
+
 class Scorer:
     """Sums of word scores, each word's remembered while memory lasts."""
 
@@ -192,32 +203,36 @@ class Scorer:
     def sums(self, texts: list[str]) -> np.ndarray:
         """Per text: log-likelihood by language, then the number of characters predicted."""
         out = np.zeros((len(texts), len(self.m.langs) + 1))
+        words, owners, sizes = [], [], []
         for i, text in enumerate(texts):
-            for words in words_of(text):
-                if not words:
-                    continue
-                new = list(set(words).difference(self.rows))
-                if len(self.rows) + len(new) > self.memory:
-                    self.clear()
-                    new = list(set(words))
-                if new:
-                    n = len(self.rows)
-                    while n + len(new) > len(self.values):
-                        self.values = np.concatenate([self.values, np.zeros_like(self.values)])
-                    self.values[n : n + len(new), :-1] = self.m.score(new)
-                    self.values[n : n + len(new), -1] = [len(w) + 1 for w in new]
-                    self.rows.update(zip(new, range(n, n + len(new)), strict=True))
-                at = np.fromiter(map(self.rows.__getitem__, words), np.int64, len(words))
-                out[i] += self.values[at].sum(0)
+            for part in words_of(text):
+                words += part
+                owners.append(i)
+                sizes.append(len(part))
+                if len(words) >= RUN:
+                    self.add(out, words, np.repeat(owners, sizes))
+                    words, owners, sizes = [], [], []
+        self.add(out, words, np.repeat(owners, sizes))
         return out
 
-    def warm(self, texts: list[str]):
-        """Score the new words of many texts at once."""
-        seen: set[str] = set()
-        for text in texts:
-            for words in words_of(text):
-                seen.update(words)
-        self.sums([" ".join(seen)])
+    def add(self, out: np.ndarray, words: list[str], owner: np.ndarray):
+        """Add to row owner[i] of out what word i scores; unknown words are scored together."""
+        if not words:
+            return
+        new = list(set(words).difference(self.rows))
+        if len(self.rows) + len(new) > self.memory:
+            self.clear()
+            new = list(set(words))
+        if new:
+            n = len(self.rows)
+            while n + len(new) > len(self.values):
+                self.values = np.concatenate([self.values, np.zeros_like(self.values)])
+            self.values[n : n + len(new), :-1] = self.m.score(new)
+            self.values[n : n + len(new), -1] = [len(w) + 1 for w in new]
+            self.rows.update(zip(new, range(n, n + len(new)), strict=True))
+        at = np.fromiter(map(self.rows.__getitem__, words), np.int64, len(words))
+        for c in range(out.shape[1]):
+            out[:, c] += np.bincount(owner, self.values[at, c], len(out))
 
 
 def decided(model: Model, sums: np.ndarray):
@@ -288,7 +303,7 @@ def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
 
         def work(batch: pa.RecordBatch) -> list[pa.Array]:
             texts = [t or "" for t in batch.column(at).to_pylist()]
-            best, score, entropy = (np.concatenate(x) for x in zip(*(decided(m, chunk_sums(scorer, texts[i : i + 256])) for i in range(0, len(texts), 256)), strict=True)) if texts else (np.array([]),) * 3
+            best, score, entropy = (np.concatenate(x) for x in zip(*(decided(m, scorer.sums(texts[i : i + 256])) for i in range(0, len(texts), 256)), strict=True)) if texts else (np.array([]),) * 3
             over = [bool(k < 0 or e > m.bound[k]) for k, e in zip(best, entropy, strict=True)]
             return [pa.array([m.langs[k] if k >= 0 else "und" for k in best.astype(int)], pa.string()), pa.array(score, pa.float64()), pa.array(entropy, pa.float64(), from_pandas=True), pa.array(over, pa.bool_())]
 
@@ -297,12 +312,6 @@ def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     return append_columns(docs, FIELDS, make)
 
 
-def chunk_sums(scorer: Scorer, texts: list[str]) -> np.ndarray:
-    if scorer.m.langs and sum(map(len, texts)) <= PART:
-        scorer.warm(texts)
-    return scorer.sums(texts) if scorer.m.langs else np.array([[0.0]] * len(texts))
-
-
 def held_out(doc_id: str = "doc_id"):
     """Documents that never train: crc32 of the id as text has remainder 1 by 3."""
     return F.crc32(F.col(doc_id).cast("string")) % 3 == 1
