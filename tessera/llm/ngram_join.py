@@ -13,12 +13,15 @@ Prefixes. With n tokens and alpha = ceil(t n), a partner shares alpha tokens at
 first n - alpha + l tokens of both, l are shared. l is 1 plus the number of frequent tokens in
 the basic prefix (the estimated candidate cost), and MOST_MATCHES at most; a pair must share min(l) prefix
 tokens. What lies behind the prefixes bounds the overlap from above (n - prefix), which discards most
-pairs before any text is read.
+pairs before any text is read. A set's parity bits bound the difference of two sets from below (each differing bit
+is a differing token at least), which discards most of the rest.
 
 Linking. Copies in groups would give all pairs, so links are found in rounds: in a token's list
 each node is tried against a few hubs of other classes, possible trials are verified on whole texts, and
 classes merge. When no trial helps, every pair of the lists that still hold two classes or more is
-counted, bounded and verified. Pairs inside one class change no class and are never made.
+counted, bounded and verified; it is made in the list of its first shared token, being left out of a list
+where the BEFORE tokens in front of the list's token already show an earlier one. Pairs inside one class change no class
+and are never made.
 
 Null texts count as empty. Repeated rows are copies. An empty table gives an empty result.
 """
@@ -40,7 +43,10 @@ BUCKETS = 17
 MOST_MATCHES = 16
 FREQUENT = 2
 ROUNDS = 4
+FEWER = 4
 HUBS = 6
+BITS = 512
+BEFORE = 4
 GAP, SPACE = re.compile(rb"[ \t-\r]*"), re.compile(rb"[ \t-\r]")
 
 
@@ -184,12 +190,12 @@ def corpus_levels(texts: DataFrame, size: int) -> np.ndarray:
 
 
 def prefixes(rows: DataFrame, size: int, percent: int, levels) -> DataFrame:
-    """rows(id, key, text) -> (id, key, node, n, ell, q, prefix); a set's prefix is kept once a task."""
+    """rows(id, key, text) -> (id, key, node, n, ell, q, prefix, bits); a set's prefix and parity bits are kept once a task."""
 
     def run(batches):
         shingler, level, seen = Shingler(size), levels.value, set()
         for batch in batches:
-            nodes, ns, ells, qs, lists = [], [], [], [], []
+            nodes, ns, ells, qs, lists, parities = [], [], [], [], [], []
             for s in shingler.many(batch.column(2).to_pylist()):
                 n = len(s)
                 node = xxhash.xxh3_64_intdigest(s.tobytes()) >> 1 if n else None
@@ -199,6 +205,7 @@ def prefixes(rows: DataFrame, size: int, percent: int, levels) -> DataFrame:
                     ells.append(0)
                     qs.append(0)
                     lists.append(None)
+                    parities.append(None)
                     continue
                 if len(seen) < 1_000_000:
                     seen.add(node)
@@ -209,12 +216,14 @@ def prefixes(rows: DataFrame, size: int, percent: int, levels) -> DataFrame:
                 ells.append(ell)
                 qs.append(n - alpha + ell)
                 lists.append(s[order[: n - alpha + ell]].view(np.int64))
+                odd = np.bincount((s & np.uint64(BITS - 1)).astype(np.int64), minlength=BITS) & 1
+                parities.append(np.packbits(odd.astype(np.uint8)).view(np.int64))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(nodes, pa.int64()), pa.array(ns, pa.int64()), pa.array(ells, pa.int32()), pa.array(qs, pa.int32()), pa.array(lists, pa.list_(pa.int64()))],
-                names=["id", "key", "node", "n", "ell", "q", "prefix"],
+                [batch.column(0), batch.column(1), pa.array(nodes, pa.int64()), pa.array(ns, pa.int64()), pa.array(ells, pa.int32()), pa.array(qs, pa.int32()), pa.array(lists, pa.list_(pa.int64())), pa.array(parities, pa.list_(pa.int64()))],
+                names=["id", "key", "node", "n", "ell", "q", "prefix", "bits"],
             )
 
-    return rows.mapInArrow(run, "id long, key long, node long, n long, ell int, q int, prefix array<long>")
+    return rows.mapInArrow(run, "id long, key long, node long, n long, ell int, q int, prefix array<long>, bits array<long>")
 
 
 def shared_lists(batches):
@@ -248,15 +257,26 @@ def shared_lists(batches):
         yield pa.RecordBatch.from_arrays([pa.array(out_t), pa.array(out_v), pa.array(out_f), pa.array(out_h)], names=["token", "node", "short", "hub"])
 
 
+def needed(percent: int):
+    """The shared tokens a pair has at least at the threshold."""
+    return F.ceil((F.col("n_a") + F.col("n_b")) * percent / F.lit(100.0 + percent) - 1e-9)
+
+
+def alike(percent: int):
+    """Whether a pair's parity bits allow the threshold."""
+    differing = F.aggregate(F.zip_with("bits_a", "bits_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda total, x: total + x)
+    return differing <= F.col("n_a") + F.col("n_b") - 2 * needed(percent)
+
+
 def possible(percent: int):
     """Whether a pair with c shared prefix tokens can still reach the threshold."""
-    need = F.ceil((F.col("n_a") + F.col("n_b")) * percent / F.lit(100.0 + percent) - 1e-9)
+    need = needed(percent)
     behind = F.greatest(F.col("n_a") - F.col("q_a"), F.col("n_b") - F.col("q_b"))
     return (F.col("c") >= F.least("ell_a", "ell_b")) & (F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent) & (F.col("c") + behind >= need)
 
 
 def verified(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose whole texts reach the threshold."""
+    """The pairs (a, b) whose whole texts reach the threshold; texts is (node, text)."""
 
     def run(batches):
         shingler, at, own = Shingler(size), None, None
@@ -292,21 +312,32 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     lists = stored(postings.repartition("token").sortWithinPartitions("token", "node").mapInArrow(shared_lists, "token long, node long, short boolean, hub long"), "lists")
     listed = lists.select("node").distinct()
     nodes = stored(
-        made.where("ell > 0").groupBy("node").agg(F.min("n").alias("n"), F.min("ell").alias("ell"), F.min("q").alias("q"), F.min(F.struct("id", "key")).alias("r"), F.min("prefix").alias("prefix")).join(listed, "node", "left_semi"),
+        made.where("ell > 0").groupBy("node").agg(F.min("n").alias("n"), F.min("ell").alias("ell"), F.min("q").alias("q"), F.min(F.struct("id", "key")).alias("r"), F.min("prefix").alias("prefix"), F.min("bits").alias("bits")).join(listed, "node", "left_semi"),
         "nodes",
     )
     sides = nodes.select("node", "n", "ell", "q")
     side = lambda k: sides.select(F.col("node").alias(k), F.col("n").alias(f"n_{k}"), F.col("ell").alias(f"ell_{k}"), F.col("q").alias(f"q_{k}"))
     tried = lambda pairs: pairs.join(side("a"), "a").join(side("b"), "b").where(possible(percent))
+    parity = lambda k: nodes.select(F.col("node").alias(k), F.col("n").alias(f"n_{k}"), F.col("bits").alias(f"bits_{k}"))
+
+    def linked(pairs: DataFrame) -> DataFrame:
+        """The pairs whose parity bits and whole texts reach the threshold."""
+        pairs = stored(pairs.select("a", "b").join(parity("a"), "a").join(parity("b"), "b").where(alike(percent)).select("a", "b"), "pairs")
+        if pairs.isEmpty():
+            return pairs
+        either = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+        # Written, its size is known: below the broadcast threshold the corpus is scanned without a shuffle, else it moves once.
+        wanted = stored(nodes.join(either, "node", "left_semi").select("node", F.xxhash64("r.id", "r.key").alias("row")), "wanted")
+        texts = stored(rows.select(F.xxhash64("id", "key").alias("row"), "text").join(wanted, "row").dropDuplicates(["node"]).select("node", "text"), "texts")
+        small_batches(spark, 64)
+        links = stored(verified(pairs, texts, size, percent), "links")
+        for done in (pairs, wanted, texts):
+            forget(done)
+        return links
 
     star = tried(lists.where("node != hub").groupBy(F.col("hub").alias("a"), F.col("node").alias("b")).agg(F.count(F.lit(1)).alias("c")))
     star = stored(star.groupBy("b").agg(F.max_by("a", "c").alias("a")).select("a", "b"), "trials")
-    # A list matters from here on only where it has a node pair that may link.
-    wanted = nodes.select("node", F.col("r.id").alias("id"), F.col("r.key").alias("key"))
-    small_batches(spark, 64)
-    one = rows.select(F.xxhash64("id", "key").alias("row"), "text").join(wanted.select("node", F.xxhash64("id", "key").alias("row")).hint("shuffle_hash"), "row")
-    texts = stored(one.dropDuplicates(["row"]).select("node", "text"), "texts")
-    links = [stored(verified(star, texts, size, percent), "links")]
+    links = [linked(star)]
     forget(star)
 
     def labelled(left: DataFrame) -> DataFrame:
@@ -321,29 +352,38 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
     left = open_lists(lists.select("token", "node", "short"))
     forget(lists)
+    earlier = 0
     for turn in range(ROUNDS):
         hubs = left.groupBy("token").agg(*(F.min_by(F.struct("node", "comp"), F.xxhash64("node", F.lit(turn * HUBS + i))).alias(f"h{i}") for i in range(HUBS)))
         hubs = hubs.select("token", F.explode(F.array_distinct(F.array(*(f"h{i}" for i in range(HUBS))))).alias("h"))
         trials = left.join(hubs, "token").where("comp != h.comp").groupBy(F.least("h.node", "node").alias("a"), F.greatest("h.node", "node").alias("b")).agg(F.count(F.lit(1)).alias("c"))
         # c counts only the lists that have this hub, so the bound is not exact here: it only thins the trials.
-        found = stored(verified(tried(trials).select("a", "b"), texts, size, percent), "links")
-        if found.isEmpty():
+        found = linked(tried(trials))
+        fresh = found.count()
+        if not fresh:
             break
         links = [stored((links[0] if len(links) == 1 else links[0].union(links[1])).union(found), "links")]
         after = open_lists(left)
         forget(left)
         left = after
-    sized = left.join(sides.select("node", "n"), "node")
-    x, y = (sized.select("token", F.col("node").alias(k), F.col("comp").alias(f"comp_{k}"), F.col("n").alias(f"m_{k}"), F.col("short").alias(f"short_{k}")) for k in "ab")
-    shorter = F.when(F.struct("m_a", "a") < F.struct("m_b", "b"), F.col("short_a")).otherwise(F.col("short_b"))
-    near = F.least("m_a", "m_b") * 100 >= F.greatest("m_a", "m_b") * percent
-    pairs = x.join(y, "token").where((F.col("comp_a") < F.col("comp_b")) & shorter & near).groupBy("a", "b").agg(F.count(F.lit(1)).alias("c"))
-    pairs = pairs.join(side("a"), "a").join(side("b"), "b").where(F.col("c") >= F.least("ell_a", "ell_b")).drop("c")
+        if fresh * FEWER < earlier:  # what is left links too little for trials to pay
+            break
+        earlier = fresh
+    nodes = stored(nodes.join(left.select("node").distinct(), "node", "left_semi"), "opened")
+    place = F.array_position("prefix", F.col("token")).cast("int")
+    before = F.slice("prefix", F.greatest(place - BEFORE, F.lit(1)), F.least(place - 1, F.lit(BEFORE)))
+    sized = left.join(nodes.select("node", "n", "prefix"), "node").select("token", "node", "comp", "n", "short", (F.col("n") - place).alias("after"), before.alias("before"))
+    x, y = (sized.select("token", F.col("node").alias(k), *(F.col(c).alias(f"{c}_{k}") for c in ("comp", "n", "short", "after", "before"))) for k in "ab")
+    shorter = F.when(F.struct("n_a", "a") < F.struct("n_b", "b"), F.col("short_a")).otherwise(F.col("short_b"))
+    near = F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent
+    # Where this is the first shared token, no more are shared than it and those after it.
+    first = (F.least("after_a", "after_b") + 1 >= needed(percent)) & ~F.arrays_overlap("before_a", "before_b")
+    pairs = x.join(y, "token").where((F.col("comp_a") < F.col("comp_b")) & shorter & near & first).select("a", "b").distinct()
+    pairs = stored(pairs.join(parity("a"), "a").join(parity("b"), "b").where(alike(percent)).select("a", "b"), "pairs")
     # The whole prefixes of what is left give the count for the bound.
-    lists_of = lambda k: nodes.select(F.col("node").alias(k), F.col("prefix").alias(f"prefix_{k}"))
-    pairs = pairs.join(lists_of("a"), "a").join(lists_of("b"), "b").withColumn("c", F.size(F.array_intersect("prefix_a", "prefix_b"))).where(possible(percent))
-    links.append(stored(verified(pairs.select("a", "b"), texts, size, percent), "links"))
-    forget(texts)
+    whole = lambda k: nodes.select(F.col("node").alias(k), *(F.col(c).alias(f"{c}_{k}") for c in ("n", "ell", "q", "prefix")))
+    pairs = pairs.join(whole("a"), "a").join(whole("b"), "b").withColumn("c", F.size(F.array_intersect("prefix_a", "prefix_b"))).where(possible(percent))
+    links.append(linked(pairs))
 
     label = components(links[0].union(links[1]))
     ids = made.where("n > 0").groupBy("node").agg(F.min("id").alias("first"))
