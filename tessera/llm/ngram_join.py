@@ -16,12 +16,11 @@ tokens. What lies behind the prefixes bounds the overlap from above (n - prefix)
 pairs before any text is read. A set's parity bits bound the difference of two sets from below (each differing bit
 is a differing token at least), which discards most of the rest.
 
-Linking. Copies in groups would give all pairs, so links are found in rounds: in a token's list
-each node is tried against a few hubs of other classes, possible trials are verified on whole texts, and
-classes merge. When no trial helps, every pair of the lists that still hold two classes or more is
-counted, bounded and verified; it is made in the list of its first shared token, being left out of a list
-where the BEFORE tokens in front of the list's token already show an earlier one. Pairs inside one class change no class
-and are never made.
+Linking. Copies in groups would give all pairs, so links are found in rounds: each node is tried against the
+first of its lists; in lists of more than LARGE nodes, then against a few hubs of other classes. Possible trials are
+verified on whole texts, and classes merge. When trials help no more, every pair of two classes that shares a list is
+counted, bounded and verified; it is left out of a list where the BEFORE tokens in front of the list's token, in an
+order of each node's own lists, show another shared one. Pairs inside one class change no class and are never verified.
 
 Null texts count as empty. Repeated rows are copies. An empty table gives an empty result.
 """
@@ -33,7 +32,7 @@ import re
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.base import forget, small_batches, stored
@@ -46,7 +45,8 @@ ROUNDS = 4
 FEWER = 4
 HUBS = 6
 BITS = 512
-BEFORE = 4
+BEFORE = 2
+LARGE = 32
 GAP, SPACE = re.compile(rb"[ \t-\r]*"), re.compile(rb"[ \t-\r]")
 
 
@@ -312,10 +312,10 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     lists = stored(postings.repartition("token").sortWithinPartitions("token", "node").mapInArrow(shared_lists, "token long, node long, short boolean, hub long"), "lists")
     listed = lists.select("node").distinct()
     nodes = stored(
-        made.where("ell > 0").groupBy("node").agg(F.min("n").alias("n"), F.min("ell").alias("ell"), F.min("q").alias("q"), F.min(F.struct("id", "key")).alias("r"), F.min("prefix").alias("prefix"), F.min("bits").alias("bits")).join(listed, "node", "left_semi"),
+        made.where("ell > 0").groupBy("node").agg(F.min("n").alias("n"), F.min("ell").alias("ell"), F.min("q").alias("q"), F.min(F.struct("id", "key")).alias("r"), F.min("bits").alias("bits")).join(listed, "node", "left_semi"),
         "nodes",
     )
-    sides = nodes.select("node", "n", "ell", "q")
+    sides = stored(nodes.select("node", "n", "ell", "q"), "sides")
     side = lambda k: sides.select(F.col("node").alias(k), F.col("n").alias(f"n_{k}"), F.col("ell").alias(f"ell_{k}"), F.col("q").alias(f"q_{k}"))
     tried = lambda pairs: pairs.join(side("a"), "a").join(side("b"), "b").where(possible(percent))
     parity = lambda k: nodes.select(F.col("node").alias(k), F.col("n").alias(f"n_{k}"), F.col("bits").alias(f"bits_{k}"))
@@ -350,9 +350,10 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         still = named.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo != hi").select("token")
         return stored(named.join(still, "token"), "open")
 
-    left = open_lists(lists.select("token", "node", "short"))
-    forget(lists)
-    earlier = 0
+    large = stored(lists.groupBy("token").count().where(F.col("count") > LARGE).select("token"), "large")
+    small = lists.join(large, "token", "left_anti").select("token", "node", "short")
+    left = open_lists(lists.join(large, "token").select("token", "node", "short"))
+    before = 0
     for turn in range(ROUNDS):
         hubs = left.groupBy("token").agg(*(F.min_by(F.struct("node", "comp"), F.xxhash64("node", F.lit(turn * HUBS + i))).alias(f"h{i}") for i in range(HUBS)))
         hubs = hubs.select("token", F.explode(F.array_distinct(F.array(*(f"h{i}" for i in range(HUBS))))).alias("h"))
@@ -366,22 +367,22 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         after = open_lists(left)
         forget(left)
         left = after
-        if fresh * FEWER < earlier:  # what is left links too little for trials to pay
+        if fresh * FEWER < before:  # what is left links too little for trials to pay
             break
-        earlier = fresh
-    nodes = stored(nodes.join(left.select("node").distinct(), "node", "left_semi"), "opened")
-    place = F.array_position("prefix", F.col("token")).cast("int")
-    before = F.slice("prefix", F.greatest(place - BEFORE, F.lit(1)), F.least(place - 1, F.lit(BEFORE)))
-    sized = left.join(nodes.select("node", "n", "prefix"), "node").select("token", "node", "comp", "n", "short", (F.col("n") - place).alias("after"), before.alias("before"))
-    x, y = (sized.select("token", F.col("node").alias(k), *(F.col(c).alias(f"{c}_{k}") for c in ("comp", "n", "short", "after", "before"))) for k in "ab")
+        before = fresh
+    # Of the tokens that a pair shares and that are short for its smaller node, the first in that node's order is never left out.
+    order = Window.partitionBy("node").orderBy(F.desc("short"), "token")
+    earlier = F.array_compact(F.array(*(F.lag("token", i + 1).over(order) for i in range(BEFORE))))
+    sized = labelled(small.union(left.select("token", "node", "short"))).join(sides.select("node", "n"), "node").withColumn("before", earlier)
+    x, y = (sized.select("token", F.col("node").alias(k), *(F.col(c).alias(f"{c}_{k}") for c in ("comp", "n", "short", "before"))) for k in "ab")
     shorter = F.when(F.struct("n_a", "a") < F.struct("n_b", "b"), F.col("short_a")).otherwise(F.col("short_b"))
     near = F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent
-    # Where this is the first shared token, no more are shared than it and those after it.
-    first = (F.least("after_a", "after_b") + 1 >= needed(percent)) & ~F.arrays_overlap("before_a", "before_b")
-    pairs = x.join(y, "token").where((F.col("comp_a") < F.col("comp_b")) & shorter & near & first).select("a", "b").distinct()
+    pairs = x.join(y, "token").where((F.col("comp_a") < F.col("comp_b")) & shorter & near & ~F.arrays_overlap("before_a", "before_b")).select("a", "b").distinct()
     pairs = stored(pairs.join(parity("a"), "a").join(parity("b"), "b").where(alike(percent)).select("a", "b"), "pairs")
     # The whole prefixes of what is left give the count for the bound.
-    whole = lambda k: nodes.select(F.col("node").alias(k), *(F.col(c).alias(f"{c}_{k}") for c in ("n", "ell", "q", "prefix")))
+    either = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+    held = stored(made.where("ell > 0").join(either, "node", "left_semi").select("node", "n", "ell", "q", "prefix").dropDuplicates(["node"]), "held")
+    whole = lambda k: held.select(F.col("node").alias(k), *(F.col(c).alias(f"{c}_{k}") for c in ("n", "ell", "q", "prefix")))
     pairs = pairs.join(whole("a"), "a").join(whole("b"), "b").withColumn("c", F.size(F.array_intersect("prefix_a", "prefix_b"))).where(possible(percent))
     links.append(linked(pairs))
 
