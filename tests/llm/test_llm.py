@@ -236,6 +236,14 @@ def test_html(spark):
     assert html_text.main_text(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_html_runs_of_a_large_host(spark):
+    """A notice on two pages goes, however many pages its host has."""
+    page = "<body><div>own {}</div><div>notice {}</div></body>"
+    rows = [(i, f"http://large/{i}", page.format(i, i % 1000)) for i in range(1040)]
+    got = {r.page_id: r.text for r in html_text.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(got[i] == (f"own {i}" if i % 1000 < 40 else f"own {i}\nnotice {i}") for i in range(1040))
+
+
 def test_vectors(spark, monkeypatch):
     monkeypatch.setattr(near_vectors, "BLOCK", 16)
     r = np.random.default_rng(6)
