@@ -17,8 +17,8 @@ def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Later copies of repeated line runs go; a document of which nothing is left goes."""
-    left = line_dedup.dedup_lines(docs).where("n_removed_lines = 0 OR trim(text) <> ''")
+    """Later copies of repeated line runs of ten words or 20 characters go; a document of which nothing is left goes."""
+    left = line_dedup.dedup_lines(docs, min_chars=20).where("n_removed_lines = 0 OR trim(text) <> ''")
     return left.select(*(F.length("text").cast("long").alias("n_chars") if c == "n_chars" else F.col(c) for c in docs.columns))
 
 

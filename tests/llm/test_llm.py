@@ -180,6 +180,15 @@ def test_line_runs(spark):
     assert line_dedup.dedup_lines(odd(spark)).count() == len(ODD) and line_dedup.dedup_lines(odd(spark).limit(0)).count() == 0
 
 
+def test_short_and_unspaced_line_runs(spark):
+    paragraph = "这一段文字没有空格但是在许多文件里面反复出现"
+    texts = [f"first\n{paragraph}", f"second\n{paragraph}", "third\nAll rights reserved by us.\nshort", "fourth\nAll rights reserved by us.\nshort"]
+    got = [r.text for r in line_dedup.dedup_lines(frame(spark, texts)).orderBy("doc_id").collect()]
+    assert got == [texts[0], "second", *texts[2:]]
+    got = [r.text for r in corpus_pipeline.drop_repeated_lines(spark, frame(spark, texts), SF).orderBy("doc_id").collect()]
+    assert got == [texts[0], "second", texts[2], "fourth\nshort"]
+
+
 def brute_spans(texts, length):
     seen, datas = collections.Counter(), [(t or "").encode() for t in texts]
     for d in datas:
