@@ -3,17 +3,21 @@
 Text view: hashed words and word shapes (case, trailing marks, length) as shares of a text, plus a few
 figures of the whole text. Metadata view: source, language and length class. Each view has a logistic classifier.
 Over ROUNDS rounds each classifier labels the unlabelled documents it is surest of, in the
-proportion of the classes, for the other one to learn from. On labelled documents held back
+proportion of the classes, for the other one to learn from. All unlabelled documents take part: their sparse rows are
+stored once, each round scores them where they lie, a histogram over all of them gives the thresholds (ties at one
+are split by a hash of the document), and both views go on with STEPS gradient steps over the labelled rows and the sums over all
+pseudo-labelled ones. Sums are of integers, so they don't depend on partitions. On labelled documents held back
 from that, each view's logit is calibrated (a scale and an offset) and a logistic on both combines them;
 the result scores every document.
 
-Bounds, all parameters: LABELLED labelled and UNLABELLED other documents, taken by hash of the id,
-train; so the driver gathers a fixed number of sparse rows. Scoring reads all documents in one pass
+Bounds: LABELLED labelled documents, taken by hash of the id, go to the driver (a parameter); of the others it gets
+histograms and sums of a fixed size. Scoring reads all documents in one pass
 without a shuffle.
 
 Null text counts as empty, null metadata as a value of its own. Labels that are null or without a
 document are not used; of several labels of one id the largest counts. With labels of one class only, or none,
-all scores are that class's share (0.5 without labels). Rows with equal ids are scored each by itself.
+all scores are that class's share (0.5 without labels). Rows with equal ids are scored each by itself, and so
+they are as unlabelled documents; those with null ids are unlabelled.
 """
 
 from __future__ import annotations
@@ -27,13 +31,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.base import append_columns, small_batches
+from tessera.llm.base import append_columns, forget, small_batches, stored
 
 LABELLED = 6000
-UNLABELLED = 6000
 ROUNDS = 4
+STEPS = 12
 GROWTH = 0.05
 SURE = 0.9
+FINE = 50  # buckets of a histogram in one unit of a logit
+TOP = 2000
+UNIT = 1 << 24  # of a gradient sum
 WIDTH = 1 << 12
 PART = 1 << 20
 MARKS = re.compile(r"[^\w\s]+$")
@@ -90,21 +97,28 @@ class Logistic:
 
     def __init__(self, size: int):
         self.w, self.b = np.zeros(size), 0.0
+        self.start()
+
+    def start(self):
+        self.t, self.m, self.v, self.mb, self.vb = 0, np.zeros_like(self.w), np.zeros_like(self.w), 0.0, 0.0
+
+    def move(self, gw: np.ndarray, gb: float):
+        self.t += 1
+        self.m, self.v = 0.9 * self.m + 0.1 * gw, 0.99 * self.v + 0.01 * gw * gw
+        self.mb, self.vb = 0.9 * self.mb + 0.1 * gb, 0.99 * self.vb + 0.01 * gb**2
+        fix = (1 - 0.99**self.t) ** 0.5 / (1 - 0.9**self.t)
+        self.w -= 0.1 * fix * self.m / (self.v**0.5 + 1e-8)
+        self.b -= 0.1 * fix * self.mb / (self.vb**0.5 + 1e-8)
 
     def fit(self, rows, y: np.ndarray, steps: int = 150, decay: float = 1e-4):
         at, value, owner = flat(rows)
         n, pos = len(rows), y.mean()
         weight = np.where(y > 0, 0.5 / max(pos, 1e-9), 0.5 / max(1 - pos, 1e-9)) / n
-        m, v, mb, vb = np.zeros_like(self.w), np.zeros_like(self.w), 0.0, 0.0
-        for t in range(1, steps + 1):
+        self.start()
+        for _ in range(steps):
             z = np.bincount(owner, value * self.w[at], n) + self.b
             g = (1 / (1 + np.exp(-z)) - y) * weight
-            gw = np.bincount(at, value * g[owner], len(self.w)) + decay * self.w
-            m, v = 0.9 * m + 0.1 * gw, 0.99 * v + 0.01 * gw * gw
-            mb, vb = 0.9 * mb + 0.1 * g.sum(), 0.99 * vb + 0.01 * g.sum() ** 2
-            fix = (1 - 0.99**t) ** 0.5 / (1 - 0.9**t)
-            self.w -= 0.1 * fix * m / (v**0.5 + 1e-8)
-            self.b -= 0.1 * fix * mb / (vb**0.5 + 1e-8)
+            self.move(np.bincount(at, value * g[owner], len(self.w)) + decay * self.w, g.sum())
         return self
 
     def logits(self, rows) -> np.ndarray:
@@ -117,6 +131,134 @@ def flat(rows):
     return at, value, np.repeat(np.arange(len(rows)), [len(r[0]) for r in rows])
 
 
+def columns(batch: pa.RecordBatch, at: str, value: str):
+    """flat() of two list columns."""
+    sizes = batch.column(at).value_lengths().to_numpy(zero_copy_only=False)
+    return batch.column(at).flatten().to_numpy(), batch.column(value).flatten().to_numpy(), np.repeat(np.arange(len(sizes)), sizes)
+
+
+def class_sums(w: np.ndarray, b: float, at, value, owner, y: np.ndarray) -> np.ndarray:
+    """For each class, in units: gradient sums by feature, of the offset, and the number of rows."""
+    n = len(y)
+    miss = 1 / (1 + np.exp(-np.clip(np.bincount(owner, value * w[at], n) + b, -50, 50))) - y
+    part = np.rint(value * miss[owner] * UNIT)
+    on = (y > 0)[owner]
+    return np.array([np.concatenate([np.bincount(at[k], part[k], len(w)), [np.rint(miss[c] * UNIT).sum(), c.sum()]]) for k, c in ((~on, y <= 0), (on, y > 0))])
+
+
+class Pool:
+    """The unlabelled documents: a stored table (u, ta, tv, ma, mv) and what each view was given of it."""
+
+    NAMES = (("ta", "tv"), ("ma", "mv"))
+
+    def __init__(self, rows: DataFrame):
+        self.rows, self.history, self.given = stored(rows, "unlabelled"), [], []
+
+    def sums(self, df: DataFrame, run) -> dict[int, int]:
+        small_batches(df.sparkSession, 2000)
+        found = df.mapInArrow(run, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
+        return dict(zip(found.column("slot").to_pylist(), found.column("n").to_pylist(), strict=True))
+
+    @staticmethod
+    def marks(batch: pa.RecordBatch, history) -> tuple[list[np.ndarray], list[np.ndarray]]:
+        """The labels given to each view so far (nan: none), and the numbers of the rounds."""
+        n, u = batch.num_rows, batch.column("u").to_numpy()
+        given, turn = [np.full(n, np.nan) for _ in (0, 1)], [np.full(n, -1) for _ in (0, 1)]
+        sets = [columns(batch, *names) for names in Pool.NAMES]
+        for r, (views, cuts) in enumerate(history):
+            for k in (0, 1):
+                at, value, owner = sets[k]
+                z = np.bincount(owner, value * views[k][0][at], n) + views[k][1]
+                for label in (0, 1):
+                    bucket, (edge, share) = Pool.bucket(z if label else -z), cuts[k, label]
+                    on = (bucket >= 0) & np.isnan(given[1 - k]) & ((bucket > edge) | ((bucket == edge) & (u < share)))
+                    given[1 - k][on], turn[1 - k][on] = label, r
+        return given, turn
+
+    @staticmethod
+    def bucket(side: np.ndarray) -> np.ndarray:
+        """Below 0 where a view is not sure."""
+        return np.minimum(np.floor((side - np.log(SURE / (1 - SURE))) * FINE), TOP - 1).astype(np.int64)
+
+    def grow(self, views: list[Logistic], share: float) -> bool:
+        """Give each view the documents that the other one is surest of; false if there are none at all."""
+        history, now = list(self.history), [(v.w.copy(), v.b) for v in views]
+
+        def count(batches):
+            out = np.zeros(4 * TOP + 1, np.int64)
+            for batch in batches:
+                given, _ = Pool.marks(batch, history)
+                out[-1] += batch.num_rows
+                for k in (0, 1):
+                    at, value, owner = columns(batch, *Pool.NAMES[k])
+                    z = np.bincount(owner, value * now[k][0][at], batch.num_rows) + now[k][1]
+                    for label in (0, 1):
+                        bucket = Pool.bucket(z if label else -z)[np.isnan(given[1 - k])]
+                        out[(2 * k + label) * TOP : (2 * k + label + 1) * TOP] += np.bincount(bucket[bucket >= 0], minlength=TOP)
+            yield filled(out)
+
+        found, cuts = self.sums(self.rows, count), {}
+        n = found.get(4 * TOP, 0)
+        if not n:
+            return False
+        for k in (0, 1):
+            for label in (0, 1):
+                left, cuts[k, label] = max(1, int(GROWTH * n * (share if label else 1 - share))), (-1, 0)
+                for bucket in range(TOP - 1, -1, -1):
+                    have = found.get((2 * k + label) * TOP + bucket, 0)
+                    if have > left:
+                        cuts[k, label] = (bucket, int(left / have * (1 << 20)))
+                        break
+                    left -= have
+        self.history.append((now, cuts))
+        history = list(self.history)
+
+        def take(batches):
+            for batch in batches:
+                given, turn = Pool.marks(batch, history)
+                for k in (0, 1):
+                    on = np.flatnonzero(turn[k] == len(history) - 1)
+                    mine = batch.take(pa.array(on))
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(on), k, np.int32)), pa.array(given[k][on]), *(mine.column(c) for c in Pool.NAMES[k])], names=["k", "y", "at", "value"])
+
+        small_batches(self.rows.sparkSession, 2000)
+        self.given.append(stored(self.rows.mapInArrow(take, "k int, y double, at array<int>, value array<float>"), "pseudo-labelled"))
+        return True
+
+    def gradients(self, views: list[Logistic]) -> list[np.ndarray]:
+        """class_sums of both views over all that was given so far."""
+        now = [(v.w.copy(), v.b) for v in views]
+        width = max(len(w) for w, _ in now) + 2
+        rows = self.given[0]
+        for more in self.given[1:]:
+            rows = rows.unionAll(more)
+
+        def run(batches):
+            out = np.zeros((2, 2, width))
+            for batch in batches:
+                own = batch.column("k").to_numpy()
+                for k in (0, 1):
+                    on = np.flatnonzero(own == k)
+                    if len(on):
+                        mine = batch.take(pa.array(on))
+                        sums = class_sums(*now[k], *columns(mine, "at", "value"), mine.column("y").to_numpy())
+                        out[k, :, : sums.shape[1]] += sums
+            yield filled(out.astype(np.int64).reshape(-1))
+
+        found, flat_out = self.sums(rows, run), np.zeros(4 * width)
+        flat_out[list(found)] = list(found.values())
+        return [flat_out.reshape(2, 2, width)[k][:, : len(now[k][0]) + 2] for k in (0, 1)]
+
+    def close(self):
+        for df in (self.rows, *self.given):
+            forget(df)
+
+
+def filled(sums: np.ndarray) -> pa.RecordBatch:
+    at = np.flatnonzero(sums)
+    return pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(sums[at])], names=["slot", "n"])
+
+
 def dense_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, unweighted: bool = True) -> tuple[np.ndarray, float]:
     """Weights and offset by Newton steps."""
     a = np.column_stack([x, np.ones(len(x))])
@@ -134,28 +276,22 @@ class Model:
     def __init__(self, share: float):
         self.share, self.views = share, None
 
-    def train(self, text_rows, meta_rows, y, text_more, meta_more):
+    def train(self, text_rows, meta_rows, y, pool: Pool, decay: float = 1e-4):
         held = np.arange(len(y)) % 4 == 0
         pick = lambda rows, on: [r for r, k in zip(rows, on, strict=True) if k]
-        sets = [(pick(text_rows, ~held), y[~held].copy(), text_more), (pick(meta_rows, ~held), y[~held].copy(), meta_more)]
-        given = [{}, {}]  # pseudo-labels of the unlabelled, by the view that learns from them
-        sizes = [TextView.SIZE, 1024]
-
-        def learn(k):
-            rows, own, more = sets[k]
-            extra = sorted(given[k])
-            return Logistic(sizes[k]).fit(rows + [more[i] for i in extra], np.concatenate([own, [given[k][i] for i in extra]]))
-
-        views = [learn(0), learn(1)]
-        n = len(text_more)
-        for _ in range(ROUNDS if n else 0):
-            for k in (0, 1):
-                p = 1 / (1 + np.exp(-views[k].logits(sets[k][2])))
-                for label, sure in ((1, p), (0, 1 - p)):
-                    most = max(1, int(GROWTH * n * (self.share if label else 1 - self.share)))
-                    free = [i for i in np.argsort(-sure).tolist() if sure[i] >= SURE and i not in given[1 - k]][:most]
-                    given[1 - k].update((i, float(label)) for i in free)
-            views = [learn(0), learn(1)]
+        own, sets = y[~held], [pick(text_rows, ~held), pick(meta_rows, ~held)]
+        views = [Logistic(size).fit(rows, own) for size, rows in zip((TextView.SIZE, 1024), sets, strict=True)]
+        known = [flat(rows) for rows in sets]
+        for _ in range(ROUNDS):
+            if not pool.grow(views, self.share):
+                break
+            for view in views:
+                view.start()
+            for _ in range(STEPS):
+                for view, rows, more in zip(views, known, pool.gradients(views), strict=True):
+                    sums = class_sums(view.w, view.b, *rows, own) + more
+                    g = sum(0.5 / max(c[-1], 1) / UNIT * c for c in sums)
+                    view.move(g[:-2] + decay * view.w, g[-2])
         logits = np.column_stack([views[0].logits(pick(text_rows, held)), views[1].logits(pick(meta_rows, held))])
         self.views = views
         self.scales = [dense_logistic(logits[:, k : k + 1], y[held]) for k in (0, 1)]
@@ -174,37 +310,46 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(z, -50, 50)))
 
 
-def fit(docs: DataFrame, labels: DataFrame, target: str = "quality", doc_id: str = "doc_id", text: str = "text", source: str = "source", lang: str = "lang", n_chars: str = "n_chars", labelled: int = LABELLED, unlabelled: int = UNLABELLED) -> Model:
-    """The model of docs and labels(doc_id, target), the label being 0 or 1."""
-    known = labels.where(F.col(doc_id).isNotNull() & F.col(target).isNotNull()).groupBy(F.col(doc_id).alias("i")).agg(F.max(F.col(target)).cast("double").alias("y"))
-    ids = docs.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).alias("i")).distinct()
-    first = known.join(ids, "i", "left_semi").orderBy(F.xxhash64("i"), "i").limit(labelled)
-    more = ids.join(known, "i", "left_anti").orderBy(F.xxhash64("i"), "i").limit(unlabelled).withColumn("y", F.lit(None).cast("double"))
-    chosen = F.broadcast(first.unionByName(more))  # labelled + unlabelled rows at most
-    rows = docs.join(chosen, docs[doc_id] == chosen["i"]).select("i", "y", F.col(text).alias("t"), F.col(source).cast("string").alias("s"), F.col(lang).cast("string").alias("l"), F.col(n_chars).cast("long").alias("n"))
-    rows = rows.dropDuplicates(["i"])
+def features(rows: DataFrame, kept: str) -> DataFrame:
+    """The kept column and the sparse rows (ta, tv, ma, mv) of rows (kept, t, s, l, n)."""
 
     def run(batches):
         view = TextView()
         for batch in batches:
-            i, y, t, s, l, n = (c.to_pylist() for c in batch.columns)
+            t, s, l, n = (c.to_pylist() for c in batch.columns[-4:])
             made, meta = [view.row(x) for x in t], [meta_row(*x) for x in zip(s, l, n, strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(i, pa.int64()), pa.array(y, pa.float64()), *(pa.array([r[k].tolist() for r in rows], kind) for rows in (made, meta) for k, kind in ((0, pa.list_(pa.int32())), (1, pa.list_(pa.float32()))))], names=["i", "y", "ta", "tv", "ma", "mv"])
+            lists = (pa.array([r[k] for r in rows], kind) for rows in (made, meta) for k, kind in ((0, pa.list_(pa.int32())), (1, pa.list_(pa.float32()))))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-4], *lists], names=[*batch.schema.names[:-4], "ta", "tv", "ma", "mv"])
+
+    small_batches(rows.sparkSession)
+    return rows.mapInArrow(run, kept + ", ta array<int>, tv array<float>, ma array<int>, mv array<float>")
 
-    small_batches(docs.sparkSession)
-    got = rows.withColumn("i", F.col("i").cast("long")).mapInArrow(run, "i long, y double, ta array<int>, tv array<float>, ma array<int>, mv array<float>").toArrow().sort_by("i")
+
+def fit(docs: DataFrame, labels: DataFrame, target: str = "quality", doc_id: str = "doc_id", text: str = "text", source: str = "source", lang: str = "lang", n_chars: str = "n_chars", labelled: int = LABELLED) -> Model:
+    """The model of docs and labels(doc_id, target), the label being 0 or 1."""
+    known = labels.where(F.col(doc_id).isNotNull() & F.col(target).isNotNull()).groupBy(F.col(doc_id).cast("long").alias("i")).agg(F.max(F.col(target)).cast("double").alias("y"))
+    all_rows = docs.select(F.col(doc_id).cast("long").alias("i"), F.col(text).alias("t"), F.col(source).cast("string").alias("s"), F.col(lang).cast("string").alias("l"), F.col(n_chars).cast("long").alias("n"))
+    ids = all_rows.where("i IS NOT NULL").select("i").distinct()
+    chosen = F.broadcast(known.join(ids, "i", "left_semi").orderBy(F.xxhash64("i"), "i").limit(labelled))
+    rows = all_rows.join(chosen, "i").select("i", "y", "t", "s", "l", "n").dropDuplicates(["i"])
+    got = features(rows, "i long, y double").toArrow().sort_by("i")
     y = got.column("y").to_numpy(zero_copy_only=False)
-    has = ~np.isnan(y)
-    share = float(y[has].mean()) if has.any() else 0.5
+    share = float(y.mean()) if len(y) else 0.5
     model = Model(share)
-    if has.sum() < 8 or not 0 < share < 1:
+    if len(y) < 8 or not 0 < share < 1:
         return model
     lists = [[x.values.to_numpy() for x in got.column(c)] for c in ("ta", "tv", "ma", "mv")]
     text_rows, meta_rows = list(zip(lists[0], lists[1], strict=True)), list(zip(lists[2], lists[3], strict=True))
-    mixed = np.random.default_rng(3).permutation(np.flatnonzero(has))
+    mixed = np.random.default_rng(3).permutation(len(y))
     part = lambda rows, on: [rows[i] for i in on]
-    rest = np.flatnonzero(~has)
-    return model.train(part(text_rows, mixed), part(meta_rows, mixed), y[mixed], part(text_rows, rest), part(meta_rows, rest))
+    # Rows move to the labels' ids without their texts.
+    place = F.pmod(F.xxhash64("i", "t"), F.lit(1 << 20)).cast("int")
+    made = features(all_rows.select("i", place.alias("u"), "t", "s", "l", "n"), "i long, u int")
+    pool = Pool(made.join(known, "i", "left_anti").drop("i"))
+    try:
+        return model.train(part(text_rows, mixed), part(meta_rows, mixed), y[mixed], pool)
+    finally:
+        pool.close()
 
 
 def score(docs: DataFrame, model: Model, text: str = "text", source: str = "source", lang: str = "lang", n_chars: str = "n_chars", cut: float = 0.5) -> DataFrame:

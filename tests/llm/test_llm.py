@@ -125,6 +125,17 @@ def test_quality(spark):
     assert {r.score for r in quality.score(odd(spark), none).collect()} == {0.5}
 
 
+def test_quality_learns_from_all_unlabelled(spark):
+    """A source whose documents come last by hash of the id, behind 6500 others, has a metadata weight."""
+    order = [r.id for r in spark.range(7040).orderBy(F.xxhash64("id"), "id").collect()]
+    rows = [(i, "a clear and plain story of the day" if i % 2 else "BUY now!!! cheap cheap click", "rare" if k >= 6540 and i % 2 else "web", "en", 30) for k, i in enumerate(order)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string, n_chars long")
+    labels = spark.createDataFrame([(i, i % 2) for i in order[:40]], "doc_id long, quality int")
+    model = quality.fit(docs, labels)
+    at = quality.meta_row("rare", "en", 30)[0]
+    assert model.views[1].w[at[0]] > 0 and model.views[1].w[at[3]] > 0
+
+
 def leaks(texts, items):
     words = lambda t: (t or "").lower().split()
     runs = lambda w: [tuple(w[i : i + 5]) for i in range(len(w) - 4)] if len(w) >= 5 else [tuple(w)] * bool(w)
