@@ -10,7 +10,10 @@ gathers and of the broadcast. Counts cover every training document.
 Decision. The language of lowest cross-entropy per character. A scale for the log-likelihoods
 is fitted on training documents held back from the counts (one in HOLD by hash of the id), and
 so is each language's rejection bound: the 99.9th percentile of the cross-entropy of its own
-held-back documents plus MARGIN nats. `rejected` is true for documents above it and for those
+held-back documents plus MARGIN nats. A language with fewer than FEW rightly predicted ones has the percentile, over all
+languages, of the excess over a language's mean, added to its own mean; without any such document the highest mean
+of a language counts as its own, and if no document at all was held back or none rightly predicted, the training documents stand in. So
+every language has a finite bound. `rejected` is true for documents above it and for those
 without any letter.
 
 Null or letterless text: `und`, score 0, rejected. No training rows: all are `und`.
@@ -35,6 +38,7 @@ ORDER = 4
 BITS = 20
 HOLD = 8
 MARGIN = 0.5
+FEW = 20
 PART = 1 << 20
 RUN = 100_000
 SCALES = [2.0**-k for k in range(0, 9)]
@@ -280,19 +284,40 @@ def fit(train: DataFrame, text: str = "text", lang: str = "lang", doc_id: str =
         yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.int32()), pa.array([k[1] for k in keys], pa.int32()), pa.array([k[2] for k in keys], pa.float64())], names=["lang", "bucket", "n"])
 
     small_batches(train.sparkSession)
-    found = rows.where(held).select(F.col(text).alias("t"), F.col(lang).alias("l")).mapInArrow(run, "lang int, bucket int, n double")
-    found = found.groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow().to_pandas()
+
+    def measured(some: DataFrame):
+        found = some.select(F.col(text).alias("t"), F.col(lang).alias("l")).mapInArrow(run, "lang int, bucket int, n double")
+        return found.groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow().to_pandas()
+
+    found = measured(rows.where(held))
     losses = found[found["lang"] < 0].set_index("bucket")["n"]
     if len(losses) and losses.max() > 0:
         model.scale = SCALES[int(losses.idxmin())]
-    for k in range(len(model.langs)):
-        mine = found[found["lang"] == k].sort_values("bucket")
-        if len(mine) and mine["n"].sum() >= 20:
-            share = mine["n"].cumsum() / mine["n"].sum()
-            model.bound[k] = (int(mine["bucket"][share >= 0.999].iloc[0]) + 1) * width + MARGIN
+    own = found[found["lang"] >= 0]
+    if not len(own):
+        own = measured(rows)
+        own = own[own["lang"] >= 0]
+    model.bound = bounds(len(model.langs), own["lang"].to_numpy(), own["bucket"].to_numpy(), own["n"].to_numpy(), width)
     return model
 
 
+def bounds(n: int, langs: np.ndarray, buckets: np.ndarray, counts: np.ndarray, width: float) -> np.ndarray:
+    """The rejection bound of each of n languages, from histograms of the cross-entropies of their documents."""
+
+    def percentile(at, times):
+        order = np.argsort(at, kind="stable")
+        share = np.cumsum(times[order]) / times.sum()
+        return at[order][np.searchsorted(share, 0.999 - 1e-12)] + 1
+
+    if not len(langs):
+        return np.full(n, MARGIN)  # no training document has a letter that is predicted rightly
+    sizes, sums = np.bincount(langs, counts, n), np.bincount(langs, counts * buckets, n)
+    means = np.where(sizes > 0, sums / np.maximum(sizes, 1), (sums / np.maximum(sizes, 1)).max())
+    pooled = means + percentile(buckets - means[langs], counts)
+    full = [percentile(buckets[langs == k], counts[langs == k]) if sizes[k] >= FEW else pooled[k] for k in range(n)]
+    return np.array(full) * width + MARGIN
+
+
 def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """docs with lang_pred, score, cross_entropy and rejected."""
     sent, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index(text)

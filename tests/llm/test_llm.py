@@ -114,6 +114,20 @@ def test_language(spark):
     assert language.predict(odd(spark).limit(0), model).count() == 0
 
 
+def test_language_bounds_of_few_documents(spark):
+    """Languages of few training documents reject what is foreign to them, and not their own."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang")
+    few = docs.where("lang = 'en' OR doc_id % 8 = 0")
+    model = language.fit(few)
+    assert np.isfinite(model.bound).all()
+    junk = spark.createDataFrame([(i, " ".join(c * 9 for c in "дзъжqxwю" * 20)) for i in range(3)], "doc_id long, text string")
+    assert all(r.rejected for r in language.predict(junk, model).collect())
+    got = language.predict(few, model).select("lang", "lang_pred", "rejected").toPandas()
+    assert got["rejected"].mean() < 0.02 and got[got["lang"] != "en"]["rejected"].mean() < 0.05
+    one = language.fit(docs.where("lang = 'en'").limit(1))
+    assert np.isfinite(one.bound).all() and all(r.rejected for r in language.predict(junk, one).collect())
+
+
 def test_quality(spark):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
     train, test = labels.where("doc_id % 4 <> 0"), labels.where("doc_id % 4 = 0")
