@@ -1,11 +1,9 @@
 """Benchmark decontamination by SimHash of item-sized windows.
 
 Similarity of a window and an item: weighted Jaccard of their `size`-word shingles, a shingle
-weighing as often as it occurs. A window at threshold t shares a shingle with the item, so only
-windows around a shared shingle are fingerprinted; with m shingles on both sides the shared ones
-lie on diagonals (place in document less place in item) that differ by (1 - t) / (1 + t) * m at most, and
-the best window starts on or between them. All windows of the item's length there are taken in which enough places hold
-a shingle of the item.
+weighing as often as it occurs. With m shingles of the item and k of the window, a window at threshold t shares
+t / (1 + t) * (m + k) of them at least, so all windows of the item's length in which so many places hold a shingle
+of the item are fingerprinted, in whatever order these come.
 
 Their 64-bit SimHashes meet the items' in a multi-index: 64 bits are cut into radius + 1 blocks,
 so fingerprints within the radius have an equal block. At t = 0.8 a bit differs with
@@ -75,14 +73,14 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
     sent = F.broadcast if small <= BROADCAST_ROWS else (lambda df: df)
     rows = docs.select(F.col(doc_id).alias("id"), F.xxhash64(F.col(text)).alias("key"), words_of(text).alias("w"))
     places = rows.select("id", "key", F.size("w").alias("n"), F.posexplode(shingles_of("w", size)).alias("at", "h"))
-    wide = (1 - threshold) / (1 + threshold)
-    index = items.select("item_id", "length", "m", F.ceil(F.col("m") * wide).cast("int").alias("e"), F.posexplode("s").alias("q", "h"))
-    hits = places.join(sent(index), "h").groupBy("id", "key", "item_id", "n", "length", "m", "e").agg(F.collect_set("at").alias("places"), F.collect_set(F.col("at") - F.col("q")).alias("diagonals"))
-    # A window at the threshold holds at least threshold * m places with a shingle of the item.
-    least = F.ceil(F.col("m") * threshold - 1e-9)
-    hits = hits.where(F.size("places") >= least)
-    around = F.expr("array_distinct(flatten(transform(diagonals, d -> sequence(greatest(0, least(d - e, n - length)), greatest(0, least(d + e, n - length))))))")
-    full = F.filter(around, lambda s: F.size(F.filter("places", lambda p: (p >= s) & (p < s + F.col("m")))) >= least)
+    index = items.select("item_id", "length", "m", F.explode(F.array_distinct("s")).alias("h"))
+    hits = places.join(sent(index), "h").groupBy("id", "key", "item_id", "n", "length", "m").agg(F.collect_set("at").alias("places"))
+    own = F.least(F.col("m"), F.greatest(F.lit(1), F.col("n") - (size - 1)))
+    hits = hits.withColumn("least", F.ceil((F.col("m") + own) * (threshold / (1 + threshold)) - 1e-9).cast("int")).where("size(places) >= least").withColumn("places", F.array_sort("places"))
+    # Windows with the places i to i + least - 1, but for those that begin at or before place i - 1.
+    begin = "greatest(0, places[i + least - 1] - m + 1, if(i > 0, places[greatest(i - 1, 0)] + 1, 0))"
+    end = "least(places[i], greatest(0, n - length))"
+    full = F.expr(f"flatten(transform(sequence(0, size(places) - least), i -> if({begin} <= {end}, sequence({begin}, greatest({begin}, {end})), cast(array() as array<int>))))")
     starts = hits.select("id", "key", "item_id", F.explode(full).alias("start"))
     near = starts.groupBy("id", "key").agg(F.collect_list(F.struct("item_id", "start")).alias("windows")).select(F.col("id").alias("i"), F.col("key").alias("k"), "windows")
     # The texts with windows, each once.

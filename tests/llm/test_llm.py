@@ -184,6 +184,15 @@ def test_decontamination(spark):
     assert decontaminate.decontaminate(docs, bench.limit(0)).count() == len(texts)
 
 
+def test_decontamination_of_swapped_halves(spark):
+    r = random.Random(11)
+    items = [[f"w{r.randrange(10**6)}" for _ in range(n)] for n in (50, 80, 120)]
+    texts = [" ".join(["before"] * 30 + w[len(w) // 2 :] + w[: len(w) // 2] + ["after"] * 30) for w in items]
+    items = [" ".join(w) for w in items]
+    got = {(x.id, x.item_id) for x in decontaminate.contaminated(frame(spark, texts), spark.createDataFrame(list(enumerate(items)), "item_id long, text string")).collect()}
+    assert got == leaks(texts, items) == {(0, 0), (1, 1), (2, 2)}
+
+
 @pytest.mark.parametrize("name", ["op5_line_dedup", "op4_benchmark_decontamination", "op8_near_vectors"])
 def test_against_sql(spark, name):
     con = duckdb.connect()
