@@ -6,6 +6,7 @@ import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -28,6 +29,29 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+#: The tables of the scratch() blocks that are open.
+OPEN: list[list[DataFrame]] = []
+
+
+@contextmanager
+def scratch():
+    """What stored() makes in this block is deleted at its end, but for the tables given to the function it yields.
+
+    So an operator leaves no more than the tables that its lazy result reads.
+    """
+    mine, kept = [], []
+    OPEN.append(mine)
+    try:
+        yield kept.append
+    finally:
+        OPEN.remove(mine)
+        for df in mine:
+            if not any(df is k for k in kept):
+                forget(df)
+        if OPEN:
+            OPEN[-1].extend(kept)
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write df to the shared folder and read it again: lineage is cut and lost executors cost nothing."""
     spark = df.sparkSession
@@ -37,6 +61,8 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     spark.sparkContext._jvm.System.gc()  # shuffle files of steps that are over go now
     out = spark.read.schema(df.schema).parquet(path)
     out.stored_at = path
+    if OPEN:
+        OPEN[-1].append(out)
     return out
 
 

@@ -4,10 +4,11 @@ Sets. A text's words (runs of bytes other than U+0020 and U+0009 to U+000D, A-Z
 set of its distinct `size`-word shingles, as 64-bit hashes; fewer words give one shingle, no
 words the empty set, which links with nothing. Documents with equal sets are one node.
 
-Order. All tokens are ordered by (level, hash); a token's level is the logarithm of how far the
-count in its bucket of a fixed 2**BUCKETS table of corpus counts lies above the mean. The table is
-broadcast; its size doesn't depend on the data. Any fixed order is exact, this one puts
-frequent shingles last.
+Order. All tokens are ordered by (level, hash). A token's level is 0 unless it is frequent: at least FREQUENT sets hold it
+among the tokens that come first in order of hash (half as many again as a prefix takes), counted over all documents.
+Frequent tokens have levels by the logarithm of that count, so they come last. They are broadcast, the most frequent HEAVIEST of
+them at most; any order of the tokens is exact, so this bound changes costs alone. A list of tokens of level 0
+makes no more than FREQUENT / 2 pairs for each of its members, whatever the size of the corpus.
 
 Prefixes. With n tokens and alpha = ceil(t n), a partner shares alpha tokens at least, so among the
 first n - alpha + l tokens of both, l are shared. l is 1 plus the number of frequent tokens in
@@ -35,12 +36,12 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.base import forget, small_batches, stored
+from tessera.llm.base import forget, scratch, small_batches, stored
 from tessera.llm.graph import components
 
-BUCKETS = 17
 MOST_MATCHES = 16
-FREQUENT = 2
+FREQUENT = 16
+HEAVIEST = 1 << 20
 ROUNDS = 4
 FEWER = 4
 HUBS = 6
@@ -163,37 +164,77 @@ def distinct(x: np.ndarray) -> np.ndarray:
     return x[np.concatenate([[True], x[1:] != x[:-1]])] if len(x) else x
 
 
-def corpus_levels(texts: DataFrame, size: int) -> np.ndarray:
-    """Level by bucket: log2 of a bucket's count over the mean count, from all texts."""
+def basic(n: int, percent: int) -> int:
+    """Tokens of a prefix that takes one shared token."""
+    return n + percent * n // -100 + 1
+
+
+class Levels:
+    """The frequent tokens in ascending order and their levels; all others have level 0."""
+
+    def __init__(self, tokens: np.ndarray, counts: np.ndarray):
+        order = np.argsort(tokens)
+        self.tokens = tokens[order]
+        self.levels = (np.log2(counts[order] / FREQUENT) + 1).astype(np.uint8)
+
+    def of(self, s: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(s), np.uint8)
+        if len(self.tokens) and len(s):
+            at = np.searchsorted(self.tokens, s)
+            at[at == len(self.tokens)] = 0
+            same = self.tokens[at] == s
+            out[same] = self.levels[at[same]]
+        return out
+
+
+def frequent_tokens(texts: DataFrame, size: int, percent: int) -> Levels:
+    """The tokens that many sets hold among their first ones, counted over all texts; equal sets count once a task."""
 
     def run(batches):
-        shingler, sums, held, n = Shingler(size), np.zeros(1 << BUCKETS, np.int64), [], 0
+        shingler, held, n, seen = Shingler(size), [], 0, set()
+
+        def counted():
+            tokens, times = np.unique(np.concatenate(held), return_counts=True)
+            for i in range(0, len(tokens), 1 << 16):
+                yield pa.RecordBatch.from_arrays([pa.array(tokens[i : i + (1 << 16)].view(np.int64)), pa.array(times[i : i + (1 << 16)].astype(np.int64))], names=["token", "n"])
+
         for batch in batches:
             for s in shingler.many(batch.column(0).to_pylist()):
-                held.append(s >> np.uint64(64 - BUCKETS))
-                n += len(s)
+                if not len(s):
+                    continue
+                node = xxhash.xxh3_64_intdigest(s.tobytes())
+                if node in seen:
+                    continue
+                if len(seen) < 1_000_000:
+                    seen.add(node)
+                held.append(s[: basic(len(s), percent) * 3 // 2 + 4])
+                n += len(held[-1])
                 if n > 1 << 20:
-                    sums += np.bincount(np.concatenate(held).astype(np.int64), minlength=1 << BUCKETS)
+                    yield from counted()
                     held, n = [], 0
         if held:
-            sums += np.bincount(np.concatenate(held).astype(np.int64), minlength=1 << BUCKETS)
-        at = np.flatnonzero(sums)
-        for i in range(0, len(at), 1 << 15):
-            part = at[i : i + (1 << 15)]
-            yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array(sums[part])], names=["bucket", "n"])
-
-    counts = texts.mapInArrow(run, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
-    sums = np.zeros(1 << BUCKETS)
-    sums[counts.column("bucket").to_numpy()] = counts.column("n").to_numpy()
-    mean = max(1.0, sums.mean() + 3 * sums.mean() ** 0.5)
-    return np.clip(np.floor(np.log2(np.maximum(sums, 1) / mean) + 1), 0, 31).astype(np.uint8)
+            yield from counted()
+
+    counts = texts.mapInArrow(run, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).where(F.col("n") >= FREQUENT)
+    counts = stored(counts, "frequent")
+    # The smallest number of documents for which the table has HEAVIEST rows at most.
+    steps = counts.groupBy(F.floor(F.log2("n") * 4).cast("int").alias("step")).count().collect()  # some hundred rows
+    least, rows = 0, 0
+    for step, count in sorted(((r["step"], r["count"]) for r in steps), reverse=True):
+        rows += count
+        if rows > HEAVIEST:
+            least = step + 1
+            break
+    got = counts.where(F.floor(F.log2("n") * 4) >= least).toArrow()
+    forget(counts)
+    return Levels(got.column("token").to_numpy().view(np.uint64), got.column("n").to_numpy())
 
 
 def prefixes(rows: DataFrame, size: int, percent: int, levels) -> DataFrame:
     """rows(id, key, text) -> (id, key, node, n, ell, q, prefix, bits); a set's prefix and parity bits are kept once a task."""
 
     def run(batches):
-        shingler, level, seen = Shingler(size), levels.value, set()
+        shingler, seen = Shingler(size), set()
         for batch in batches:
             nodes, ns, ells, qs, lists, parities = [], [], [], [], [], []
             for s in shingler.many(batch.column(2).to_pylist()):
@@ -209,13 +250,13 @@ def prefixes(rows: DataFrame, size: int, percent: int, levels) -> DataFrame:
                     continue
                 if len(seen) < 1_000_000:
                     seen.add(node)
-                of = level[(s >> np.uint64(64 - BUCKETS)).astype(np.int64)]
-                order = np.argsort(of, kind="stable")
-                alpha = -(-percent * n // 100)
-                ell = min(1 + int((of[order[: n - alpha + 1]] >= FREQUENT).sum()), MOST_MATCHES, alpha)
+                alpha = n - basic(n, percent) + 1
+                of = levels.value.of(s)
+                order = np.argsort(of, kind="stable") if of.any() else slice(None)
+                ell = min(1 + int((of[order][: n - alpha + 1] > 0).sum()), MOST_MATCHES, alpha)
                 ells.append(ell)
                 qs.append(n - alpha + ell)
-                lists.append(s[order[: n - alpha + ell]].view(np.int64))
+                lists.append(s[order][: n - alpha + ell].view(np.int64))
                 odd = np.bincount((s & np.uint64(BITS - 1)).astype(np.int64), minlength=BITS) & 1
                 parities.append(np.packbits(odd.astype(np.uint8)).view(np.int64))
             yield pa.RecordBatch.from_arrays(
@@ -299,11 +340,25 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
     Ids are integers; a null id takes part, but names no class. Documents link when 100 * intersection >= percent * union.
     """
+    before = docs.sparkSession.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        with scratch() as keep:
+            made, final = linked_classes(docs, doc_id, text, size, percent)
+            keep(made)
+            keep(final)
+    finally:
+        docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    out = made.select("id", "n", "node").join(final, "node", "left")
+    return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id")).alias("component_id"))
+
+
+def linked_classes(docs: DataFrame, doc_id: str, text: str, size: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Two stored tables: (id, n, node, ...) of every document, and (node, component_id) of every set."""
     spark = docs.sparkSession
     small_batches(spark)
     spark.sparkContext.setJobDescription("n-gram Jaccard join")
     rows = docs.select(F.col(doc_id).cast("long").alias("id"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("key"), F.col(text).alias("text"))
-    levels = spark.sparkContext.broadcast(corpus_levels(rows.select("text"), size))
+    levels = spark.sparkContext.broadcast(frequent_tokens(rows.select("text"), size, percent))
     made = stored(prefixes(rows, size, percent, levels), "prefixes")
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "65536")
     # One document, with its text's key, stands for each set. Sets in no list need no more than that.
@@ -340,8 +395,9 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     links = [linked(star)]
     forget(star)
 
+    label = components(links[0])
+
     def labelled(left: DataFrame) -> DataFrame:
-        label = components(links[0] if len(links) == 1 else links[0].union(links[1]))
         return left.drop("comp").join(label, "node", "left").withColumn("comp", F.coalesce("component", "node")).drop("component")
 
     def open_lists(left: DataFrame) -> DataFrame:
@@ -364,6 +420,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         if not fresh:
             break
         links = [stored((links[0] if len(links) == 1 else links[0].union(links[1])).union(found), "links")]
+        label = components(links[0])
         after = open_lists(left)
         forget(left)
         left = after
@@ -373,12 +430,23 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     # Of the tokens that a pair shares and that are short for its smaller node, the first in that node's order is never left out.
     order = Window.partitionBy("node").orderBy(F.desc("short"), "token")
     earlier = F.array_compact(F.array(*(F.lag("token", i + 1).over(order) for i in range(BEFORE))))
-    sized = labelled(small.union(left.select("token", "node", "short"))).join(sides.select("node", "n"), "node").withColumn("before", earlier)
-    x, y = (sized.select("token", F.col("node").alias(k), *(F.col(c).alias(f"{c}_{k}") for c in ("comp", "n", "short", "before"))) for k in "ab")
+    sized = labelled(small.withColumn("large", F.lit(False)).union(left.select("token", "node", "short", F.lit(True)))).join(sides.select("node", "n"), "node").withColumn("before", earlier)
     shorter = F.when(F.struct("n_a", "a") < F.struct("n_b", "b"), F.col("short_a")).otherwise(F.col("short_b"))
     near = F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent
-    pairs = x.join(y, "token").where((F.col("comp_a") < F.col("comp_b")) & shorter & near & ~F.arrays_overlap("before_a", "before_b")).select("a", "b").distinct()
-    pairs = stored(pairs.join(parity("a"), "a").join(parity("b"), "b").where(alike(percent)).select("a", "b"), "pairs")
+
+    def met(postings: DataFrame, allowed) -> DataFrame:
+        """The pairs of different classes that meet in a list."""
+        x, y = (postings.select("token", F.col("node").alias(k), *(F.col(c).alias(f"{c}_{k}") for c in postings.columns if c not in ("token", "node"))) for k in "ab")
+        same = (x["token"] == y["token"]) & (F.col("comp_a") < F.col("comp_b")) & shorter & near & allowed & ~F.arrays_overlap("before_a", "before_b")
+        return x.join(y, same).select("a", "b").distinct()
+
+    # In large lists the bits go along, so that only pairs they allow leave the join.
+    hot = sized.where("large").drop("large").join(nodes.select("node", "bits"), "node").select("*", *(F.col("bits")[i].alias(f"w{i}") for i in range(BITS // 64))).drop("bits")
+    differing = sum(F.bit_count(F.col(f"w{i}_a").bitwiseXOR(F.col(f"w{i}_b"))) for i in range(BITS // 64))
+    hot = met(hot, differing <= F.col("n_a") + F.col("n_b") - 2 * needed(percent))
+    cold = met(sized.where("NOT large").drop("large"), F.lit(True))
+    cold = cold.join(parity("a"), "a").join(parity("b"), "b").where(alike(percent)).select("a", "b")
+    pairs = stored(hot.union(cold).distinct(), "pairs")
     # The whole prefixes of what is left give the count for the bound.
     either = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
     held = stored(made.where("ell > 0").join(either, "node", "left_semi").select("node", "n", "ell", "q", "prefix").dropDuplicates(["node"]), "held")
@@ -392,6 +460,4 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     # Two small tables, one row per set: a set's class, and the class's smallest id.
     named = stored(named.select("node", "comp", "first"), "classes")
     classes = named.groupBy("comp").agg(F.min("first").alias("component_id"))
-    final = named.join(classes, "comp").select("node", "component_id")
-    out = made.select("id", "n", "node").join(final, "node", "left")
-    return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id")).alias("component_id"))
+    return made, stored(named.join(classes, "comp").select("node", "component_id"), "named")
