@@ -8,9 +8,12 @@ bytes compared; these are cut out of the texts once and dealt out by anchor.
 
 Index. Each task keeps a logarithmic family of suffix arrays (Family): the windows of a new
 batch are sorted as byte strings, equal neighbours are matches, the batch is merge-scanned
-against each level, and levels of equal size merge, so that a window is sorted into O(log n) levels. Anchors
-with more than HOT stretches don't fit one task; their windows are counted by 64-bit content
-hash with a DataFrame aggregation, which gives the same marks.
+against each level, and levels of equal size merge, so that a window is sorted into O(log n) levels. Stretches are dealt to
+tasks by their anchor. An anchor with more than MANY different stretches is dealt anew, by finer keys: windows that begin at
+like distances from the anchor (bands of BANDS[0] distances, then BANDS[1], ...) share all the bytes that lie in each of them, so equal
+windows meet at the hash of these. Each deal first takes equal strings as one, which repeat whole, and leaves out what is alone
+under its key; so rows grow with the number of stretches, and no key needs all its stretches in one task. In the last deal a band is
+one window.
 
 Strings are judged on the input. Texts are UTF-8 bytes, null is empty; matches don't cross
 documents; copies and repeated rows are matches of each other. Texts below `length` bytes are kept.
@@ -26,10 +29,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.base import forget, small_batches, stored
+from tessera.llm.base import forget, scratch, small_batches, stored
 
 GRAM = 32
-HOT = 2000
+MANY = 2000
+BANDS = (32, 8, 1)
 PART = 1 << 20
 BASE = 0x9E3779B97F4A7C15
 
@@ -214,14 +218,51 @@ def span_batch(made: list[tuple[int, int, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([x[i] for x in made], pa.int64()) for i in range(3)], names=["key", "from", "to"])
 
 
-def window_hashes(batches, length: int):
-    """Rows (anchor, key, at, bytes) -> (key, at, hash) of each window, for anchors too large for one task."""
+def banded(batches, length: int, band: int):
+    """Rows (deal, key, at, data, lead) -> (deal, content, key, at, data, lead): the windows of each band, under their common bytes.
+
+    data holds windows in a row, lead is the anchor's place in it (below 0 where the anchor lies before it).
+    """
     hasher = Hasher(length)
     for batch in batches:
-        for _, key, at, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            n = len(data) - length + 1
-            h = hasher.hashes(hasher.sums(data), np.arange(n), np.arange(n) + length)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(n, key)), pa.array(np.arange(n) + at), pa.array(h.view(np.int64))], names=["key", "at", "hash"])
+        out = []
+        for _, key, at, data, lead in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            sums, n = hasher.sums(data), len(data) - length + 1
+            for k in range((lead - n + 1) // band, lead // band + 1):
+                first, last = max(0, lead - k * band - band + 1), min(n - 1, lead - k * band)  # windows with this distance // band
+                core = [lead - k * band, lead - k * band - band + 1 + length]
+                deal, content = hasher.hashes(sums, np.array([core[0], first]), np.array([core[1], last + length])).view(np.int64).tolist()
+                out.append((deal ^ k, content, key, at + first, data[first : last + length], lead - first))
+        if out:
+            cols = list(zip(*out, strict=True))
+            yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in cols[:4]), pa.array(cols[4], pa.binary()), pa.array(cols[5], pa.int32())], names=["deal", "content", "key", "at", "data", "lead"])
+
+
+def lead(data: bytes, hasher: Hasher) -> int:
+    """The anchor's place in a stretch: its grams' smallest hash, the leftmost of equals."""
+    n = len(data) - GRAM + 1
+    grams = hasher.hashes(hasher.sums(data), slice(0, n), slice(GRAM, GRAM + n))
+    return int(((grams & ~np.uint64((1 << 24) - 1)) | np.arange(n, dtype=np.uint64)).argmin())
+
+
+def dealt_anew(pieces: DataFrame, length: int) -> tuple[list[DataFrame], list[DataFrame]]:
+    """Pieces of keys with too many -> spans (key, from, to) of what repeats whole, and pieces under keys that fit a task."""
+    spans_found, fitting = [], []
+    for band in BANDS:
+        if pieces.isEmpty():
+            break
+        made = stored(pieces.mapInArrow(lambda b, band=band: banded(b, length, band), "deal long, content long, key long, at long, data binary, lead int"), "bands")
+        same = made.groupBy("deal", "content").agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct("key", "at")).alias("r"))
+        deals = same.groupBy("deal").agg(F.sum("copies").alias("n"), F.count(F.lit(1)).alias("kinds")).where("n > 1")
+        same = stored(same.join(deals, "deal").select("deal", "content", "copies", "r", "kinds"), "band-contents")
+        whole = made.join(same.where("copies > 1").select("deal", "content"), ["deal", "content"], "left_semi")
+        spans_found.append(whole.select("key", F.col("at").alias("from"), (F.col("at") + F.octet_length("data")).alias("to")))
+        left = same.where("kinds > 1").select("deal", "content", "r", (F.col("kinds") > MANY).alias("many"))
+        left = made.join(left, ["deal", "content"]).where((F.col("key") == F.col("r.key")) & (F.col("at") == F.col("r.at"))).select(F.col("deal").alias("anchor"), "key", "at", "data", "lead", "many")
+        left = stored(left, "band-pieces")
+        fitting.append(left.where("NOT many").select("anchor", "key", "at", "data"))
+        pieces = left.where("many").drop("many")
+    return spans_found, fitting
 
 
 def repeated_spans(rows: DataFrame, length: int) -> DataFrame:
@@ -236,30 +277,34 @@ def repeated_spans(rows: DataFrame, length: int) -> DataFrame:
     alike = shared.join(contents.where("copies > 1").select("anchor", "content"), ["anchor", "content"], "left_semi").unionByName(shared.where("NOT mixed"))
     whole = alike.select("key", F.col("at").alias("from"), (F.col("at") + F.col("size")).alias("to"))
     # Each content once, cut from one text that holds it.
-    hot = contents.groupBy("anchor").count().where(F.col("count") > HOT).select("anchor", F.lit(True).alias("hot"))
-    cuts = contents.join(hot, "anchor", "left").select("r.key", F.struct("anchor", "r.at", "r.size", F.coalesce("hot", F.lit(False)).alias("hot")).alias("cut"))
+    many = contents.groupBy("anchor").count().where(F.col("count") > MANY).select("anchor", F.lit(True).alias("many"))
+    cuts = contents.join(many, "anchor", "left").select("r.key", F.struct("anchor", "r.at", "r.size", F.coalesce("many", F.lit(False)).alias("many")).alias("cut"))
     cuts = cuts.groupBy("key").agg(F.collect_list("cut").alias("cuts")).withColumnRenamed("key", "k")
     texts = rows.join(cuts.hint("shuffle_hash"), F.col("key") == F.col("k")).select("key", "text", "cuts").dropDuplicates(["key"])
 
     def cut(batches):
+        hasher = Hasher(length)
         for batch in batches:
             out = []
             for key, text, own in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 data = text.encode("utf-8", "surrogatepass")
-                out += [(c["anchor"], key, c["at"], data[c["at"] : c["at"] + c["size"]], c["hot"]) for c in own]
+                out += [(c["anchor"], key, c["at"], data[c["at"] : c["at"] + c["size"]], c["many"]) for c in own]
             if out:
-                a, k, at, data, is_hot = zip(*out, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(k, pa.int64()), pa.array(at, pa.int64()), pa.array(data, pa.binary()), pa.array(is_hot, pa.bool_())], names=["anchor", "key", "at", "data", "hot"])
+                a, k, at, data, is_many = zip(*out, strict=True)
+                places = [lead(x, hasher) if m else 0 for x, m in zip(data, is_many, strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(k, pa.int64()), pa.array(at, pa.int64()), pa.array(data, pa.binary()), pa.array(places, pa.int32()), pa.array(is_many, pa.bool_())], names=["anchor", "key", "at", "data", "lead", "many"])
 
     small_batches(spark)
-    pieces = stored(texts.mapInArrow(cut, "anchor long, key long, at long, data binary, hot boolean"), "pieces")
+    pieces = stored(texts.mapInArrow(cut, "anchor long, key long, at long, data binary, lead int, many boolean"), "pieces")
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4096")
-    columns = ("anchor", "key", "at", "data")
-    cold = pieces.where("NOT hot").select(*columns).repartition("anchor").sortWithinPartitions("anchor").mapInArrow(lambda b: indexed(b, length), "key long, from long, to long")
-    each = pieces.where("hot").select(*columns).mapInArrow(lambda b: window_hashes(b, length), "key long, at long, hash long")
-    often = each.groupBy("hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("hash")
-    warm = each.join(often, "hash").select("key", F.col("at").alias("from"), (F.col("at") + length).alias("to"))
-    return stored(whole.union(cold).union(warm).distinct(), "spans")
+    found, fitting = dealt_anew(pieces.where("many").drop("many"), length)
+    cold = pieces.where("NOT many").select("anchor", "key", "at", "data")
+    for more in fitting:
+        cold = cold.union(more)
+    cold = cold.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(lambda b: indexed(b, length), "key long, from long, to long")
+    for more in (cold, *found):
+        whole = whole.union(more)
+    return stored(whole.distinct(), "spans")
 
 
 def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = 200, with_text: bool = False) -> DataFrame:
@@ -267,7 +312,9 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     spark = docs.sparkSession
     small_batches(spark)
     rows = docs.select(F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("key"), F.col(text).alias("text"))
-    found = repeated_spans(rows, length)
+    with scratch() as keep:
+        found = repeated_spans(rows, length)
+        keep(found)
     own = found.groupBy("key").agg(F.collect_list(F.struct("from", "to")).alias("spans")).withColumnRenamed("key", "k")
     joined = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("t"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("key"))
     joined = joined.join(own.hint("shuffle_hash"), F.col("key") == F.col("k"), "left").select("doc_id", "t", "spans")
