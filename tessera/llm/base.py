@@ -99,6 +99,18 @@ def append_columns(df: DataFrame, fields: list[T.StructField], make: Callable[[]
     return df.mapInArrow(run, schema)
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Names like these that no column of df has."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def by_bytes(texts: Iterable[str | None], limit: int) -> Iterator[list[str]]:
     """Texts in runs of about limit characters; null is the empty text."""
     run, size = [], 0

@@ -82,7 +82,7 @@ SELECT d.doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_removed_lines, 0) A
 FROM documents d LEFT JOIN final f ON d.doc_id = f.doc_id AND d.text = f.text
 """
 
-#: Windows and items as multisets of shingles; no fingerprints.
+#: All windows that share a shingle with an item, as multisets of shingles; no fingerprints.
 LEAKS_SQL = r"""
 WITH dw AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '\s+'), lambda x: x <> '') AS w FROM documents WHERE text IS NOT NULL),
 iw AS (SELECT item_id, list_filter(regexp_split_to_array(lower(text), '\s+'), lambda x: x <> '') AS w FROM benchmark WHERE text IS NOT NULL),
@@ -90,8 +90,8 @@ ds AS (SELECT doc_id, n, unnest(s) AS s, unnest(range(len(s))) AS pos FROM (SELE
   CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) ELSE [array_to_string(w, ' ')] END AS s FROM dw WHERE len(w) > 0)),
 its AS (SELECT item_id, n, m, unnest(s) AS s, unnest(range(len(s))) AS q FROM (SELECT *, len(s) AS m FROM (SELECT item_id, len(w) AS n,
   CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) ELSE [array_to_string(w, ' ')] END AS s FROM iw WHERE len(w) > 0))),
-starts AS (SELECT DISTINCT doc_id, item_id, m, unnest(range(greatest(0, least(pos - q - e, dn - n)), greatest(0, least(pos - q + e, dn - n)) + 1)) AS start
-  FROM (SELECT ds.doc_id, its.item_id, its.m, ds.n AS dn, its.n, pos, q, ceil(its.m / 9.0)::BIGINT AS e FROM ds JOIN its ON ds.s = its.s)),
+starts AS (SELECT DISTINCT doc_id, item_id, m, unnest(range(greatest(0, pos - m + 1), least(pos, greatest(0, dn - n)) + 1)) AS start
+  FROM (SELECT ds.doc_id, its.item_id, its.m, ds.n AS dn, its.n, pos FROM ds JOIN its ON ds.s = its.s)),
 win AS (SELECT st.doc_id, st.item_id, st.m, st.start, ds.s, count(*) AS c FROM starts st JOIN ds ON ds.doc_id = st.doc_id AND ds.pos >= st.start AND ds.pos < st.start + st.m GROUP BY ALL),
 ic AS (SELECT item_id, s, count(*) AS c FROM its GROUP BY ALL),
 sims AS (SELECT win.doc_id, win.item_id, win.start, sum(least(win.c, coalesce(ic.c, 0))) AS shared, sum(win.c) + any_value(win.m) AS total

@@ -180,10 +180,34 @@ def test_decontamination(spark):
     assert got == want and len(want) > 8
     clean = {x.doc_id for x in decontaminate.decontaminate(docs, bench).collect()}
     assert clean == set(range(len(texts))) - {d for d, _ in want}
-    decontaminate.decontaminate(odd(spark), bench).count()
     assert decontaminate.decontaminate(docs, bench.limit(0)).count() == len(texts)
 
 
+def test_decontamination_of_odd_rows(spark):
+    """Null and repeated ids, null, empty and very long texts, clashing names."""
+    items = ["same text here of some words", "a b c", "word " * 40, None, "", "a b c"]
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    docs = odd(spark).withColumn("i", F.lit(1)).withColumn("k", F.lit(2)).withColumn("key", F.lit(3)).withColumn("start", F.lit(4)).cache()
+    dirty = {d for d, _ in leaks(ODD, items)}
+    assert {ODD[d] for d in dirty} == {"same text here of some words", "a b c", "word " * 30_000}
+    left = decontaminate.decontaminate(docs, bench)
+    assert left.columns == docs.columns
+    assert collections.Counter(r.text for r in left.collect()) == collections.Counter(t for i, t in enumerate(ODD) if i not in dirty)
+    assert decontaminate.decontaminate(docs.limit(0), bench).count() == 0
+
+
+def test_decontamination_of_a_long_repetitive_text(spark):
+    r = random.Random(4)
+    phrase = [f"w{i}" for i in range(7)]
+    text = [phrase[i % 7] for i in range(20_000)]
+    item = [phrase[i % 7] for i in range(30)]
+    item[11] = "other"
+    other = [f"x{r.randrange(50)}" for _ in range(300)]
+    texts, items = [" ".join(text), " ".join(other), "none of these"], [" ".join(item), " ".join(other[10:150]), " ".join(phrase * 3)]
+    got = {(x.id, x.item_id) for x in decontaminate.contaminated(frame(spark, texts), spark.createDataFrame(list(enumerate(items)), "item_id long, text string")).collect()}
+    assert got == leaks(texts, items) and {(0, 2), (1, 1)} <= got
+
+
 def test_decontamination_of_swapped_halves(spark):
     r = random.Random(11)
     items = [[f"w{r.randrange(10**6)}" for _ in range(n)] for n in (50, 80, 120)]
@@ -240,9 +264,9 @@ def brute_spans(texts, length):
     return out
 
 
-@pytest.mark.parametrize("hot", [2000, 1])
-def test_suffix_dedup(spark, hot, monkeypatch):
-    monkeypatch.setattr(suffix_dedup, "HOT", hot)
+@pytest.mark.parametrize("many", [2000, 5, 1])
+def test_suffix_dedup(spark, many, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "MANY", many)
     texts = corpus(40) + [t for t in ODD if t is None or len(t) < 100] + ["ab" * 400, "é" * 300]
     got = {r[0]: tuple(r[1:]) for r in suffix_dedup.remove_repeats(frame(spark, texts)).collect()}
     assert [got[i] for i in range(len(texts))] == brute_spans(texts, 200)
