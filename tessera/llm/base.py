@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
@@ -125,6 +126,20 @@ def by_bytes(texts: Iterable[str | None], limit: int) -> Iterator[list[str]]:
         yield run
 
 
+#: White space of the Unicode standard, which is what str.split() takes but for U+001C to U+001F.
+GAP = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+
+
+def parts_of(text: str, size: int = 1 << 20) -> Iterator[str]:
+    """A text in parts of about size characters that end behind white space; a longer word is not cut."""
+    at = 0
+    while at < len(text):
+        gap = GAP.search(text, at + size)
+        end = gap.end() if gap else len(text)
+        yield text[at:end]
+        at = end
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -1,6 +1,6 @@
 """Language identification by interpolated Kneser-Ney character models.
 
-Model. Words (runs of letters, lower case) with a start and an end mark give character n-grams
+Model. Words (runs of letters, which are the Unicode categories L*, lower case) with a start and an end mark give character n-grams
 up to ORDER; contexts stay within a word. Per language and order the discounted, interpolated
 log-probabilities lie in arrays sorted by n-gram hash, with the log of each context's share for
 the next lower order beside them. A hash keeps BITS bits, so a language's arrays are bounded
@@ -18,12 +18,15 @@ without any letter.
 
 Null or letterless text: `und`, score 0, rejected. No training rows: all are `und`.
 Rows with a null language or id never train. Repeated rows count as often as they occur.
-Very long texts are taken in parts of PART characters, whole.
+Very long texts are taken in parts that end behind white space, whole. Columns of any name may stand beside id, text and lang;
+those named like an output are replaced.
 """
 
 from __future__ import annotations
 
 import re
+import sys
+import unicodedata
 from collections import Counter
 
 import numpy as np
@@ -32,25 +35,26 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.base import append_columns, small_batches
+from tessera.llm.base import append_columns, parts_of, small_batches
 
 ORDER = 4
 BITS = 20
 HOLD = 8
 MARGIN = 0.5
 FEW = 20
-PART = 1 << 20
 RUN = 100_000
 SCALES = [2.0**-k for k in range(0, 9)]
-LETTERS = re.compile(r"[^\W\d_]+")
+#: Numerals that the class of words holds and that are no letters.
+NUMERALS = "".join(c for c in map(chr, range(sys.maxunicode + 1)) if unicodedata.category(c) in ("No", "Nl"))
+LETTERS = re.compile(rf"[^\W\d_{NUMERALS}]+")
 START, END = 2, 3
 FIELDS = [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("cross_entropy", T.DoubleType()), T.StructField("rejected", T.BooleanType())]
 
 
 def words_of(text: str):
-    """Lists of the words of a text, a part at a time; a word cut by a part's end is taken as two."""
-    for at in range(0, len(text), PART):
-        yield LETTERS.findall(text[at : at + PART].lower())
+    """Lists of the words of a text, a part at a time."""
+    for part in parts_of(text):
+        yield LETTERS.findall(part.lower())
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
