@@ -10,8 +10,9 @@ halves, so going on from there is exact. Memory is bounded by the lookahead, how
 pre-token is.
 
 Decoding. Tokens pass one at a time through a state machine that holds at most one unfinished
-UTF-8 character, for the text, and are joined by one space for the library's form, whose file
-names no decoder.
+UTF-8 character. Its plain form writes the tokens themselves, joined by one space, which is what the library does where its file
+names no decoder. Both forms begin anew at a word, so short words' ids and decoded forms are remembered together; a text is taken in parts
+that end behind white space, so neither all its words nor all its tokens are held at once.
 
 Null and empty texts have no ids and decode to the empty text. Each row is taken by itself:
 ties, repeated rows and equal ids change nothing, and an empty table gives an empty one.
@@ -31,7 +32,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from tessera.llm.base import append_columns
+from tessera.llm.base import append_columns, parts_of
 from tessera.llm.token_counts import vocabulary_path
 
 #: White space of the Unicode standard. str.split() also takes U+001C to U+001F.
@@ -190,13 +191,17 @@ class Transducer:
 
 
 class Decoder:
-    """Tokens in, characters out; holds at most one unfinished character."""
+    """Tokens in, characters out; holds at most one unfinished character. plain: the tokens as they are, joined by one space."""
 
-    def __init__(self, vocabulary: Vocabulary):
+    def __init__(self, vocabulary: Vocabulary, plain: bool = False):
         self.v, self.state = vocabulary, codecs.getincrementaldecoder("utf-8")("replace")
+        self.plain, self.begun = plain, False
 
     def push(self, token: int) -> str:
         name = self.v.tokens[token]
+        if self.plain:
+            gap, self.begun = " " * self.begun, True
+            return gap + name
         if name in self.v.special:
             return self.state.decode(b"", True) + name
         ends = bool(self.v.suffix) and name.endswith(self.v.suffix)
@@ -204,6 +209,7 @@ class Decoder:
         return self.state.decode(bytes(self.v.bytes_of[c] for c in body), ends) + " " * ends
 
     def close(self) -> str:
+        self.begun = False
         return self.state.decode(b"", True)
 
 
@@ -215,8 +221,10 @@ class Codec:
         self.special = regex.compile("(" + "|".join(regex.escape(s) for s in sorted(self.v.special, key=len, reverse=True)) + ")")
         self.memory, self.known, self.moving = memory, {}, Transducer(self.v)
 
-    def words(self, text: str) -> list[str]:
-        return [w for w in regex.split(f"[{SPACE}]+", text) if w] if ODD.search(text) else text.split()
+    def words(self, text: str):
+        """Lists of the runs without white space, a part of the text at a time."""
+        for part in parts_of(text):
+            yield [w for w in regex.split(f"[{SPACE}]+", part) if w] if ODD.search(part) else part.split()
 
     def encode_word(self, word: str) -> list[int]:
         """Ids of a run without white space."""
@@ -235,42 +243,37 @@ class Codec:
         return ids
 
     def entry(self, word: str) -> tuple[int, str, str]:
-        """Number of ids, ids and tokens of a word, each joined by one space."""
+        """Number of ids of a word, the ids joined by one space, and what they decode to in plain form."""
         ids = self.encode_word(word)
-        found = (len(ids), " ".join(map(str, ids)), " ".join(self.v.tokens[i] for i in ids))
+        found = (len(ids), " ".join(map(str, ids)), self.decode(ids, True))
         if len(word) <= 64:
             if len(self.known) >= self.memory:
                 self.known.clear()
             self.known[word] = found
         return found
 
-    def digest(self, text: str, part: int = 4096) -> tuple[int, str, str]:
-        """Number of ids and the digests of ids and decoded text; only part words are held as text at once."""
-        n, ids_hash, text_hash, begun = 0, hashlib.sha256(), hashlib.sha256(), b""
-        words, known = self.words(text), self.known
-        for at in range(0, len(words), part):
-            found = [known.get(w) or self.entry(w) for w in words[at : at + part]]
+    def digest(self, text: str) -> tuple[int, str, str]:
+        """Number of ids and the digests of ids and decoded text; only a part of the text's words is held at once."""
+        n, ids_hash, text_hash, begun, known = 0, hashlib.sha256(), hashlib.sha256(), "", self.known
+        for words in self.words(text):
+            found = [known.get(w) or self.entry(w) for w in words]
             found = [x for x in found if x[0]]
             if not found:
                 continue
-            n += sum(x[0] for x in found)
-            ids_hash.update(begun + " ".join([x[1] for x in found]).encode())
-            text_hash.update(begun + " ".join([x[2] for x in found]).encode())
-            begun = b" "
+            n += sum([x[0] for x in found])
+            ids_hash.update((begun + " ".join([x[1] for x in found])).encode())
+            text_hash.update((begun + " ".join([x[2] for x in found])).encode())
+            begun = " "
         return n, ids_hash.hexdigest(), text_hash.hexdigest()
 
     def encode(self, text: str) -> list[int]:
-        return [i for w in self.words(text) for i in self.encode_word(w)]
+        return [i for words in self.words(text) for w in words for i in self.encode_word(w)]
 
-    def decode(self, ids: list[int]) -> str:
-        """The text that ids stand for: bytes through the state machine, a space after each word."""
-        machine = Decoder(self.v)
+    def decode(self, ids: list[int], plain: bool = False) -> str:
+        """The text that ids stand for: bytes through the state machine, a space after each word. plain: the library's form."""
+        machine = Decoder(self.v, plain)
         return "".join([*map(machine.push, ids), machine.close()])
 
-    def decode_plain(self, ids: list[int]) -> str:
-        """The library's form where its file names no decoder: tokens joined by one space."""
-        return " ".join(self.v.tokens[i] for i in ids)
-
 
 def encode_decode(docs: DataFrame, vocabulary: str, text: str = "text", ids: bool = False) -> DataFrame:
     """docs with n_tokens, ids_sha256 and decoded_sha256; with ids=True also token_ids and decoded."""
