@@ -4,9 +4,10 @@ A text is split where a character that isn't white space meets a space, tab or l
 byte-level pattern never joins two such sides (a token of the pattern is one run of white
 space, or at most one space and a run without any), and nothing in it looks back, so the
 pieces' counts add up to the text's. The pieces of a batch that are not yet known go to the
-library together, in batches balanced by bytes; counts of short pieces are remembered.
-Texts with control characters that Python calls white space and the pattern doesn't are
-encoded whole.
+library together, in batches balanced by UTF-8 bytes; counts of short pieces are remembered.
+Control characters that Python calls white space and the pattern doesn't are never a side of a boundary.
+Long texts are cut into parts of about the batch's bytes at such boundaries, or where a letter of a common script meets a figure
+or a mark, which no token of the pattern spans either; a text without any of these goes to the library whole.
 
 Null and empty texts have no bytes and no tokens. Rows are taken one by one: repeated rows
 and equal ids each get a row, an empty table gives an empty one, and columns of the input
@@ -16,32 +17,58 @@ stay, but for those named like an output, which are replaced.
 from __future__ import annotations
 
 import re
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from tessera.llm.base import append_columns, by_bytes
+from tessera.llm.base import append_columns
 
 FIELDS = [T.StructField("n_bytes", T.LongType()), T.StructField("n_tokens", T.LongType()), T.StructField("over_limit", T.BooleanType())]
-ODD_SPACE = re.compile("[\x1c-\x1f᠎]")
+ODD_SPACE = re.compile("[\x1c-\x1f\u180e]")
 PIECE = re.compile(r"\s*\S+|\s+")
-SAFE = re.compile(r"\S(?=[ \t\n\r])")
+BOUNDARY = re.compile("(?<=[^\\s\x1c-\x1f\u180e])(?=[ \t\n\r])")
+LETTER = "A-Za-z\u0430-\u044f\u0e01-\u0e30\u3041-\u3096\u30a1-\u30fa\u4e00-\u9fa5\uac00-\ud7a3"
+SAFE = re.compile(f"[^\\s\x1c-\x1f\u180e](?=[ \t\n\r])|[{LETTER}](?=[0-9!-/:-@\u3001\u3002\uff0c])|[0-9](?=[{LETTER}!-/:-@\u3001\u3002\uff0c])")
 
 
-def slices(text: str, limit: int):
-    """Parts of a long text, cut at the first safe boundary after each limit."""
-    if len(text) <= limit or ODD_SPACE.search(text):
+def size_of(text: str) -> int:
+    """UTF-8 bytes."""
+    return len(text) if text.isascii() else len(text.encode("utf-8", "surrogatepass"))
+
+
+def by_bytes(texts: Iterable[str], limit: int) -> Iterator[list[str]]:
+    """Texts in runs of about limit bytes."""
+    run, size = [], 0
+    for text in texts:
+        run.append(text)
+        size += size_of(text)
+        if size >= limit:
+            yield run
+            run, size = [], 0
+    if run:
+        yield run
+
+
+def slices(text: str, limit: int) -> Iterator[str]:
+    """Parts of a long text, cut at the first safe boundary after about each limit of bytes."""
+    size = size_of(text)
+    if size <= limit:
         yield text
         return
-    at = 0
+    step, at = max(1, limit * len(text) // size), 0
     while at < len(text):
-        cut = SAFE.search(text, at + limit) if at + limit < len(text) else None
+        cut = SAFE.search(text, at + step) if at + step < len(text) else None
         end = cut.end() if cut else len(text)
         yield text[at:end]
         at = end
 
 
+def pieces_of(part: str) -> list[str]:
+    return BOUNDARY.split(part) if ODD_SPACE.search(part) else PIECE.findall(part)
+
+
 class Counter:
     """Counts of whole texts, with a bounded memory of short pieces."""
 
@@ -64,7 +91,7 @@ class Counter:
         out = [0] * len(texts)
         for run in by_bytes([part for _, part in cut], self.batch_bytes):
             owners, cut = cut[: len(run)], cut[len(run) :]
-            pieces = [[part] if ODD_SPACE.search(part) else PIECE.findall(part) for part in run]
+            pieces = [pieces_of(part) for part in run]
             new = list(set().union(*pieces).difference(self.known))
             if len(self.known) + len(new) > self.memory:
                 self.known.clear()
@@ -94,7 +121,7 @@ def count_tokens(docs: DataFrame, vocabulary: str, text: str = "text", limit: in
             texts = [t or "" for t in batch.column(at).to_pylist()]
             counts = counter.counts(texts)
             return [
-                pa.array([len(t.encode("utf-8", "surrogatepass")) for t in texts], pa.int64()),
+                pa.array([size_of(t) for t in texts], pa.int64()),
                 pa.array(counts, pa.int64()),
                 pa.array([n > limit for n in counts], pa.bool_()),
             ]
