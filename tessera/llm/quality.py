@@ -3,21 +3,22 @@
 Text view: hashed words and word shapes (case, trailing marks, length) as shares of a text, plus a few
 figures of the whole text. Metadata view: source, language and length class. Each view has a logistic classifier.
 Over ROUNDS rounds each classifier labels the unlabelled documents it is surest of, in the
-proportion of the classes, for the other one to learn from. All unlabelled documents take part: their sparse rows are
-stored once, each round scores them where they lie, a histogram over all of them gives the thresholds (ties at one
+proportion of the classes, for the other one to learn from. All documents but the labelled ones taken take part: the sparse rows of
+all documents are stored once (prepare), each round scores them where they lie, a histogram over all of them gives the thresholds (ties at one
 are split by a hash of the document), and both views go on with STEPS gradient steps over the labelled rows and the sums over all
 pseudo-labelled ones. Sums are of integers, so they don't depend on partitions. On labelled documents held back
 from that, each view's logit is calibrated (a scale and an offset) and a logistic on both combines them;
 the result scores every document.
 
-Bounds: LABELLED labelled documents, taken by hash of the id, go to the driver (a parameter); of the others it gets
-histograms and sums of a fixed size. Scoring reads all documents in one pass
-without a shuffle.
+Bounds: LABELLED labelled documents, taken by hash of the id, go to the driver (a parameter), and their ids to all tasks; of the
+others, those with labels beyond that number included, it gets histograms and sums of a fixed size. Scoring reads all documents, or
+their stored rows, in one pass without a shuffle.
 
 Null text counts as empty, null metadata as a value of its own. Labels that are null or without a
 document are not used; of several labels of one id the largest counts. With labels of one class only, or none,
 all scores are that class's share (0.5 without labels). Rows with equal ids are scored each by itself, and so
-they are as unlabelled documents; those with null ids are unlabelled.
+they are as unlabelled documents; of labelled ones with equal ids the least row trains. Those with null ids are unlabelled. An empty
+table gives an empty result. Other columns of docs and labels, whatever their names, are not looked at.
 """
 
 from __future__ import annotations
@@ -31,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.base import append_columns, forget, small_batches, stored
+from tessera.llm.base import append_columns, parts_of, scratch, small_batches, stored
 
 LABELLED = 6000
 ROUNDS = 4
@@ -42,7 +43,6 @@ FINE = 50  # buckets of a histogram in one unit of a logit
 TOP = 2000
 UNIT = 1 << 24  # of a gradient sum
 WIDTH = 1 << 12
-PART = 1 << 20
 MARKS = re.compile(r"[^\w\s]+$")
 FIELDS = [T.StructField("score", T.DoubleType()), T.StructField("quality_pred", T.IntegerType()), T.StructField("text_score", T.DoubleType()), T.StructField("meta_score", T.DoubleType()), T.StructField("keep", T.BooleanType())]
 
@@ -74,8 +74,8 @@ class TextView:
 
     def row(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
         counts, n, kinds, repeats = np.zeros(WIDTH), 0, 0, 0
-        for at in range(0, len(text or ""), PART):
-            words = text[at : at + PART].split()
+        for part in parts_of(text or ""):
+            words = part.split()
             if words:
                 counts += np.bincount(self.slots(words), minlength=WIDTH)
                 n += len(words)
@@ -121,9 +121,8 @@ class Logistic:
             self.move(np.bincount(at, value * g[owner], len(self.w)) + decay * self.w, g.sum())
         return self
 
-    def logits(self, rows) -> np.ndarray:
-        at, value, owner = flat(rows)
-        return np.bincount(owner, value * self.w[at], len(rows)) + self.b
+    def logits(self, at, value, owner, n: int) -> np.ndarray:
+        return np.bincount(owner, value * self.w[at], n) + self.b
 
 
 def flat(rows):
@@ -147,12 +146,12 @@ def class_sums(w: np.ndarray, b: float, at, value, owner, y: np.ndarray) -> np.n
 
 
 class Pool:
-    """The unlabelled documents: a stored table (u, ta, tv, ma, mv) and what each view was given of it."""
+    """The unlabelled documents (u, ta, tv, ma, mv), rows of a stored table, and what each view was given of them."""
 
     NAMES = (("ta", "tv"), ("ma", "mv"))
 
     def __init__(self, rows: DataFrame):
-        self.rows, self.history, self.given = stored(rows, "unlabelled"), [], []
+        self.rows, self.history, self.given = rows, [], []
 
     def sums(self, df: DataFrame, run) -> dict[int, int]:
         small_batches(df.sparkSession, 2000)
@@ -249,17 +248,13 @@ class Pool:
         flat_out[list(found)] = list(found.values())
         return [flat_out.reshape(2, 2, width)[k][:, : len(now[k][0]) + 2] for k in (0, 1)]
 
-    def close(self):
-        for df in (self.rows, *self.given):
-            forget(df)
-
 
 def filled(sums: np.ndarray) -> pa.RecordBatch:
     at = np.flatnonzero(sums)
     return pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(sums[at])], names=["slot", "n"])
 
 
-def dense_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, unweighted: bool = True) -> tuple[np.ndarray, float]:
+def dense_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> tuple[np.ndarray, float]:
     """Weights and offset by Newton steps."""
     a = np.column_stack([x, np.ones(len(x))])
     w = np.zeros(a.shape[1])
@@ -292,7 +287,7 @@ class Model:
                     sums = class_sums(view.w, view.b, *rows, own) + more
                     g = sum(0.5 / max(c[-1], 1) / UNIT * c for c in sums)
                     view.move(g[:-2] + decay * view.w, g[-2])
-        logits = np.column_stack([views[0].logits(pick(text_rows, held)), views[1].logits(pick(meta_rows, held))])
+        logits = np.column_stack([view.logits(*flat(pick(rows, held)), int(held.sum())) for view, rows in zip(views, (text_rows, meta_rows), strict=True)])
         self.views = views
         self.scales = [dense_logistic(logits[:, k : k + 1], y[held]) for k in (0, 1)]
         self.mix = dense_logistic(self.calibrated(logits), y[held])
@@ -301,11 +296,11 @@ class Model:
     def calibrated(self, logits: np.ndarray) -> np.ndarray:
         return np.column_stack([logits[:, k] * self.scales[k][0][0] + self.scales[k][1] for k in (0, 1)])
 
-    def scores(self, text_rows, meta_rows) -> np.ndarray:
-        """Columns: combined, text, metadata."""
-        if self.views is None or not text_rows:
-            return np.full((len(text_rows), 3), self.share)
-        both = self.calibrated(np.column_stack([self.views[0].logits(text_rows), self.views[1].logits(meta_rows)]))
+    def scores(self, text_rows, meta_rows, n: int) -> np.ndarray:
+        """Columns: combined, text, metadata, of n flat rows of each view."""
+        if self.views is None or not n:
+            return np.full((n, 3), self.share)
+        both = self.calibrated(np.column_stack([self.views[0].logits(*text_rows, n), self.views[1].logits(*meta_rows, n)]))
         z = np.column_stack([both @ self.mix[0] + self.mix[1], both])
         return 1 / (1 + np.exp(-np.clip(z, -50, 50)))
 
@@ -325,31 +320,51 @@ def features(rows: DataFrame, kept: str) -> DataFrame:
     return rows.mapInArrow(run, kept + ", ta array<int>, tv array<float>, ma array<int>, mv array<float>")
 
 
-def fit(docs: DataFrame, labels: DataFrame, target: str = "quality", doc_id: str = "doc_id", text: str = "text", source: str = "source", lang: str = "lang", n_chars: str = "n_chars", labelled: int = LABELLED) -> Model:
-    """The model of docs and labels(doc_id, target), the label being 0 or 1."""
-    known = labels.where(F.col(doc_id).isNotNull() & F.col(target).isNotNull()).groupBy(F.col(doc_id).cast("long").alias("i")).agg(F.max(F.col(target)).cast("double").alias("y"))
-    all_rows = docs.select(F.col(doc_id).cast("long").alias("i"), F.col(text).alias("t"), F.col(source).cast("string").alias("s"), F.col(lang).cast("string").alias("l"), F.col(n_chars).cast("long").alias("n"))
-    ids = all_rows.where("i IS NOT NULL").select("i").distinct()
-    chosen = F.broadcast(known.join(ids, "i", "left_semi").orderBy(F.xxhash64("i"), "i").limit(labelled))
-    rows = all_rows.join(chosen, "i").select("i", "y", "t", "s", "l", "n").dropDuplicates(["i"])
-    got = features(rows, "i long, y double").toArrow().sort_by("i")
-    y = got.column("y").to_numpy(zero_copy_only=False)
-    share = float(y.mean()) if len(y) else 0.5
-    model = Model(share)
-    if len(y) < 8 or not 0 < share < 1:
-        return model
-    lists = [[x.values.to_numpy() for x in got.column(c)] for c in ("ta", "tv", "ma", "mv")]
-    text_rows, meta_rows = list(zip(lists[0], lists[1], strict=True)), list(zip(lists[2], lists[3], strict=True))
-    mixed = np.random.default_rng(3).permutation(len(y))
-    part = lambda rows, on: [rows[i] for i in on]
-    # Rows move to the labels' ids without their texts.
+def prepare(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", lang: str = "lang", n_chars: str = "n_chars") -> DataFrame:
+    """A stored table (doc_id, i, u, ta, tv, ma, mv): the sparse rows of every document; u is a hash of it."""
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(doc_id).cast("long").alias("i"), F.col(text).alias("t"), F.col(source).cast("string").alias("s"), F.col(lang).cast("string").alias("l"), F.col(n_chars).cast("long").alias("n"))
     place = F.pmod(F.xxhash64("i", "t"), F.lit(1 << 20)).cast("int")
-    made = features(all_rows.select("i", place.alias("u"), "t", "s", "l", "n"), "i long, u int")
-    pool = Pool(made.join(known, "i", "left_anti").drop("i"))
-    try:
+    kind = docs.schema[doc_id].dataType.simpleString()
+    return stored(features(rows.select("doc_id", "i", place.alias("u"), "t", "s", "l", "n"), f"doc_id {kind}, i long, u int"), "features")
+
+
+def fit(rows: DataFrame, labels: DataFrame, target: str = "quality", doc_id: str = "doc_id", labelled: int = LABELLED) -> Model:
+    """The model of prepared rows and labels(doc_id, target), the label being 0 or 1."""
+    known = labels.select(F.col(doc_id).cast("long").alias("i"), F.col(target).cast("double").alias("y")).where("i IS NOT NULL AND y IS NOT NULL").groupBy("i").agg(F.max("y").alias("y"))
+    chosen = known.join(rows.select("i").distinct(), "i", "left_semi").orderBy(F.xxhash64("i"), "i").limit(labelled)
+    with scratch():
+        chosen = F.broadcast(stored(chosen, "labelled"))  # that many rows at most
+        got = rows.join(chosen, "i").groupBy("i", "y").agg(F.min(F.struct("u", "ta", "tv", "ma", "mv")).alias("r")).select("i", "y", "r.*").toArrow().sort_by("i")
+        y = got.column("y").to_numpy(zero_copy_only=False)
+        share = float(y.mean()) if len(y) else 0.5
+        model = Model(share)
+        if len(y) < 8 or not 0 < share < 1:
+            return model
+        lists = [[x.values.to_numpy() for x in got.column(c)] for c in ("ta", "tv", "ma", "mv")]
+        text_rows, meta_rows = list(zip(lists[0], lists[1], strict=True)), list(zip(lists[2], lists[3], strict=True))
+        mixed = np.random.default_rng(3).permutation(len(y))
+        part = lambda rows, on: [rows[i] for i in on]
+        pool = Pool(rows.join(chosen.select("i"), "i", "left_anti").select("u", "ta", "tv", "ma", "mv"))
         return model.train(part(text_rows, mixed), part(meta_rows, mixed), y[mixed], pool)
-    finally:
-        pool.close()
+
+
+def score_rows(rows: DataFrame, model: Model, cut: float = 0.5) -> DataFrame:
+    """(doc_id, score, quality_pred, text_score, meta_score, keep) of prepared rows."""
+    sent = rows.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches):
+        m = sent.value
+        for batch in batches:
+            got = m.scores(columns(batch, "ta", "tv"), columns(batch, "ma", "mv"), batch.num_rows)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *judged(got, cut)], names=["doc_id", *(f.name for f in FIELDS)])
+
+    small_batches(rows.sparkSession, 2000)
+    return rows.select("doc_id", "ta", "tv", "ma", "mv").mapInArrow(run, T.StructType([T.StructField("doc_id", rows.schema["doc_id"].dataType), *FIELDS]))
+
+
+def judged(got: np.ndarray, cut: float) -> list[pa.Array]:
+    keep = got[:, 0] >= cut
+    return [pa.array(got[:, 0]), pa.array(keep.astype(np.int32)), pa.array(got[:, 1]), pa.array(got[:, 2]), pa.array(keep)]
 
 
 def score(docs: DataFrame, model: Model, text: str = "text", source: str = "source", lang: str = "lang", n_chars: str = "n_chars", cut: float = 0.5) -> DataFrame:
@@ -362,9 +377,9 @@ def score(docs: DataFrame, model: Model, text: str = "text", source: str = "sour
 
         def work(batch: pa.RecordBatch) -> list[pa.Array]:
             t, s, l, n = (batch.column(i).to_pylist() for i in at)
-            got = m.scores([view.row(x) for x in t], [meta_row(*x) for x in zip(s, l, n, strict=True)])
-            keep = got[:, 0] >= cut
-            return [pa.array(got[:, 0]), pa.array(keep.astype(np.int32)), pa.array(got[:, 1]), pa.array(got[:, 2]), pa.array(keep)]
+            if not t:
+                return judged(np.zeros((0, 3)), cut)
+            return judged(m.scores(flat([view.row(x) for x in t]), flat([meta_row(*x) for x in zip(s, l, n, strict=True)]), len(t)), cut)
 
         return work
 

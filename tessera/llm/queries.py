@@ -10,9 +10,8 @@ from tessera.llm.base import table
 
 
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang", "n_chars")
-    model = quality.fit(docs, table(spark, sf_dir, "labels"))
-    return quality.score(docs, model).select("doc_id", "score", "quality_pred", "text_score", "meta_score", "keep")
+    rows = quality.prepare(table(spark, sf_dir, "documents"))
+    return quality.score_rows(rows, quality.fit(rows, table(spark, sf_dir, "labels")))
 
 
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

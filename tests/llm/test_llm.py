@@ -68,6 +68,10 @@ def test_token_counts(spark):
     library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     texts = fuzz()
     assert token_counts.Counter(public_tokenizers.path("byte_bpe_50k.json"), 1 << 12).counts(texts) == [len(e.ids) for e in library.encode_batch(texts, add_special_tokens=False)]
+    long = ["\x1c\x1d,a b!\x1c \x1f" * 3000, "漢字、かな。" * 4000, "abc123,x!y'll" * 3000, "don't won't 1st\x1c 2nd\u3000" * 2000, "x" * 9000 + "1" * 9000]
+    assert token_counts.Counter(public_tokenizers.path("byte_bpe_50k.json"), 1 << 12).counts(long) == [len(e.ids) for e in library.encode_batch(long, add_special_tokens=False)]
+    assert all("".join(token_counts.slices(t, 4096)) == t and max(map(token_counts.size_of, token_counts.slices(t, 4096))) < 5000 for t in long[:-1])
+    assert [token_counts.size_of("".join(run)) for run in token_counts.by_bytes(["é" * 50] * 100, 1000)] == [1000] * 10
     rows = token_counts.count_tokens(odd(spark), "byte_bpe_50k.json").collect()
     assert len(rows) == len(ODD)
     for r in rows:
@@ -80,8 +84,14 @@ def test_bpe_codec(spark):
     library, codec = Tokenizer.from_file(path), bpe.Codec(path)
     for text in fuzz():
         ids = library.encode(text, add_special_tokens=False).ids
-        assert codec.encode(text) == ids and codec.decode_plain(ids) == library.decode(ids, skip_special_tokens=False)
+        assert codec.encode(text) == ids and codec.decode(ids, True) == library.decode(ids, skip_special_tokens=False)
     assert codec.decode(codec.encode("Hello, Wörld! 日本")) == "hello , wörld ! 日本 "
+    whole = "Long wörds and\u3000gaps " * 120_000 + "x" * 50_000 + " end"  # several parts
+    ids = library.encode(whole, add_special_tokens=False).ids
+    n, ids_hash, text_hash = codec.digest(whole)
+    assert n == len(ids) and ids_hash == hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest()
+    assert text_hash == hashlib.sha256(library.decode(ids, skip_special_tokens=False).encode()).hexdigest()
+    assert max(len(w) for w in codec.words(whole)) < 300_000
     for r in bpe.encode_decode(odd(spark), "word_bpe_49k.json", ids=True).collect():
         ids = library.encode(r.text or "", add_special_tokens=False).ids
         assert (r.n_tokens, r.token_ids) == (len(ids), ids)
@@ -109,6 +119,9 @@ def test_language(spark):
     rows = language.predict(odd(spark), model).collect()
     assert len(rows) == len(ODD) and all((r.lang_pred == "und") == (not any(c.isalpha() for c in r.text or "")) for r in rows)
     assert all(r.rejected and r.score == 0 for r in rows if r.lang_pred == "und")
+    numerals = spark.createDataFrame([(1, "½ ² ① Ⅷ 12 _"), (2, "½ a")], "doc_id long, text string")
+    assert [r.lang_pred == "und" for r in language.predict(numerals, model).orderBy("doc_id").collect()] == [True, False]
+    assert list(language.words_of("ab cd" * 300_000)) != [] and sum(len(w) for w in language.words_of("ab " * 1_000_000)) == 1_000_000
     none = language.fit(docs.limit(0))
     assert {r.lang_pred for r in language.predict(odd(spark), none).collect()} == {"und"}
     assert language.predict(odd(spark).limit(0), model).count() == 0
@@ -131,11 +144,19 @@ def test_language_bounds_of_few_documents(spark):
 def test_quality(spark):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
     train, test = labels.where("doc_id % 4 <> 0"), labels.where("doc_id % 4 = 0")
-    model = quality.fit(docs, train)
+    rows = quality.prepare(docs)
+    model = quality.fit(rows, train.withColumn("i", F.lit(1)).withColumn("y", F.lit(0)))
     got = quality.score(docs, model).join(test, "doc_id").toPandas()
     assert (got["quality"] == got["quality_pred"]).mean() > 0.9
+    same = {r.doc_id: r.score for r in quality.score_rows(rows, model).collect()}
+    assert len(same) == docs.count() and all(abs(same[k] - v) < 1e-6 for k, v in zip(got["doc_id"], got["score"], strict=True))
     assert quality.score(odd(spark), model).count() == len(ODD) and quality.score(odd(spark).limit(0), model).count() == 0
-    none = quality.fit(docs, labels.limit(0))
+    clashing = odd(spark).withColumn("i", F.lit(1)).withColumn("y", F.lit(0)).withColumn("u", F.lit(0)).withColumn("t", F.lit("x"))
+    strange = quality.prepare(clashing)
+    assert quality.score_rows(strange, model).count() == len(ODD) and quality.score_rows(quality.prepare(clashing.limit(0)), model).count() == 0
+    few = spark.createDataFrame([(k % 11, k % 2) for k in range(22)] + [(None, 1), (4, None)], "doc_id long, quality int")
+    assert quality.score_rows(strange, quality.fit(strange, few)).count() == len(ODD)
+    none = quality.fit(rows, labels.limit(0))
     assert {r.score for r in quality.score(odd(spark), none).collect()} == {0.5}
 
 
@@ -145,7 +166,7 @@ def test_quality_learns_from_all_unlabelled(spark):
     rows = [(i, "a clear and plain story of the day" if i % 2 else "BUY now!!! cheap cheap click", "rare" if k >= 6540 and i % 2 else "web", "en", 30) for k, i in enumerate(order)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string, n_chars long")
     labels = spark.createDataFrame([(i, i % 2) for i in order[:40]], "doc_id long, quality int")
-    model = quality.fit(docs, labels)
+    model = quality.fit(quality.prepare(docs), labels)
     at = quality.meta_row("rare", "en", 30)[0]
     assert model.views[1].w[at[0]] > 0 and model.views[1].w[at[3]] > 0
 
@@ -235,6 +256,9 @@ def test_line_runs(spark):
     got = {r.doc_id: r for r in line_dedup.dedup_lines(frame(spark, texts)).collect()}
     assert [got[i].text for i in range(7)] == [texts[0], "", "x\n\n\ny", texts[3], "", None, ""]
     assert got[2].n_removed_lines == 3 and got[5].n_lines == 0
+    clashing = odd(spark).withColumn("i", F.lit(1)).withColumn("k", F.lit(2)).withColumn("g", F.lit(3)).withColumn("__id", F.lit(4)).withColumn("key", F.lit(5))
+    out = line_dedup.dedup_lines(clashing)
+    assert out.columns[:-2] == clashing.columns and collections.Counter(r.text for r in out.collect()) == collections.Counter(ODD)
     assert line_dedup.dedup_lines(odd(spark)).count() == len(ODD) and line_dedup.dedup_lines(odd(spark).limit(0)).count() == 0
 
 
