@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.base import forget, scratch, small_batches, stored
+from tessera.llm.base import forget, fresh, scratch, small_batches, stored
 from tessera.llm.graph import components
 
 MOST_MATCHES = 16
@@ -335,10 +335,11 @@ def verified(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> Dat
     return whole.mapInArrow(run, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
+def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = 5, percent: int = 80, keys: bool = False) -> DataFrame:
     """(doc_id, n_shingles, component_id): a row per document, the class being the smallest id linked with it.
 
     Ids are integers; a null id takes part, but names no class. Documents link when 100 * intersection >= percent * union.
+    keys: also key, the hash of the text, and class, which names the classes of documents without ids too (null for the empty set).
     """
     before = docs.sparkSession.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
     try:
@@ -348,12 +349,38 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
             keep(final)
     finally:
         docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
-    out = made.select("id", "n", "node").join(final, "node", "left")
-    return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id")).alias("component_id"))
+    out = made.select("id", "n", "node", "key").join(final, "node", "left")
+    columns = [F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id")).alias("component_id")]
+    return out.select(*columns, "key", F.when(F.col("n") > 0, F.col("comp")).alias("class")) if keys else out.select(*columns)
+
+
+def one_of_each_class(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
+    """docs with one row of each class: of smallest id (null last), then of smallest hash of the text.
+
+    Of rows equal in id and text one stays, whichever. Rows without words are in no class and all stay.
+    """
+    i, k = fresh(docs, "i", "k")
+    same = F.col(doc_id).cast("long").eqNullSafe(F.col(i)) & (F.xxhash64(F.coalesce(F.col(text), F.lit(""))) == F.col(k))
+    with scratch() as keep:
+        named = near_duplicates(docs, doc_id, text, size, percent, keys=True).where("class IS NOT NULL")
+        rows = named.groupBy("doc_id", "key").agg(F.min("class").alias("class"), F.count(F.lit(1)).alias("copies"))
+        rows = rows.withColumn("order", F.struct(F.isnull("doc_id").alias("none"), "doc_id", "key"))
+        rows = rows.join(rows.groupBy("class").agg(F.min("order").alias("first")), "class").select(F.col("doc_id").alias(i), F.col("key").alias(k), "copies", (F.col("order") == F.col("first")).alias("stays"))
+        # Written, their sizes are known: small ones go to the texts.
+        rows = stored(rows.where("NOT stays OR copies > 1"), "rows-of-classes")
+        gone, several = stored(rows.where("NOT stays").select(i, k), "gone"), stored(rows.where("stays").select(i, k), "several")
+        for df in (gone, several):
+            keep(df)
+        left = docs.join(gone, same, "left_anti")
+        if several.isEmpty():
+            return left
+    own = F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias(k)
+    once = left.join(several, same, "left_semi").select("*", own).dropDuplicates([doc_id, k]).drop(k)
+    return left.join(several, same, "left_anti").unionAll(once)
 
 
 def linked_classes(docs: DataFrame, doc_id: str, text: str, size: int, percent: int) -> tuple[DataFrame, DataFrame]:
-    """Two stored tables: (id, n, node, ...) of every document, and (node, component_id) of every set."""
+    """Two stored tables: (id, key, n, node, ...) of every document, and (node, comp, component_id) of every set."""
     spark = docs.sparkSession
     small_batches(spark)
     spark.sparkContext.setJobDescription("n-gram Jaccard join")
@@ -460,4 +487,4 @@ def linked_classes(docs: DataFrame, doc_id: str, text: str, size: int, percent:
     # Two small tables, one row per set: a set's class, and the class's smallest id.
     named = stored(named.select("node", "comp", "first"), "classes")
     classes = named.groupBy("comp").agg(F.min("first").alias("component_id"))
-    return made, stored(named.join(classes, "comp").select("node", "component_id"), "named")
+    return made, stored(named.join(classes, "comp").select("node", "comp", "component_id"), "named")

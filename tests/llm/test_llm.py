@@ -387,6 +387,35 @@ def test_ngram_join(spark):
     assert ngram_join.near_duplicates(odd(spark)).count() == len(ODD) and ngram_join.near_duplicates(odd(spark).limit(0)).count() == 0
 
 
+def test_pipeline_stages_on_odd_rows(spark):
+    """Null and repeated ids, odd texts, columns named like the operators' own, and an empty table."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(40)
+    strange = [*ODD, *ODD[-4:-2], "some more words that no other text has here", "some more words that no other text has here"]
+    ids = [*(None if i % 5 == 3 else min(i, 9) for i in range(len(strange) - 1)), len(strange) - 2]
+    extra = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in zip(ids, strange, strict=True)], "doc_id long, text string, lang string, source string, n_chars long")
+    docs = docs.unionByName(extra)
+    for name in ("score", "rejected", "lang_pred", "n_lines", "n_tokens", "i", "k", "key", "node", "c0", "windows"):
+        docs = docs.withColumn(name, F.lit(f"own {name}"))
+    docs = docs.cache()
+    for name, stage in corpus_pipeline.STAGES[:4]:
+        out = stage(spark, docs, SF)
+        assert out.columns == docs.columns, name
+        rows = out.collect()
+        assert rows and all(r.score == "own score" and r.n_lines == "own n_lines" and r.c0 == "own c0" for r in rows), name
+        assert stage(spark, docs.limit(0), SF).count() == 0, name
+    assert corpus_pipeline.encode(spark, docs.limit(0), SF).count() == 0
+    rows = docs.collect()
+    sets, want = linked([r.text for r in rows])
+    kept = corpus_pipeline.keep_one_of_each_class(spark, docs, SF).collect()
+    members = collections.defaultdict(list)
+    for i, r in enumerate(rows):
+        members[want[i] if sets[i] else ("none", i)].append(r)
+    order = lambda r: (r.doc_id is None, r.doc_id or 0)
+    expected = collections.Counter(min(map(order, m)) for m in members.values())
+    assert collections.Counter(map(order, kept)) == expected
+    assert collections.Counter(r.text for r in kept if not shingles(r.text)) == collections.Counter(r.text for r in rows if not shingles(r.text))
+
+
 def test_pipeline(spark):
     """Each stage on all its predecessor kept; two of them against brute force on the way."""
     docs = spark.read.parquet(f"{SF}/documents.parquet")
