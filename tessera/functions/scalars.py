@@ -14,7 +14,7 @@ ENCODINGS = ("PLAIN", "RLE", "RLE_DICTIONARY", "DELTA_BINARY_PACKED", "DELTA_LEN
 CODECS = ("UNCOMPRESSED", "SNAPPY", "GZIP", "LZ4", "LZ4_RAW", "ZSTD", "BROTLI")
 VALUE_BYTES = {"INT32": 4, "FLOAT": 4, "INT64": 8, "DOUBLE": 8, "BOOLEAN": 1}
 UUID_PATTERN = "^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$"
-JSON_PATTERN = r"^[\s\p{Z}]*[{\[]"
+JSON_PATTERN = r"^[\s\x0b\p{Z}]*[{\[]"
 DEFAULT_GRID = (("SNAPPY", None), ("ZSTD", 1), ("ZSTD", 3), ("ZSTD", 6), ("LZ4", None), ("UNCOMPRESSED", None))
 VALID_ENCODINGS = {
     "BOOLEAN": ("PLAIN", "RLE"),
@@ -55,8 +55,6 @@ def parse_codec(text: str, level: int | None = None) -> tuple[str, int | None]:
     name, _, own = text.strip().upper().partition(":")
     if name not in CODECS or name == "BROTLI":
         raise ValueError(f"unsupported codec: {text}")
-    if name == "LZ4":
-        name = "LZ4"
     return name, int(own) if own else level
 
 

@@ -1,48 +1,153 @@
 """Statistics of columns in file order: one long row per file and column.
 
-Order statistics compare each value to the one before. A file's rows are cut into chunks, so that a
-window's partition stays small; the pairs across chunk edges are added from the chunks' first and
-last values. A null breaks a pair. Doubles are compared as values: NaN equals NaN, -0.0 equals 0.0.
+A scan gives a file's rows in order, so order statistics, lengths, patterns and byte counts take one pass
+without a shuffle or a sort: each task turns a run of successive rows into one row per column, with the run's first and
+last value, and the runs of a file are put together by their places. A null breaks a pair. Doubles are compared as
+values: NaN equals NaN, -0.0 equals 0.0. Distinct values are counted column by column, combined in each task
+before the shuffle, or by a sketch.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.functions.scalars import JSON_PATTERN, UUID_PATTERN
 
-CHUNK = 65_536
 EXACT_BELOW = 50_000
 PATTERN_ROWS = 1_000
 ORDERED = (T.IntegerType, T.LongType, T.DateType, T.TimestampType, T.TimestampNTZType)
 STATS = "file string, column string, n long, nulls long, null_fraction double, distinct_count long, distinct_method string, cardinality_ratio double, monotonicity double, string_monotonicity double, run_length double, len_min long, len_max long, len_mean double, len_stddev double, uuid_detected boolean, json_detected boolean, byte_entropy double"
+RUNS = "file string, at long, stop long, i int, n long, some long, pairs long, up long, same long, lo long, hi long, total long, squares double, flags binary, bytes array<long>, first_n long, first_d double, first_b binary, last_n long, last_d double, last_b binary"
 
 
 def comparable(kind: T.DataType) -> bool:
     return not isinstance(kind, (T.ArrayType, T.MapType, T.StructType, T.VariantType))
 
 
-def order_counts(rows: DataFrame, columns: list[str]) -> DataFrame:
-    """Per file: for each column the pairs, those in order and those equal."""
-    inner = Window.partitionBy("__file", "__chunk").orderBy("__row")
-    cut = rows.withColumn("__chunk", F.floor(F.col("__row") / CHUNK))
-    before = {c: F.lag(F.col(f"`{c}`")).over(inner) for c in columns}
-    wide = cut.select("__file", "__chunk", "__row", *(F.col(f"`{c}`").alias(f"v{i}") for i, c in enumerate(columns)), *(before[c].alias(f"p{i}") for i, c in enumerate(columns)))
-    aggs = []
-    for i in range(len(columns)):
-        v, p = F.col(f"v{i}"), F.col(f"p{i}")
-        aggs += [F.count(F.when(v.isNotNull() & p.isNotNull(), 1)).alias(f"pairs{i}"), F.count(F.when(v >= p, 1)).alias(f"up{i}"), F.count(F.when(v == p, 1)).alias(f"same{i}")]
-        aggs += [F.min_by(F.struct(v), "__row").alias(f"first{i}"), F.max_by(F.struct(v), "__row").alias(f"last{i}")]
-    chunks = wide.groupBy("__file", "__chunk").agg(*aggs)
-    outer = Window.partitionBy("__file").orderBy("__chunk")
-    edge = chunks.select("*", *(F.lag(f"last{i}").over(outer)[f"v{i}"].alias(f"e{i}") for i in range(len(columns))))
-    sums = []
-    for i in range(len(columns)):
-        f, e = F.col(f"first{i}")[f"v{i}"], F.col(f"e{i}")
-        sums += [F.sum(F.col(f"pairs{i}") + F.when(f.isNotNull() & e.isNotNull(), 1).otherwise(0)).alias(f"pairs{i}"), F.sum(F.col(f"up{i}") + F.when(f >= e, 1).otherwise(0)).alias(f"up{i}"), F.sum(F.col(f"same{i}") + F.when(f == e, 1).otherwise(0)).alias(f"same{i}")]
-    return edge.groupBy("__file").agg(*sums)
+def plain(values: pa.Array) -> pa.Array:
+    """The values as integers, doubles or bytes, which compare alike."""
+    kind = values.type
+    if pa.types.is_floating(kind):
+        # Without signs of zero, and with one NaN, so that equal values are equal bits.
+        out = values.cast(pa.float64())
+        return pc.add(out, 0.0)
+    if pa.types.is_boolean(kind):
+        return values.cast(pa.int8()).cast(pa.int64())
+    if pa.types.is_integer(kind):
+        return values.cast(pa.int64())
+    if pa.types.is_date32(kind):
+        return values.cast(pa.int32()).cast(pa.int64())
+    if pa.types.is_temporal(kind):
+        return values.cast(pa.int64())
+    if pa.types.is_string(kind) or pa.types.is_binary(kind) or pa.types.is_large_string(kind) or pa.types.is_large_binary(kind):
+        return values.cast(pa.binary())
+    return values.cast(pa.string()).cast(pa.binary())
+
+
+def equal(a: pa.Array, b: pa.Array) -> pa.Array:
+    same = pc.equal(a, b)
+    return pc.or_(same, pc.and_(pc.is_nan(a), pc.is_nan(b))) if pa.types.is_floating(a.type) else same
+
+
+class Run:
+    """Sums of one column over successive rows of a file."""
+
+    def __init__(self, text: bool, binary: bool):
+        self.text, self.binary = text, binary
+        self.n = self.some = self.pairs = self.up = self.same = self.total = 0
+        self.squares, self.lo, self.hi, self.flags = 0.0, None, None, b""
+        self.bytes = np.zeros(256, np.int64) if binary else None
+        self.first = self.last = None  # arrays of one value
+
+    def add(self, values: pa.Array) -> None:
+        v, n = plain(values), len(values)
+        edges = [(v.slice(1), v.slice(0, n - 1))] if n > 1 else []
+        if self.last is not None:
+            edges.append((v.slice(0, 1), self.last))
+        for a, b in edges:
+            same, up = equal(a, b), pc.greater_equal(a, b)
+            self.pairs += len(same) - same.null_count
+            self.same += pc.sum(same).as_py() or 0
+            self.up += pc.sum(up).as_py() or 0
+        self.n, self.some = self.n + n, self.some + n - v.null_count
+        self.first, self.last = self.first if self.first is not None else v.slice(0, 1), v.slice(n - 1)
+        if self.text and n > v.null_count:
+            size = pc.binary_length(v).cast(pa.int64())
+            low, high = pc.min_max(size).as_py().values()
+            self.lo, self.hi = min(low, self.lo or low) if self.lo is not None else low, max(high, self.hi or 0)
+            self.total += pc.sum(size).as_py()
+            self.squares += pc.sum(pc.power(size.cast(pa.float64()), 2)).as_py()
+            if len(self.flags) < PATTERN_ROWS:
+                own = values.drop_null().slice(0, PATTERN_ROWS - len(self.flags)).cast(pa.string())
+                flag = [pc.match_substring_regex(own, pattern=p).to_numpy(zero_copy_only=False).astype(np.uint8) for p in (UUID_PATTERN, JSON_PATTERN)]
+                self.flags += (flag[0] + 2 * flag[1]).tobytes()
+        if self.binary:
+            whole = b"".join(x for x in v.to_pylist() if x)
+            self.bytes += np.bincount(np.frombuffer(whole, np.uint8), minlength=256)
+
+    def row(self, file: str, at: int, stop: int, i: int) -> dict:
+        out = {"file": file, "at": at, "stop": stop, "i": i, "n": self.n, "some": self.some, "pairs": self.pairs, "up": self.up, "same": self.same}
+        out |= {"lo": self.lo, "hi": self.hi, "total": self.total, "squares": self.squares, "flags": self.flags, "bytes": self.bytes.tolist() if self.binary else None}
+        for name, edge in (("first", self.first), ("last", self.last)):
+            kind = "d" if pa.types.is_floating(edge.type) else "n" if pa.types.is_integer(edge.type) else "b"
+            out |= {f"{name}_{k}": edge[0].as_py() if k == kind else None for k in "ndb"}
+        return out
+
+
+def runs(rows: DataFrame, columns: list[str], kinds: dict) -> DataFrame:
+    """RUNS rows: the sums of each column over each run of successive rows that a task meets."""
+    texts = [isinstance(kinds[c], T.StringType) for c in columns]
+    binaries = [isinstance(kinds[c], T.BinaryType) for c in columns]
+    schema = pa.schema([(n, {"string": pa.string(), "long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "binary": pa.binary(), "array<long>": pa.list_(pa.int64())}[k]) for n, k in (part.split() for part in RUNS.split(", "))])
+
+    def run(batches):
+        file = at = stop = None
+        sums: list[Run] = []
+
+        def told():
+            return pa.RecordBatch.from_pylist([s.row(file, at, stop, i) for i, s in enumerate(sums)], schema=schema)
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            place, names = batch.column(1).to_numpy(), batch.column(0)
+            breaks = place[1:] != place[:-1] + 1
+            if names[0] != names[-1] or breaks.any():
+                breaks = breaks | pc.not_equal(names.slice(1), names.slice(0, len(names) - 1)).to_numpy(zero_copy_only=False)
+            cuts = [0, *(np.flatnonzero(breaks) + 1).tolist(), len(place)]
+            for a, b in zip(cuts, cuts[1:], strict=False):
+                if file != names[a].as_py() or place[a] != stop + 1:
+                    if sums:
+                        yield told()
+                    file, at, sums = names[a].as_py(), int(place[a]), [Run(t, x) for t, x in zip(texts, binaries, strict=True)]
+                stop = int(place[b - 1])
+                for i, s in enumerate(sums):
+                    s.add(batch.column(i + 2).slice(a, b - a))
+        if sums:
+            yield told()
+
+    return rows.select("__file", "__row", *(F.col(f"`{c}`").alias(f"v{i}") for i, c in enumerate(columns))).mapInArrow(run, RUNS)
+
+
+def stitched(found: DataFrame) -> DataFrame:
+    """One row per file and column i from the runs of each file: their sums and the pairs across their edges."""
+    order = Window.partitionBy("file", "i").orderBy("at")
+    last = {k: F.lag(f"last_{k}").over(order) for k in "ndb"}
+    edge = found.withColumns({"meets": F.lag("stop").over(order) == F.col("at") - 1} | {f"p_{k}": v for k, v in last.items()})
+    compared = lambda f: F.col("meets") & F.coalesce(*(f(F.col(f"first_{k}"), F.col(f"p_{k}")) for k in "ndb"))
+    count = lambda f: F.when(compared(f), 1).otherwise(0)
+    flags = F.filter(F.transform(F.array_sort(F.collect_list(F.struct("at", "flags"))), lambda x: F.hex(x["flags"])), lambda x: x != "")
+    return edge.groupBy("file", "i").agg(
+        F.sum("n").alias("n"), F.sum("some").alias("some"), F.sum(F.col("pairs") + count(lambda a, b: F.when(a.isNotNull() & b.isNotNull(), True))).alias("pairs"),
+        F.sum(F.col("up") + count(lambda a, b: a >= b)).alias("up"), F.sum(F.col("same") + count(lambda a, b: a == b)).alias("same"),
+        F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.sum("total").cast("double").alias("total"), F.sum("squares").alias("squares"),
+        F.substring(F.array_join(flags, ""), 1, 2 * PATTERN_ROWS).alias("flags"),
+    )
 
 
 def share(part: Column, whole: Column, none: float | None) -> Column:
@@ -53,69 +158,86 @@ def distinct_count(column: Column, exact: bool) -> Column:
     return F.count_distinct(column) if exact else F.approx_count_distinct(column, 0.01)
 
 
-def profile(rows: DataFrame, exact: bool | None = None) -> DataFrame:
-    """STATS of every comparable column of rows(…, __file, __row), as sample() gives them.
+def distinct_counts(rows: DataFrame, columns: list[str], some: DataFrame, exact: bool | None) -> DataFrame:
+    """(file, i, distinct_count, distinct_method) of every file and column; some is (file, i, some).
 
-    exact: whether values are counted one by one; by default where a column holds fewer than EXACT_BELOW.
+    exact None: a column with fewer than EXACT_BELOW values in a file is counted one by one, any other by a sketch.
     """
-    columns = [f.name for f in rows.schema if comparable(f.dataType) and not f.name.startswith("__")]
-    kinds = {c: rows.schema[c].dataType for c in columns}
+    out = None
+
+    def gather(more: DataFrame):
+        nonlocal out
+        out = more if out is None else out.unionAll(more)
+
+    few = many = set(range(len(columns)))
     if exact is None:
-        exact = rows.limit(EXACT_BELOW).count() < EXACT_BELOW
-    orders = order_counts(rows, columns)
-    flat = rows.select("__file", "__row", *(F.col(f"`{c}`").alias(f"v{i}") for i, c in enumerate(columns)))
-    base = [F.count(F.lit(1)).alias("n")]
-    for i, c in enumerate(columns):
-        v = F.col(f"v{i}")
-        size = F.octet_length(v) if isinstance(kinds[c], T.StringType) else F.lit(None).cast("int")
-        base += [F.count(v).alias(f"some{i}"), distinct_count(v, exact).alias(f"distinct{i}"), F.min(size).alias(f"lo{i}"), F.max(size).alias(f"hi{i}"), F.avg(size).alias(f"mean{i}"), F.stddev_pop(size).alias(f"dev{i}")]
-    wide = flat.groupBy("__file").agg(*base).join(orders, "__file")
-    long = []
-    for i, c in enumerate(columns):
-        some, pairs, text = F.col(f"some{i}"), F.col(f"pairs{i}"), isinstance(kinds[c], T.StringType)
-        long.append(F.struct(
-            F.lit(c).alias("column"), F.col("n"), (F.col("n") - some).alias("nulls"), share(F.col("n") - some, F.col("n"), 0.0).alias("null_fraction"),
-            F.col(f"distinct{i}").alias("distinct_count"), F.lit("exact" if exact else "hyperloglog").alias("distinct_method"), share(F.col(f"distinct{i}"), some, 0.0).alias("cardinality_ratio"),
-            (share(F.col(f"up{i}"), pairs, 0.0) if isinstance(kinds[c], ORDERED) else F.lit(None).cast("double")).alias("monotonicity"),
-            (share(F.col(f"up{i}"), pairs, None) if text else F.lit(None).cast("double")).alias("string_monotonicity"),
-            share(F.col(f"same{i}"), pairs, 0.0).alias("run_length"),
-            F.col(f"lo{i}").cast("long").alias("len_min"), F.col(f"hi{i}").cast("long").alias("len_max"), F.col(f"mean{i}").alias("len_mean"), F.col(f"dev{i}").alias("len_stddev"),
-        ))
-    out = wide.select(F.col("__file").alias("file"), F.explode(F.array(*long)).alias("s")).select("file", "s.*")
-    found = patterns(flat, columns, kinds)
-    entropy = byte_entropies(flat, columns, kinds)
-    out = out.join(found, ["file", "column"], "left") if found is not None else out.withColumn("uuid_detected", F.lit(None).cast("boolean")).withColumn("json_detected", F.lit(None).cast("boolean"))
-    out = out.join(entropy, ["file", "column"], "left") if entropy is not None else out.withColumn("byte_entropy", F.lit(None).cast("double"))
-    return out.withColumn("uuid_detected", F.coalesce("uuid_detected", F.lit(False))).withColumn("json_detected", F.coalesce("json_detected", F.lit(False)))
-
-
-def patterns(flat: DataFrame, columns: list[str], kinds: dict) -> DataFrame | None:
-    """Whether UUIDs (0.9) or JSON texts (0.8) make up the first PATTERN_ROWS non-null values."""
-    parts = None
+        # Two figures per column.
+        bounds = some.groupBy("i").agg(F.min("some").alias("lo"), F.max("some").alias("hi")).collect()
+        few, many = {r["i"] for r in bounds if r["lo"] < EXACT_BELOW}, {r["i"] for r in bounds if r["hi"] >= EXACT_BELOW}
     for i, c in enumerate(columns):
-        if not isinstance(kinds[c], T.StringType):
+        if i not in few or exact is False:
             continue
-        # The smallest row numbers by file: a bounded list, merged in each task before the shuffle.
-        first = flat.where(F.col(f"v{i}").isNotNull()).select("__file", "__row", F.col(f"v{i}").alias("v")).withColumn("k", F.row_number().over(Window.partitionBy("__file").orderBy("__row"))).where(F.col("k") <= PATTERN_ROWS)
-        own = first.groupBy(F.col("__file").alias("file")).agg((F.avg(F.col("v").rlike(UUID_PATTERN).cast("int")) >= 0.9).alias("uuid_detected"), (F.avg(F.col("v").rlike(JSON_PATTERN).cast("int")) >= 0.8).alias("json_detected")).withColumn("column", F.lit(c))
-        parts = own if parts is None else parts.union(own)
-    return parts
+        # Each column by itself: no row is copied, and a task sends its distinct values only.
+        own = rows.select(F.col("__file").alias("file"), F.col(f"`{c}`").alias("v")).where("v IS NOT NULL")
+        if exact is None and i in many:
+            own = own.join(some.where((F.col("i") == i) & (F.col("some") < EXACT_BELOW)).select("file"), "file", "left_semi")
+        gather(own.distinct().groupBy("file").agg(F.count(F.lit(1)).alias("distinct_count")).select("file", F.lit(i).alias("i"), "distinct_count", F.lit("exact").alias("distinct_method")))
+    sketched = [i for i in range(len(columns)) if exact is False or exact is None and i in many]
+    if sketched:
+        wide = rows.groupBy(F.col("__file").alias("file")).agg(*(distinct_count(F.col(f"`{columns[i]}`"), False).alias(f"d{i}") for i in sketched))
+        long = wide.select("file", F.explode(F.array(*(F.struct(F.lit(i).alias("i"), F.col(f"d{i}").alias("distinct_count")) for i in sketched))).alias("x")).select("file", "x.i", "x.distinct_count", F.lit("hyperloglog").alias("distinct_method"))
+        if exact is None:
+            long = long.join(some.where(F.col("some") >= EXACT_BELOW).select("file", "i"), ["file", "i"], "left_semi")
+        gather(long)
+    return out
 
 
-def byte_entropies(flat: DataFrame, columns: list[str], kinds: dict) -> DataFrame | None:
+def profile(rows: DataFrame, exact: bool | None = None) -> DataFrame:
+    """STATS of every comparable column of rows(…, __file, __row), as whole() and sample() give them.
+
+    exact: whether values are counted one by one; by default where a column holds fewer than EXACT_BELOW in a file.
+    """
+    columns = [f.name for f in rows.schema if comparable(f.dataType) and not f.name.startswith("__")]
+    kinds = {c: rows.schema[c].dataType for c in columns}
+    if not columns:
+        return rows.sparkSession.createDataFrame([], STATS)
+    found = runs(rows, columns, kinds)
+    if exact is None or any(isinstance(k, T.BinaryType) for k in kinds.values()):
+        found = found.cache()  # one row per file, split and column
+    sums = stitched(found)
+    counts = distinct_counts(rows, columns, sums.select("file", "i", "some"), exact)
+    out = sums.join(counts, ["file", "i"], "left").withColumn("distinct_count", F.coalesce("distinct_count", F.lit(0).cast("long"))).withColumn("distinct_method", F.coalesce("distinct_method", F.lit("hyperloglog" if exact is False else "exact")))
+    name = F.element_at(F.array(*(F.lit(c) for c in columns)), F.col("i") + 1)
+    of = lambda kind: F.col("i").isin(*(i for i, c in enumerate(columns) if isinstance(kinds[c], kind)))
+    text, some, mean = of(T.StringType), F.col("some"), F.col("total") / F.col("some")
+    sized = lambda value: F.when(text & (some > 0), value)
+    hits = lambda digits: F.length(F.regexp_replace("flags", f"0[^{digits}]", "")) / F.length("flags")
+    detected = lambda digits, least: F.coalesce(F.when(text & (F.length("flags") > 0), hits(digits) >= least), F.lit(False))
+    out = out.select(
+        "file", name.alias("column"), "n", (F.col("n") - some).alias("nulls"), share(F.col("n") - some, F.col("n"), 0.0).alias("null_fraction"),
+        "distinct_count", "distinct_method", share(F.col("distinct_count"), some, 0.0).alias("cardinality_ratio"),
+        F.when(of(ORDERED), share(F.col("up"), F.col("pairs"), 0.0)).alias("monotonicity"),
+        F.when(text, share(F.col("up"), F.col("pairs"), None)).alias("string_monotonicity"),
+        share(F.col("same"), F.col("pairs"), 0.0).alias("run_length"),
+        sized(F.col("lo")).alias("len_min"), sized(F.col("hi")).alias("len_max"), sized(mean).alias("len_mean"), sized(F.sqrt(F.greatest(F.lit(0.0), F.col("squares") / some - mean * mean))).alias("len_stddev"),
+        detected("13", 0.9).alias("uuid_detected"), detected("23", 0.8).alias("json_detected"),
+    )
+    entropies = byte_entropies(found, columns, kinds)
+    return out.join(entropies, ["file", "column"], "left") if entropies is not None else out.withColumn("byte_entropy", F.lit(None).cast("double"))
+
+
+def byte_entropies(found: DataFrame, columns: list[str], kinds: dict) -> DataFrame | None:
     """Shannon entropy of the bytes of binary columns; 0 without bytes."""
-    binary = [(i, c) for i, c in enumerate(columns) if isinstance(kinds[c], T.BinaryType)]
-    parts = None
-    for i, c in binary:
-        pairs = flat.select("__file", F.explode(F.regexp_extract_all(F.hex(f"v{i}"), F.lit("(..)"), F.lit(1))).alias("b"))
-        own = entropy(pairs.groupBy("__file", "b").count(), "__file").select(F.col("__file").alias("file"), F.lit(c).alias("column"), "byte_entropy")
-        empty = flat.select(F.col("__file").alias("file")).distinct().withColumn("column", F.lit(c))
-        own = empty.join(own, ["file", "column"], "left").withColumn("byte_entropy", F.coalesce("byte_entropy", F.lit(0.0)))
-        parts = own if parts is None else parts.union(own)
-    return parts
-
-
-def entropy(counts: DataFrame, by: str) -> DataFrame:
-    """(by, byte_entropy) of counts(by, count): log2 of the sum less the mean of the counts' logs."""
+    binary = [F.struct(F.lit(i).alias("i"), F.lit(c).alias("column")) for i, c in enumerate(columns) if isinstance(kinds[c], T.BinaryType)]
+    if not binary:
+        return None
+    name = F.element_at(F.map_from_entries(F.array(*binary)), F.col("i"))
+    counts = found.where("bytes IS NOT NULL").select("file", name.alias("column"), F.posexplode("bytes").alias("b", "count")).groupBy("file", "column", "b").agg(F.sum("count").alias("count"))
+    return entropy(counts, "file", "column").withColumn("byte_entropy", F.coalesce("byte_entropy", F.lit(0.0)))
+
+
+def entropy(counts: DataFrame, *by: str) -> DataFrame:
+    """(by, byte_entropy) of counts(by, count): log2 of the sum less the mean of the counts' logs; null without any."""
     c = F.col("count")
-    return counts.groupBy(by).agg((F.log2(F.sum(c)) - F.sum(c * F.log2(c)) / F.sum(c)).alias("byte_entropy"))
+    logs = F.sum(F.when(c > 0, c * F.log2(c)).otherwise(0.0))
+    return counts.groupBy(*by).agg(F.when(F.sum(c) > 0, F.log2(F.sum(c)) - logs / F.sum(c)).alias("byte_entropy"))

@@ -16,7 +16,7 @@ MONOTONIC, FEW, MANY, SORTED_TEXT, SHORT_TEXT, DICTIONARY_BYTES, RANDOM_BITS = 0
 RULES = ("BooleanRle", "DeltaMonotonic", "RleDictionary", "ByteStreamSplit", "PlainUuid", "DeltaByteArray", "DeltaLengthByteArray", "PlainDefault")
 ENCODING_OF = {"BooleanRle": "RLE", "DeltaMonotonic": "DELTA_BINARY_PACKED", "RleDictionary": "RLE_DICTIONARY", "ByteStreamSplit": "BYTE_STREAM_SPLIT", "PlainUuid": "PLAIN", "DeltaByteArray": "DELTA_BYTE_ARRAY", "DeltaLengthByteArray": "DELTA_LENGTH_BYTE_ARRAY", "PlainDefault": "PLAIN"}
 
-#: Codecs and encodings by engine: (engine, name, supported, least version, note).
+#: Codecs and encodings by engine: (engine, name, supported, least version, note).
 CODEC_SUPPORT = [
     *((e, c, True, None, None) for e in ("spark", "duckdb", "polars", "clickhouse", "pandas") for c in ("UNCOMPRESSED", "SNAPPY", "GZIP")),
     ("spark", "ZSTD", True, "3.2.0", "needs a Hadoop build with zstd"), ("spark", "LZ4", True, None, "Hadoop framing; other readers may reject it"), ("spark", "LZ4_RAW", True, "3.5.0", None), ("spark", "BROTLI", False, None, "codec class not shipped"),

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 
 def changed(columns: list[dict]) -> list[dict]:
     return [c for c in columns if c["encoding"] != "PLAIN"]
@@ -34,18 +36,24 @@ def polars_snippet(columns: list[dict], codec: str, level: int | None) -> str:
     return f"import polars as pl\n\npl.read_parquet('input.parquet').write_parquet('output.parquet', compression='{codec.lower()}'{more})"
 
 
-def snippet(report: dict, engine: str = "unknown") -> str:
-    """Code for an engine from a report (a dict, or what to_json gave, loaded)."""
+def snippet(report: dict | str, engine: str = "unknown") -> str:
+    """Code for an engine from a report: a dict, or its JSON text."""
+    report = json.loads(report) if isinstance(report, str) else report
     codec, level = report["file_codec"], report.get("file_level")
     make = {"spark": pyspark_snippet, "polars": polars_snippet}.get(engine, pyarrow_snippet)
     return make(report["columns"], codec, level)
 
 
-def options(columns: list[dict]) -> list[dict]:
-    """a: balanced (the first column's codec), b: smallest (ZSTD:6), c: fastest (LZ4)."""
-    first = (columns[0]["rec_codec"], columns[0]["rec_level"]) if columns else ("ZSTD", 3)
-    notes = [dict(n) for c in columns for n in c["caveats"]]
+#: Id, label, priority and codec of the options; None is the first column's codec.
+OPTIONS = (("a", "Balanced", "balanced", None), ("b", "Smallest", "size", ("ZSTD", 6)), ("c", "Fastest", "speed", ("LZ4", None)))
+
+
+def options(columns: dict[str, list[dict]]) -> list[dict]:
+    """Three ready options from the columns as recommended for each priority; each has the caveats of its own priority."""
     made = []
-    for name, label, (codec, level) in (("a", "Balanced", first), ("b", "Smallest", ("ZSTD", 6)), ("c", "Fastest", ("LZ4", None))):
-        made.append({"id": name, "label": label, "codec": codec, "level": level, "caveats": notes, "python_snippet": pyarrow_snippet(columns, codec, level)})
+    for name, label, priority, fixed in OPTIONS:
+        own = columns[priority]
+        codec, level = fixed or ((own[0]["rec_codec"], own[0]["rec_level"]) if own else ("ZSTD", 3))
+        notes = [dict(n) for c in own for n in c["caveats"]]
+        made.append({"id": name, "label": label, "codec": codec, "level": level, "caveats": notes, "python_snippet": pyarrow_snippet(own, codec, level)})
     return made

@@ -6,15 +6,14 @@ below. Lists of columns are fixed values.
 
 from __future__ import annotations
 
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.operators.advise import row_group_advice, sort_candidates
 from tessera.operators.bench import bench
 from tessera.operators.diagnose import health, islands, islands_text, with_diagnosis
-from tessera.operators.profile import distinct_count, entropy, patterns, profile
-from tessera.operators.sample import sample
+from tessera.operators.profile import distinct_count, entropy, profile
+from tessera.operators.sample import whole
 from tessera.operators.views import encoding_breakdown, estimated_sizes, open_only, ordered, with_badges, with_changes
 from tessera.plans.explain import with_explain
 from tessera.plans.impact import mode_codec, predicted, with_stars
@@ -41,8 +40,7 @@ def at(sf_dir: str, name: str) -> str:
 
 def statistics(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """profile() of a whole table, with distinct values counted one by one."""
-    columns = list(TABLES[name])
-    return profile(sample(spark, at(sf_dir, name), columns, 1 << 40), exact=True)
+    return profile(whole(spark, at(sf_dir, name), list(TABLES[name])), exact=True)
 
 
 def rounded(df: DataFrame, *names: str) -> list:
@@ -109,7 +107,7 @@ CONFIDENCE_SQL = "CASE WHEN rule = 'RleDictionary' AND raw_ratio BETWEEN 0.08 AN
 
 
 def rows_of(spark: SparkSession, sf_dir: str, name: str, engine: str = "duckdb", priority: str = "balanced", explain: str = "brief") -> DataFrame:
-    return recommend(profiled(spark, at(sf_dir, name), 1 << 40, exact=True), engine, priority, explain)
+    return recommend(profiled(spark, at(sf_dir, name), None, exact=True), engine, priority, explain)
 
 
 def rules_query(name: str):
@@ -135,14 +133,13 @@ def codec_sql(engine: str, priority: str) -> str:
 
 
 def json_pattern_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = sample(spark, at(sf_dir, "events"), ["props"], 1 << 40).withColumnRenamed("props", "v0")
-    return patterns(rows, ["props"], {"props": rows.schema["v0"].dataType}).select(F.col("column").alias("column_name"), "uuid_detected", "json_detected")
+    return profile(whole(spark, at(sf_dir, "events"), ["props"]), exact=True).select(F.col("column").alias("column_name"), "uuid_detected", "json_detected")
 
 
 def uuid_pattern_derived(spark: SparkSession, sf_dir: str) -> DataFrame:
     h = F.md5(F.col("o_orderkey").cast("string"))
-    rows = sample(spark, at(sf_dir, "orders"), ["o_orderkey"], 1 << 40).withColumn("v0", F.concat_ws("-", F.substring(h, 1, 8), F.substring(h, 9, 4), F.substring(h, 13, 4), F.substring(h, 17, 4), F.substring(h, 21, 12)))
-    return patterns(rows, ["id"], {"id": rows.schema["v0"].dataType}).select(F.col("column").alias("column_name"), "uuid_detected", "json_detected")
+    rows = whole(spark, at(sf_dir, "orders"), ["o_orderkey"]).select(F.concat_ws("-", F.substring(h, 1, 8), F.substring(h, 9, 4), F.substring(h, 13, 4), F.substring(h, 17, 4), F.substring(h, 21, 12)).alias("id"), "__file", "__row")
+    return profile(rows, exact=True).select(F.col("column").alias("column_name"), "uuid_detected", "json_detected")
 
 
 def byte_entropy_derived(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -153,7 +150,7 @@ def byte_entropy_derived(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def boolean_rule(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Statistics of a derived boolean column."""
-    rows = sample(spark, at(sf_dir, "lineitem"), ["l_returnflag"], 1 << 40).select((F.col("l_returnflag") == "R").alias("returned"), "__file", "__row")
+    rows = whole(spark, at(sf_dir, "lineitem"), ["l_returnflag"]).select((F.col("l_returnflag") == "R").alias("returned"), "__file", "__row")
     return profile(rows, exact=True).select(F.col("column").alias("column_name"), "n", "distinct_count", F.round("run_length", 6).alias("run_length"))
 
 
@@ -239,10 +236,6 @@ def explain_sql() -> str:
     return f"{statistics_sql('orders')},\nruled AS (SELECT column_name, {RULE_SQL} AS rule FROM stats), every_rule AS (SELECT unnest({order}) AS rule, unnest(range(1, 9)) AS place)\nSELECT column_name, e.rule, e.place <= list_position({order}, r.rule) AS evaluated, e.rule = r.rule AS fired FROM ruled r CROSS JOIN every_rule e"
 
 
-def simple(make):
-    return lambda spark, sf_dir: make(spark, sf_dir)
-
-
 def queries() -> dict:
     out = {}
     for name in TABLES:

@@ -12,8 +12,8 @@ from tessera import cli, queries
 from tessera.functions import scalars
 from tessera.operators.advise import row_group_advice
 from tessera.operators.bench import bench
-from tessera.operators.profile import CHUNK, profile
-from tessera.operators.sample import sample, sample_bytes
+from tessera.operators.profile import profile
+from tessera.operators.sample import sample, sample_bytes, whole
 from tessera.plans.rules import override_codec
 from tessera.report import profiled, recommend, retune, tune
 from tessera.sources.footer import column_summary, file_summary, footers, footers_of_bytes, info
@@ -35,23 +35,57 @@ def stats_of(spark, path, **more):
 
 
 def test_order_and_nulls(spark, tmp_path):
-    path = written(tmp_path, up=pa.array([1, 2, 3, 4]), mixed=pa.array([1, None, 3, None]), pair=pa.array([1, None, 3, 4]), same=[1, 1, 1, 1], text=["apple", "banana", "cherry", "date"], down=["z", "y", "x", "w"], flag=[True, False, True, True], real=[1.0, 1.0, 2.0, None])
+    path = written(tmp_path, up=pa.array([1, 2, 3, 4]), mixed=pa.array([1, None, 3, None]), pair=pa.array([1, None, 3, 4]), same=[1, 1, 1, 1], text=["ant", "bear", "camel", "donkey"], down=["four", "five", "", "a"][:2] + ["a", ""], flag=[True, False, True, True], real=[1.0, 1.0, 2.0, None])
     s = stats_of(spark, path)
     assert s["up"].monotonicity == 1.0 and s["mixed"].monotonicity == 0.0 and s["pair"].monotonicity == 1.0
     assert s["mixed"].null_fraction == 0.5 and s["same"].run_length == 1.0
     assert s["text"].string_monotonicity == 1.0 and s["down"].string_monotonicity == 0.0 and s["up"].string_monotonicity is None
     assert s["flag"].distinct_count == 2 and s["flag"].monotonicity is None and s["real"].distinct_count == 2
-    assert (s["text"].len_min, s["text"].len_max, s["text"].len_mean) == (4, 6, 5.25)
+    assert (s["text"].len_min, s["text"].len_max, s["text"].len_mean) == (3, 6, 4.5)
 
 
 def test_one_text_has_no_order(spark, tmp_path):
     assert stats_of(spark, written(tmp_path, a=["x"]))["a"].string_monotonicity is None
 
 
-def test_pairs_across_chunks(spark, tmp_path):
-    n = CHUNK + 10
-    path = written(tmp_path, a=pa.array([i if i != CHUNK else 0 for i in range(n)]))
-    assert stats_of(spark, path)["a"].monotonicity == pytest.approx((n - 2) / (n - 1))
+def test_pairs_across_splits(spark, tmp_path):
+    """Many batches and splits of one file: no pair is lost or counted twice."""
+    n = 30_000
+    values = [i if i % 7000 else None if i == 21_000 else 0 for i in range(n)]
+    path = written(tmp_path, group=1000, a=pa.array(values), s=[f"{i // 3:05d}" for i in range(n)], f=[float("nan") if i % 2 else -0.0 if i % 4 else 0.0 for i in range(n)], b=[i % 3 == 0 for i in range(n)])
+    held = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "60000")
+    try:
+        assert whole(spark, path).rdd.getNumPartitions() > 3
+        s = {r.column: r for r in profile(whole(spark, path)).collect()}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", held)
+    pairs = [(x, y) for x, y in zip(values, values[1:]) if x is not None and y is not None]
+    assert s["a"].n == n and s["a"].nulls == 1 and s["a"].monotonicity == pytest.approx(sum(y >= x for x, y in pairs) / len(pairs))
+    assert s["s"].string_monotonicity == 1.0 and s["s"].run_length == pytest.approx((n - n // 3) / (n - 1), abs=1e-4) and s["s"].distinct_count == 10_000
+    assert s["f"].distinct_count == 2 and s["f"].run_length == 0.0 and s["b"].monotonicity is None and s["b"].distinct_count == 2
+
+
+def test_whole_files_and_equal_names(spark, tmp_path):
+    """All row groups count; files of one name in different folders stay apart."""
+    path = written(tmp_path, group=100, a=list(range(1000)))
+    assert profile(whole(spark, path)).first().n == 1000 and profile(sample(spark, path)).first().n == 100
+    for k, n in ((1, 3), (2, 4)):
+        (tmp_path / "d" / f"k={k} +x").mkdir(parents=True)
+        written(tmp_path / "d" / f"k={k} +x", "part-0", a=list(range(n)))
+    assert sorted(r.n for r in profile(sample(spark, f"{tmp_path}/d", ["a"])).collect()) == [3, 4]
+    rows = profiled(spark, f"{tmp_path}/d").where("column = 'a'").collect()
+    assert sorted((r.n, r.file_rows, r.distinct_count) for r in rows) == [(3, 3, 3), (4, 4, 4)]
+
+
+def test_sketch_by_column_and_file(spark, tmp_path):
+    n = 60_000
+    written(tmp_path, "many", a=list(range(n)), sparse=pa.array([i if i % 100 == 0 else None for i in range(n)]))
+    written(tmp_path, "few", a=[1, 2, 2], sparse=pa.array([None, None, None], pa.int64()))
+    got = {(r.file.rsplit("/", 1)[-1], r.column): (r.distinct_method, r.distinct_count) for r in profile(whole(spark, str(tmp_path))).collect()}
+    assert got["few.parquet", "a"] == ("exact", 2) and got["many.parquet", "sparse"] == ("exact", 600) and got["few.parquet", "sparse"] == ("exact", 0)
+    method, count = got["many.parquet", "a"]
+    assert method == "hyperloglog" and abs(count - n) < 0.05 * n
 
 
 def test_patterns_and_entropy(spark, tmp_path):
@@ -157,6 +191,7 @@ def test_scalars():
 
 
 def test_rewrite_and_report(spark, tmp_path):
+    told_of = []
     source, target = f"{SF}/orders.parquet", f"{tmp_path}/out.parquet"
     result = rewrite(spark, source, target, "duckdb", "size")
     assert pq.read_table(target).equals(pq.read_table(source)) and result["output_bytes"] < result["input_bytes"]
@@ -169,6 +204,11 @@ def test_rewrite_and_report(spark, tmp_path):
     assert len(data) == r["output_bytes"] and len(r["columns"]) == 6
     report = tune(spark, source)
     assert report["size_reduction_pct"] == pytest.approx(100 * (1 - 1 / 1.15)) and [o["id"] for o in report["options"]] == ["a", "b", "c"]
+    assert report["current_codec"] == "SNAPPY"
+    small, told = tune(spark, source, "duckdb", "size", told=lambda *x: told_of.append(x)), told_of
+    a, b, c = small["options"]
+    assert (a["codec"], a["level"], b["level"], c["codec"]) == ("ZSTD", 3, 6, "LZ4") and not a["caveats"] and [n["severity"] for n in c["caveats"]] == ["Warning"]
+    assert len(told) == 6 and told[-1] == (6, 6, "o_orderpriority") and [x["column"] for x in small["columns"]] == [x["column"] for x in report["columns"]]
     assert json.loads(json.dumps(report, default=str))["columns"][0]["column"] == "o_orderkey"
     exec(report["python_snippet"].replace("'input.parquet'", repr(source)).replace("'output.parquet'", repr(f"{tmp_path}/s.parquet")))
     assert pq.read_table(f"{tmp_path}/s.parquet").num_rows == 1500
