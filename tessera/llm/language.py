@@ -43,10 +43,11 @@ HOLD = 8
 MARGIN = 0.5
 FEW = 20
 RUN = 100_000
+SCORED = 16_384  # words at once, which bounds the arrays of their n-grams
 SCALES = [2.0**-k for k in range(0, 9)]
-#: Numerals that the class of words holds and that are no letters.
-NUMERALS = "".join(c for c in map(chr, range(sys.maxunicode + 1)) if unicodedata.category(c) in ("No", "Nl"))
-LETTERS = re.compile(rf"[^\W\d_{NUMERALS}]+")
+LETTERS = re.compile(r"[^\W\d_]+")
+#: Numerals that this class holds and that are no letters; a set finds them in a text faster than a pattern of so many.
+NUMERALS = frozenset(c for c in map(chr, range(sys.maxunicode + 1)) if unicodedata.category(c) in ("No", "Nl"))
 START, END = 2, 3
 FIELDS = [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("cross_entropy", T.DoubleType()), T.StructField("rejected", T.BooleanType())]
 
@@ -54,6 +55,8 @@ FIELDS = [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.D
 def words_of(text: str):
     """Lists of the words of a text, a part at a time."""
     for part in parts_of(text):
+        if not part.isascii() and (odd := NUMERALS.intersection(part)):
+            part = part.translate({ord(c): " " for c in odd})
         yield LETTERS.findall(part.lower())
 
 
@@ -235,7 +238,8 @@ class Scorer:
             n = len(self.rows)
             while n + len(new) > len(self.values):
                 self.values = np.concatenate([self.values, np.zeros_like(self.values)])
-            self.values[n : n + len(new), :-1] = self.m.score(new)
+            for i in range(0, len(new), SCORED):
+                self.values[n + i : n + min(i + SCORED, len(new)), :-1] = self.m.score(new[i : i + SCORED])
             self.values[n : n + len(new), -1] = [len(w) + 1 for w in new]
             self.rows.update(zip(new, range(n, n + len(new)), strict=True))
         at = np.fromiter(map(self.rows.__getitem__, words), np.int64, len(words))
