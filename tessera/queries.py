@@ -6,20 +6,19 @@ below. Lists of columns are fixed values.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.operators.advise import row_group_advice, sort_candidates
+from tessera import layouts
+from tessera.operators.advise import sort_candidates
 from tessera.operators.bench import bench
-from tessera.operators.diagnose import health, islands, islands_text, with_diagnosis
-from tessera.operators.profile import distinct_count, entropy, profile
+from tessera.operators.profile import distinct_counts, entropy, profile
 from tessera.operators.sample import whole
-from tessera.operators.views import encoding_breakdown, estimated_sizes, open_only, ordered, with_badges, with_changes
-from tessera.plans.explain import with_explain
-from tessera.plans.impact import mode_codec, predicted, with_stars
-from tessera.plans.rules import codec_support, with_codec
+from tessera.operators.views import encoding_breakdown, with_badges
 from tessera.report import profiled, recommend
-from tessera.sources.footer import column_summary, column_names, file_summary, footers
+from tessera.sources.footer import column_names, column_summary, file_summary, footers
 
 #: Columns by table: name and physical type, with "time" for timestamps.
 TABLES = {
@@ -157,10 +156,11 @@ def boolean_rule(spark: SparkSession, sf_dir: str) -> DataFrame:
 def approximate_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whether the sketch comes within 5 % of the exact count, by column."""
     columns = list(TABLES["lineitem"])
-    data = spark.read.parquet(at(sf_dir, "lineitem"))
-    wide = data.agg(*(F.struct(distinct_count(F.col(c), True).alias("exact"), distinct_count(F.col(c), False).alias("guess")).alias(c) for c in columns))
-    long = wide.select(F.explode(F.array(*(F.struct(F.lit(c).alias("column_name"), F.col(f"{c}.exact").alias("exact"), F.col(f"{c}.guess").alias("guess")) for c in columns))).alias("s")).select("s.*")
-    return long.select("column_name", "exact", (F.abs(F.col("guess") - F.col("exact")) <= 0.05 * F.col("exact") + 1).alias("close"))
+    rows = whole(spark, at(sf_dir, "lineitem"), columns)
+    counts = lambda exact, name: distinct_counts(rows, columns, None, exact).select("i", F.col("distinct_count").alias(name))
+    both = counts(True, "exact").join(counts(False, "guess"), "i")
+    name = F.element_at(F.array(*map(F.lit, columns)), F.col("i") + 1)
+    return both.select(name.alias("column_name"), "exact", (F.abs(F.col("guess") - F.col("exact")) <= 0.05 * F.col("exact") + 1).alias("close"))
 
 
 def footer_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -176,54 +176,21 @@ def footer_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows
 
 
-def per_table(make) -> object:
-    """A query that unites what make(spark, sf_dir, table) gives for a few tables."""
-
-    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        out = None
-        for name in ("nation", "customer", "orders"):
-            one = make(spark, sf_dir, name).withColumn("table_name", F.lit(name))
-            out = one if out is None else out.union(one)
-        return out
-
-    return query
-
-
-def stars_of(spark, sf_dir, name):
-    return rows_of(spark, sf_dir, name).select(F.col("column").alias("column_name"), F.round("share", 6).alias("share"), "stars")
-
-
-def diagnosis_of(spark, sf_dir, name):
-    return rows_of(spark, sf_dir, name).select(F.col("column").alias("column_name"), "status", "detail", "present_encoding", "effectively_match")
-
-
-def multi_group(spark: SparkSession, sf_dir: str, **options) -> DataFrame:
-    """Footer-like rows whose row groups differ, for the operators over row groups."""
-    schema = "file string, column string, rg_encodings array<array<string>>, rg_dict_bytes array<long>"
-    rows = [("f", "a", [["RLE_DICTIONARY"], ["RLE_DICTIONARY"], ["PLAIN"], ["PLAIN"]], [100, 100, None, None]), ("f", "b", [["PLAIN"], ["PLAIN"]], [None, None]), ("f", "c", [["PLAIN", "RLE"], ["DELTA_BINARY_PACKED"]], [None, None])]
-    return spark.createDataFrame(rows, schema)
-
-
-def rg_islands(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return multi_group(spark, sf_dir).select(F.col("column").alias("column_name"), islands_text(islands()).alias("variance"))
-
-
 def bench_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_badges(bench(spark, at(sf_dir, "events"), "event_type")).select("column", "encoding", "codec", "level", "bytes", "ratio", "best_bytes")
 
 
 def rewrite_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows of orders after an exact rewrite, against the input."""
-    import tempfile
-
-    from tessera.sources.rewrite import rewrite
+    from tessera.sources.rewrite import place_of, read_exact, rewrite
 
-    folder = tempfile.mkdtemp(prefix="tessera-roundtrip-")
-    result = rewrite(spark, at(sf_dir, "orders"), f"{folder}/out.parquet", "spark", "balanced")
-    spark.conf.set("spark.sql.parquet.enableVectorizedReader", "false")  # BYTE_STREAM_SPLIT
-    made = spark.read.parquet(f"{folder}/out.parquet").agg(F.count(F.lit(1)).alias("rows"), F.sum("o_orderkey").alias("keys"), F.round(F.sum("o_totalprice"), 2).alias("total")).first()
-    spark.conf.unset("spark.sql.parquet.enableVectorizedReader")
-    return spark.createDataFrame([(result["rows"], made["rows"], made["keys"], made["total"])], "written long, n_rows long, keys long, total double")
+    folder = spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/tessera"  # without a shared folder: local tests
+    system, at_folder = place_of(folder)
+    system.create_dir(at_folder)
+    target = f"{folder.rstrip('/')}/roundtrip-{uuid.uuid4().hex}.parquet"
+    result = rewrite(spark, at(sf_dir, "orders"), target, "spark", "balanced")
+    made = read_exact(spark, target, ["o_orderkey", "o_totalprice"], "o_orderkey long, o_totalprice double")
+    return made.agg(F.lit(result["rows"]).cast("long").alias("written"), F.count(F.lit(1)).alias("n_rows"), F.sum("o_orderkey").alias("keys"), F.round(F.sum("o_totalprice"), 2).alias("total"))
 
 
 def explain_trace(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -247,18 +214,11 @@ def queries() -> dict:
     out |= {
         "json_pattern_events": json_pattern_events, "uuid_pattern_derived": uuid_pattern_derived, "byte_entropy_derived": byte_entropy_derived, "boolean_derived": boolean_rule, "approximate_distinct": approximate_distinct,
         "footer_columns": footer_columns, "footer_files": footer_files, "column_names": lambda s, d: column_names(footers(s, at(d, "customer"))).select("position", F.col("column").alias("column_name")),
-        "impact_stars": per_table(stars_of), "diagnose": per_table(diagnosis_of),
-        "size_prediction": per_table(lambda s, d, n: predicted(rows_of(s, d, n)).select(F.round("size_reduction_pct", 6).alias("size_reduction_pct"), F.round("read_speedup", 6).alias("read_speedup"), "overall_confidence")),
-        "size_range": per_table(lambda s, d, n: estimated_sizes(predicted(rows_of(s, d, n))).select("low", "high")),
-        "health": per_table(lambda s, d, n: health(rows_of(s, d, n)).drop("file")),
         "encoding_breakdown": lambda s, d: encoding_breakdown(rows_of(s, d, "orders")),
-        "mode_codec": per_table(lambda s, d, n: mode_codec(column_summary(footers(s, at(d, n)))).drop("file")),
         "sort_candidates": lambda s, d: sort_candidates(rows_of(s, d, "orders")).select(F.col("column").alias("column_name"), F.round("monotonicity", 6).alias("monotonicity")),
-        "row_group_advisory": per_table(lambda s, d, n: row_group_advice(file_summary(footers(s, at(d, n))), "spark").select("verdict", "within", F.col("row_groups").cast("long").alias("row_groups"))),
-        "rg_islands": rg_islands, "bench_grid": bench_grid, "rewrite_roundtrip": rewrite_roundtrip, "explain_trace": explain_trace,
-        "codec_support": lambda s, d: codec_support(s), "open_columns": lambda s, d: ordered(open_only(rows_of(s, d, "orders"))).select(F.col("column").alias("column_name"), "stars"),
+        "bench_grid": bench_grid, "rewrite_roundtrip": rewrite_roundtrip, "explain_trace": explain_trace,
     }
-    return out
+    return out | layouts.queries(TABLES)
 
 
 def oracle_sql() -> dict[str, str]:
@@ -282,8 +242,6 @@ def oracle_sql() -> dict[str, str]:
         "explain_trace": explain_sql(),
         "encoding_breakdown": f"{statistics_sql('orders')},\nruled AS (SELECT *, {RULE_SQL} AS rule FROM stats), coded AS (SELECT {ENCODING_SQL} AS encoding FROM ruled) SELECT encoding, count(*)::BIGINT AS columns FROM coded GROUP BY 1",
         "sort_candidates": f"{statistics_sql('orders')} SELECT column_name, monotonicity FROM stats WHERE raw_mono > 0.95 AND physical = 'INT64'",
-        "rg_islands": "SELECT * FROM (VALUES ('a', 'RLE_DICTIONARY in RGs 0-1; PLAIN in RGs 2-3'), ('b', NULL), ('c', 'PLAIN in RG 0; DELTA_BINARY_PACKED in RG 1')) t(column_name, variance)",
         "rewrite_roundtrip": "SELECT count(*)::BIGINT AS written, count(*)::BIGINT AS n_rows, sum(o_orderkey)::BIGINT AS keys, round(sum(o_totalprice), 2) AS total FROM orders",
     }
-    # Footers have no SQL view, so what follows from them alone is compared by rows only, but for what is known of the files.
-    return out
+    return out | layouts.oracle_sql(TABLES, statistics_sql, RULE_SQL, ENCODING_SQL, CONFIDENCE_SQL)

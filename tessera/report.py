@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import json
-import os
 import time
 from collections.abc import Callable
 from functools import reduce
@@ -23,7 +22,7 @@ from tessera.plans.explain import with_explain
 from tessera.plans.impact import mode_codec, predicted, with_stars
 from tessera.plans.rules import with_codec, with_encoding
 from tessera.plans.snippets import options, snippet
-from tessera.sources.footer import column_summary, file_summary, footers
+from tessera.sources.footer import column_summary, file_summary, footers, listed
 from tessera.streaming.progress import follow
 
 TUNE_ROWS, APPLY_ROWS = 2_000_000, 500_000
@@ -70,8 +69,7 @@ def profiled(spark: SparkSession, path: str, sample_rows: int | None = TUNE_ROWS
 def tune(spark: SparkSession, path: str, engine: str = "unknown", priority: str = "balanced", sample_rows: int = TUNE_ROWS, explain: str = "brief", strict_level: bool = False, told: Callable[[int, int, str], None] | None = None) -> dict:
     """The report of one file, as a dict that json can write. told: progress by column, see profiled()."""
     began = time.time()
-    if not any(c in path for c in ("://", "*")) and not os.path.exists(path):
-        raise FileNotFoundError(path)
+    listed(path)  # which fails for a path without a file
     footer = footers(spark, path)
     return assemble(recommend(profiled(spark, path, sample_rows, told=told).cache(), engine, priority, explain, strict_level), file_summary(footer), engine, priority, sample_rows, explain, began)
 

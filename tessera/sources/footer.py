@@ -93,8 +93,15 @@ class FilePartition(InputPartition):
         self.file = file
 
 
+def place_of(path: str) -> tuple[pafs.FileSystem, str]:
+    """The file system of a path and the path within it; without a scheme it is local."""
+    if path.startswith("file:"):
+        path = "file://" + "/" + path.removeprefix("file:").lstrip("/")
+    return pafs.FileSystem.from_uri(path) if "://" in path else (pafs.LocalFileSystem(), path)
+
+
 def listed(path: str) -> list[str]:
-    system, at = pafs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (pafs.LocalFileSystem(), path)
+    system, at = place_of(path)
     info = system.get_file_info(at)
     if info.type == pafs.FileType.NotFound:
         raise FileNotFoundError(path)
@@ -114,7 +121,7 @@ class FooterReader(DataSourceReader):
 
     def read(self, partition):
         file = partition.file
-        system, at = pafs.FileSystem.from_uri(file) if "://" in file or file.startswith("file:") else (pafs.LocalFileSystem(), file)
+        system, at = place_of(file)
         with system.open_input_file(at) as f:
             yield from rows_of(pq.read_metadata(f), file, f.size())
 

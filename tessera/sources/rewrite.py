@@ -1,22 +1,26 @@
 """Rewriting Parquet data as recommended.
 
-exact: pyarrow writes a file in one task, batch by batch, with encoding, codec and level per column.
+exact: pyarrow writes each file in a task of its own, with encoding, codec and level per column; a row group is read and written in
+parts of PART rows at most, and the new file takes its name at the end.
 native: Spark's writer, for data of any size; one codec for all columns, dictionaries per column, version 2 pages.
 """
 
 from __future__ import annotations
 
-import os
-import tempfile
+import uuid
 
 import pyarrow as pa
+import pyarrow.fs as pafs
 import pyarrow.parquet as pq
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions.scalars import writer_codec, writer_encoding
+from tessera.operators.sample import spooled
 from tessera.report import APPLY_ROWS, tune
-from tessera.sources.footer import column_summary, footers
+from tessera.sources.footer import column_summary, footers, place_of
+
+PART = 1 << 20
 
 
 def writer_plan(columns: list[dict]) -> dict:
@@ -31,39 +35,95 @@ def writer_plan(columns: list[dict]) -> dict:
     } | ({"compression_level": levels} if levels else {})
 
 
+def size_of(path: str) -> int:
+    """Bytes of a file, or of the Parquet files below a folder; -1 if there is nothing."""
+    system, at = place_of(path)
+    info = system.get_file_info(at)
+    if info.type == pafs.FileType.NotFound:
+        return -1
+    if info.type == pafs.FileType.File:
+        return info.size
+    return sum(f.size for f in system.get_file_info(pafs.FileSelector(at, recursive=True)) if f.is_file and f.path.endswith(".parquet"))
+
+
+def same_file(a: str, b: str) -> bool:
+    """Whether two paths name one file, links and relative parts resolved where the file system is local."""
+    import os
+
+    (x, at), (y, to) = place_of(a), place_of(b)
+    local = isinstance(x, pafs.LocalFileSystem) and isinstance(y, pafs.LocalFileSystem)
+    return os.path.realpath(at) == os.path.realpath(to) if local else (x, at) == (y, to)
+
+
 def rewrite(spark: SparkSession, source: str, target: str, engine: str = "unknown", priority: str = "balanced", sample_rows: int = APPLY_ROWS, in_place: bool = False, mode: str = "exact") -> dict:
     """Write source to target as recommended; a dict of bytes before and after, rows and the report."""
     if not in_place:
-        if os.path.abspath(source) == os.path.abspath(target):
+        if same_file(source, target):
             raise FileExistsError(f"{target} is the input")
-        if os.path.exists(target):
+        if size_of(target) >= 0:
             raise FileExistsError(target)
     report = tune(spark, source, engine, priority, sample_rows)
-    before = os.path.getsize(source)
-    rows = exact(source, target, report["columns"]) if mode == "exact" else native(spark, source, target, report)
-    after = os.path.getsize(target) if os.path.isfile(target) else sum(os.path.getsize(os.path.join(d, f)) for d, _, names in os.walk(target) for f in names if f.endswith(".parquet"))
+    before = size_of(source)
+    rows = exact(spark, [(source, target)], report["columns"]) if mode == "exact" else native(spark, source, target, report)
+    after = size_of(target)
     return {"input_bytes": before, "output_bytes": after, "rows": rows, "reduction_pct": (1 - after / before) * 100 if before else 0.0, "report": report}
 
 
-def exact(source: str, target: str, columns: list[dict]) -> int:
-    """Batches from source to a temporary file beside target, which then takes its name."""
-    reader = pq.ParquetFile(source)
-    handle, temporary = tempfile.mkstemp(suffix=".parquet", dir=os.path.dirname(os.path.abspath(target)))
-    os.close(handle)
-    rows = 0
+def exact(spark: SparkSession, files: list[tuple[str, str]], columns: list[dict]) -> int:
+    """Write each source to its target, a task per file; the number of rows. Paths are such that all executors see them."""
+    plan = writer_plan(columns)
+
+    def run(batches):
+        for batch in batches:
+            rows = [written(source, target, plan) for source, target in zip(*(c.to_pylist() for c in batch.columns[:2]), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int64())], names=["n"])
+
+    pairs = spark.createDataFrame([(*f, i) for i, f in enumerate(files)], "source string, target string, i int")
+    return pairs.repartitionByRange(len(files), "i").mapInArrow(run, "n long").agg(F.sum("n")).first()[0] or 0
+
+
+def written(source: str, target: str, plan: dict) -> int:
+    """Rows copied from source to a temporary file beside target, which then takes its name."""
+    (system, at), (home, to) = place_of(source), place_of(target)
+    temporary, rows = f"{to}.{uuid.uuid4().hex}.tmp", 0
     try:
-        with pq.ParquetWriter(temporary, reader.schema_arrow, **writer_plan(columns)) as writer:
-            for g in range(reader.num_row_groups):
-                group = reader.read_row_group(g)
-                writer.write_table(group, row_group_size=max(1, group.num_rows))
-                rows += group.num_rows
-        os.replace(temporary, target)
+        with system.open_input_file(at) as data, home.open_output_stream(temporary) as sink:
+            reader = pq.ParquetFile(data)
+            with pq.ParquetWriter(sink, reader.schema_arrow, **plan) as writer:
+                for g in range(reader.num_row_groups):
+                    if reader.metadata.row_group(g).num_rows == 0:
+                        continue
+                    held, n = [], 0
+                    for part in reader.iter_batches(batch_size=min(PART, 1 << 16), row_groups=[g]):
+                        held.append(part)
+                        n += part.num_rows
+                        if n >= PART:
+                            writer.write_table(pa.Table.from_batches(held), row_group_size=n)
+                            rows, held, n = rows + n, [], 0
+                    if held:
+                        writer.write_table(pa.Table.from_batches(held), row_group_size=n)
+                        rows += n
+        home.move(temporary, to)
     except BaseException:
-        os.unlink(temporary)
+        if home.get_file_info(temporary).type != pafs.FileType.NotFound:
+            home.delete_file(temporary)
         raise
     return rows
 
 
+def read_exact(spark: SparkSession, path: str, columns: list[str], schema: str) -> DataFrame:
+    """Columns of a file as pyarrow reads them, for encodings that Spark's vectorized reader lacks."""
+
+    def run(batches):
+        for batch in batches:
+            for file in batch.column(0).to_pylist():
+                system, at = place_of(file)
+                with system.open_input_file(at) as data:
+                    yield from pq.ParquetFile(data).iter_batches(columns=columns)
+
+    return spark.createDataFrame([(path,)], "path string").mapInArrow(run, schema)
+
+
 def native(spark: SparkSession, source: str, target: str, report: dict) -> int:
     names = {"UNCOMPRESSED": "none", "LZ4": "lz4_raw"}
     codec = report["file_codec"]
@@ -80,14 +140,17 @@ def native(spark: SparkSession, source: str, target: str, report: dict) -> int:
 
 def rewrite_bytes(spark: SparkSession, content: bytes, engine: str = "unknown", priority: str = "balanced", sample_rows: int = APPLY_ROWS) -> tuple[bytes, dict]:
     """rewrite() of a file's content, with the sizes of its columns before and after."""
-    folder = tempfile.mkdtemp(prefix="tessera-rewrite-")
-    source, target = f"{folder}/in.parquet", f"{folder}/out.parquet"
-    with open(source, "wb") as f:
-        f.write(content)
+    source = spooled(spark, content)
+    target = source.replace("content-", "rewritten-")
     result = rewrite(spark, source, target, engine, priority, sample_rows)
     result["columns"] = [r.asDict() for r in size_deltas(footers(spark, source), footers(spark, target)).orderBy("position").collect()]
-    with open(target, "rb") as f:
-        return f.read(), result
+    system, at = place_of(target)
+    with system.open_input_stream(at) as f:
+        made = f.read()
+    for path in (source, target):
+        system, at = place_of(path)
+        system.delete_file(at)
+    return made, result
 
 
 def size_deltas(before: DataFrame, after: DataFrame) -> DataFrame:

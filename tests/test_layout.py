@@ -190,7 +190,7 @@ def test_scalars():
     assert dict(follow("ab", str.upper, lambda *x: told.append(x))) == {"a": "A", "b": "B"} and told[-1] == (2, 2, "b")
 
 
-def test_rewrite_and_report(spark, tmp_path):
+def test_rewrite_and_report(spark, tmp_path, monkeypatch):
     told_of = []
     source, target = f"{SF}/orders.parquet", f"{tmp_path}/out.parquet"
     result = rewrite(spark, source, target, "duckdb", "size")
@@ -214,6 +214,11 @@ def test_rewrite_and_report(spark, tmp_path):
     assert pq.read_table(f"{tmp_path}/s.parquet").num_rows == 1500
     again = retune(profiled(spark, source), file_summary(footers(spark, source)), "spark", "size")
     assert {c["rec_codec"] for c in again["columns"]} == {"SNAPPY"}
+    large = written(tmp_path, "large", group=2000, a=list(range(5000)))
+    monkeypatch.setattr("tessera.sources.rewrite.PART", 1500)
+    result = rewrite(spark, large, f"{tmp_path}/parts.parquet")
+    made = pq.ParquetFile(f"{tmp_path}/parts.parquet")
+    assert result["rows"] == 5000 and made.read().equals(pq.read_table(large)) and not list(tmp_path.glob("*.tmp"))
     native = rewrite(spark, source, f"{tmp_path}/native", "spark", mode="native")
     assert native["rows"] == 1500
 
@@ -232,9 +237,27 @@ def test_exit_codes(spark, tmp_path, capsys):
     assert cli.main(["tune", path, "--min-improvement", "1000"], spark) == 0
     assert cli.main(["tune", f"{tmp_path}/nothing.parquet"], spark) == 2 and cli.main(["tune", path, "--engine", "x"], spark) == 2
     assert cli.main(["apply", path, "--output", path], spark) == 2
-
-
-@pytest.mark.parametrize("name", ["encoding_rules_orders", "null_profile_events", "string_length_part", "codec_speed_duckdb", "explain_trace", "byte_entropy_derived"])
+    link = tmp_path / "link.parquet"
+    link.symlink_to(path)
+    assert cli.main(["apply", path, "--output", str(link)], spark) == 2
+    capsys.readouterr()
+    assert cli.main(["tune", path, "--priority", "speed", "--progress"], spark) == 1
+    out = capsys.readouterr()
+    assert "LZ4 gains little" in out.out and "option c: Fastest, LZ4" in out.out and "row groups:" in out.out and "1 of 1: a" in out.err
+    assert cli.parser().parse_args(["tune", path]).min_improvement == 10.0
+    assert cli.main(["profile", path, "--save", f"{tmp_path}/kept"], spark) == 0
+    assert cli.main(["retune", f"{tmp_path}/kept", "--output", "json", "--engine", "spark"], spark) == 0
+    report = capsys.readouterr().out
+    (tmp_path / "report.json").write_text(report)
+    assert cli.main(["snippet", f"{tmp_path}/report.json", "--engine", "spark"], spark) == 0 and "df.write" in capsys.readouterr().out
+    for measure, seen in (("size", ()), ("read", ("read",)), ("write", ("write",)), ("all", ("read", "write"))):
+        assert cli.main(["bench", path, "--column", "a", "--codecs", "zstd:3,snappy", "--measure", measure], spark) == 0
+        text = capsys.readouterr().out
+        assert "★size" in text and [k for k in ("read", "write") if f"{k} " in text] == list(seen)
+    assert cli.main(["bench", path, "--column", "a", "--measure", "none"], spark) == 2
+
+
+@pytest.mark.parametrize("name", ["encoding_rules_orders", "null_profile_events", "string_length_part", "codec_speed_duckdb", "explain_trace", "byte_entropy_derived", "diagnose", "size_prediction", "rg_islands"])
 def test_against_sql(spark, name):
     con = duckdb.connect()
     for t in queries.TABLES:
