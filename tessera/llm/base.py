@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import re
 import tempfile
 import uuid
-from collections.abc import Callable, Iterable, Iterator
-from contextlib import contextmanager
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager, suppress
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -18,13 +19,15 @@ from pyspark.sql import types as T
 def shared_folder(spark: SparkSession) -> str:
     """The folder that the driver and all executors see: spark.checkpoint.dir of the session.
 
-    Only where the session names none (tests, a local master) a temporary one is made.
+    Only where the session names none and the master is local (tests) a temporary one is made.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         found = spark.sparkContext._jsc.sc().getCheckpointDir()
         folder = found.get() if found.isDefined() else None
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir is not set")
         folder = "file://" + tempfile.mkdtemp(prefix="tessera-")
         spark.sparkContext.setCheckpointDir(folder)
     return folder.rstrip("/")
@@ -79,6 +82,21 @@ def small_batches(spark: SparkSession, rows: int = 256) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
+def trimmed(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """run, after which the worker gives its memory back: workers live on between tasks and stages."""
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            with suppress(OSError, AttributeError):  # another C library
+                ctypes.CDLL(None).malloc_trim(0)
+
+    return whole
+
+
 def append_columns(df: DataFrame, fields: list[T.StructField], make: Callable[[], Callable[[pa.RecordBatch], list[pa.Array]]]) -> DataFrame:
     """df with new columns, computed batch by batch in one Arrow pass without a shuffle.
 
@@ -97,7 +115,7 @@ def append_columns(df: DataFrame, fields: list[T.StructField], make: Callable[[]
             yield pa.RecordBatch.from_arrays(columns, names=[*kept, *(f.name for f in fields)])
 
     small_batches(df.sparkSession)
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(trimmed(run), schema)
 
 
 def fresh(df: DataFrame, *names: str) -> list[str]:
@@ -112,20 +130,6 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
-def by_bytes(texts: Iterable[str | None], limit: int) -> Iterator[list[str]]:
-    """Texts in runs of about limit characters; null is the empty text."""
-    run, size = [], 0
-    for text in texts:
-        text = text or ""
-        run.append(text)
-        size += len(text)
-        if size >= limit:
-            yield run
-            run, size = [], 0
-    if run:
-        yield run
-
-
 #: White space of the Unicode standard, which is what str.split() takes but for U+001C to U+001F.
 GAP = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 

@@ -11,7 +11,7 @@ pre-token is.
 
 Decoding. Tokens pass one at a time through a state machine that holds at most one unfinished
 UTF-8 character. Its plain form writes the tokens themselves, joined by one space, which is what the library does where its file
-names no decoder. Both forms begin anew at a word, so short words' ids and decoded forms are remembered together; a text is taken in parts
+names no decoder. Both forms begin anew at a word, so the ids and decoded forms of short pre-tokens are remembered together; a text is taken in parts
 that end behind white space, so neither all its words nor all its tokens are held at once.
 
 Null and empty texts have no ids and decode to the empty text. Each row is taken by itself:
@@ -214,38 +214,64 @@ class Decoder:
 
 
 class Codec:
-    """Whole texts to ids and back, with a bounded memory of short words."""
+    """Whole texts to ids and back, with a bounded memory of short words and of the pre-tokens they are made of."""
 
-    def __init__(self, path: str, memory: int = 400_000):
+    def __init__(self, path: str, memory: int = 300_000):
         self.v = Vocabulary(path)
         self.special = regex.compile("(" + "|".join(regex.escape(s) for s in sorted(self.v.special, key=len, reverse=True)) + ")")
-        self.memory, self.known, self.moving = memory, {}, Transducer(self.v)
+        self.marks = {s[0] for s in self.v.special}
+        self.memory, self.known, self.pieces = memory, {}, {}
+        self.moving, self.plain = Transducer(self.v), Decoder(self.v, True)
 
     def words(self, text: str):
         """Lists of the runs without white space, a part of the text at a time."""
         for part in parts_of(text):
             yield [w for w in regex.split(f"[{SPACE}]+", part) if w] if ODD.search(part) else part.split()
 
-    def encode_word(self, word: str) -> list[int]:
-        """Ids of a run without white space."""
-        ids: list[int] = []
-        for part in self.special.split(word) if self.special.search(word) else (word,):
+    def pre_tokens(self, word: str) -> list[str | int]:
+        """A run without white space as special ids and lower-case pre-tokens."""
+        out: list[str | int] = []
+        for part in self.special.split(word) if not self.marks.isdisjoint(word) and self.special.search(word) else (word,):
             if part in self.v.special:
-                ids.append(self.v.special[part])
+                out.append(self.v.special[part])
                 continue
-            if not part.isascii():
+            if part.isascii():
+                part = part.lower()
+                if part.isalpha():  # which the pattern takes whole
+                    out.append(part)
+                    continue
+            else:
                 # Each letter is lowered by itself: no rule for a sigma at a word's end.
-                part = unicodedata.normalize("NFC", part).replace("Σ", "σ")
-            for m in self.v.pattern.finditer(part.lower()):
-                self.moving.pending.clear()
-                ids += self.moving.push(m.group().encode("utf-8", "replace"))
-                ids += self.moving.close()
-        return ids
+                part = unicodedata.normalize("NFC", part).replace("Σ", "σ").lower()
+            out += self.v.pattern.findall(part)
+        return out
+
+    def encode_piece(self, piece: str | int) -> list[int]:
+        if isinstance(piece, int):
+            return [piece]
+        self.moving.pending.clear()
+        return [*self.moving.push(piece.encode("utf-8", "replace")), *self.moving.close()]
+
+    def told(self, ids: list[int]) -> tuple[int, str, str]:
+        """Number of ids, the ids joined by one space, and what they decode to in plain form."""
+        text = "".join(map(self.plain.push, ids))
+        self.plain.close()
+        return len(ids), " ".join(map(str, ids)), text
+
+    def piece(self, piece: str | int) -> tuple[int, str, str]:
+        found = self.pieces.get(piece)
+        if found is None:
+            found = self.told(self.encode_piece(piece))
+            if isinstance(piece, int) or len(piece) <= 64:
+                if len(self.pieces) >= self.memory:
+                    self.pieces.clear()
+                self.pieces[piece] = found
+        return found
 
     def entry(self, word: str) -> tuple[int, str, str]:
-        """Number of ids of a word, the ids joined by one space, and what they decode to in plain form."""
-        ids = self.encode_word(word)
-        found = (len(ids), " ".join(map(str, ids)), self.decode(ids, True))
+        """told() of a word's ids."""
+        parts = [self.piece(p) for p in self.pre_tokens(word)]
+        found = parts[0] if len(parts) == 1 else (sum(p[0] for p in parts), " ".join([p[1] for p in parts]), " ".join([p[2] for p in parts]))
         if len(word) <= 64:
             if len(self.known) >= self.memory:
                 self.known.clear()
@@ -267,7 +293,7 @@ class Codec:
         return n, ids_hash.hexdigest(), text_hash.hexdigest()
 
     def encode(self, text: str) -> list[int]:
-        return [i for words in self.words(text) for w in words for i in self.encode_word(w)]
+        return [i for words in self.words(text) for w in words for p in self.pre_tokens(w) for i in self.encode_piece(p)]
 
     def decode(self, ids: list[int], plain: bool = False) -> str:
         """The text that ids stand for: bytes through the state machine, a space after each word. plain: the library's form."""

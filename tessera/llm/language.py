@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.base import append_columns, parts_of, small_batches
+from tessera.llm.base import append_columns, parts_of, small_batches, trimmed
 
 ORDER = 4
 BITS = 20
@@ -120,7 +120,7 @@ def gram_counts(docs: DataFrame, text: str, lang: str) -> DataFrame:
         yield from flush()
 
     small_batches(docs.sparkSession)
-    made = docs.select(F.col(text).alias("t"), F.col(lang).alias("l")).mapInArrow(run, schema)
+    made = docs.select(F.col(text).alias("t"), F.col(lang).alias("l")).mapInArrow(trimmed(run), schema)
     return made.groupBy("lang", "ord", "gram").agg(F.sum("n").alias("n"), F.min("ctx").alias("ctx"), F.min("low").alias("low"), F.max("starts").alias("starts"))
 
 
@@ -294,7 +294,7 @@ def fit(train: DataFrame, text: str = "text", lang: str = "lang", doc_id: str =
     small_batches(train.sparkSession)
 
     def measured(some: DataFrame):
-        found = some.select(F.col(text).alias("t"), F.col(lang).alias("l")).mapInArrow(run, "lang int, bucket int, n double")
+        found = some.select(F.col(text).alias("t"), F.col(lang).alias("l")).mapInArrow(trimmed(run), "lang int, bucket int, n double")
         return found.groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow().to_pandas()
 
     found = measured(rows.where(held))

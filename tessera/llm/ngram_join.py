@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.base import forget, fresh, scratch, small_batches, stored
+from tessera.llm.base import forget, fresh, scratch, small_batches, stored, trimmed
 from tessera.llm.graph import components
 
 MOST_MATCHES = 16
@@ -215,7 +215,7 @@ def frequent_tokens(texts: DataFrame, size: int, percent: int) -> Levels:
         if held:
             yield from counted()
 
-    counts = texts.mapInArrow(run, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).where(F.col("n") >= FREQUENT)
+    counts = texts.mapInArrow(trimmed(run), "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).where(F.col("n") >= FREQUENT)
     counts = stored(counts, "frequent")
     # The smallest number of documents for which the table has HEAVIEST rows at most.
     steps = counts.groupBy(F.floor(F.log2("n") * 4).cast("int").alias("step")).count().collect()  # some hundred rows
@@ -264,7 +264,7 @@ def prefixes(rows: DataFrame, size: int, percent: int, levels) -> DataFrame:
                 names=["id", "key", "node", "n", "ell", "q", "prefix", "bits"],
             )
 
-    return rows.mapInArrow(run, "id long, key long, node long, n long, ell int, q int, prefix array<long>, bits array<long>")
+    return rows.mapInArrow(trimmed(run), "id long, key long, node long, n long, ell int, q int, prefix array<long>, bits array<long>")
 
 
 def shared_lists(batches):
@@ -332,7 +332,7 @@ def verified(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> Dat
 
     first = pairs.join(texts.select(F.col("node").alias("b"), F.col("text").alias("y")), "b")
     whole = first.join(texts.select(F.col("node").alias("a"), F.col("text").alias("x")), "a").select("a", "b", "x", "y")
-    return whole.mapInArrow(run, "a long, b long")
+    return whole.mapInArrow(trimmed(run), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = 5, percent: int = 80, keys: bool = False) -> DataFrame:

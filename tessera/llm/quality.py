@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.base import append_columns, parts_of, scratch, small_batches, stored
+from tessera.llm.base import append_columns, parts_of, scratch, small_batches, stored, trimmed
 
 LABELLED = 6000
 ROUNDS = 4
@@ -317,7 +317,7 @@ def features(rows: DataFrame, kept: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns[:-4], *lists], names=[*batch.schema.names[:-4], "ta", "tv", "ma", "mv"])
 
     small_batches(rows.sparkSession)
-    return rows.mapInArrow(run, kept + ", ta array<int>, tv array<float>, ma array<int>, mv array<float>")
+    return rows.mapInArrow(trimmed(run), kept + ", ta array<int>, tv array<float>, ma array<int>, mv array<float>")
 
 
 def prepare(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", lang: str = "lang", n_chars: str = "n_chars") -> DataFrame:
