@@ -327,6 +327,17 @@ def test_html(spark):
     assert html_text.main_text(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_html_blocks():
+    blocks = lambda page: html_text.blocks_of(page)[0]
+    assert blocks('<article><p class="advert">Buy now</p><p>text</p><span class="share">Share this</span>') == ["text"]
+    assert blocks('<article><p class="advert">Buy now<p>text <span class="share">Share</span> more</article>') == ["text more"]
+    assert blocks('<article><p title="x>hello</p><p>next</p>') == ["hello", "next"]
+    assert blocks("<article><p>a<ul><li class=share>x<li>y</ul><p>z</article>") == ["a", "y", "z"]
+    assert blocks("<article><a class='share' href=x>s<p>kept</p></article>") == ["kept"]
+    assert blocks("<div class='related'><div>x</div>y</div>z &lt;b&gt;") == ["z <b>"]
+    assert blocks("") == [] and blocks("<") == ["<"] and len(blocks("<article>" + "<p>one</p>" * 20_000 + "x" * 500_000)) == 20_001
+
+
 def test_html_runs_of_a_large_host(spark):
     """A notice on two pages goes, however many pages its host has."""
     page = "<body><div>own {}</div><div>notice {}</div></body>"
