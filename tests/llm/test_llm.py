@@ -262,6 +262,22 @@ def test_line_runs(spark):
     assert line_dedup.dedup_lines(odd(spark)).count() == len(ODD) and line_dedup.dedup_lines(odd(spark).limit(0)).count() == 0
 
 
+def test_suffix_ranks(spark):
+    """Ranks at each depth against the sorted suffixes; repeated rows are one document."""
+    r = random.Random(12)
+    docs = [[r.choice("abcdef") if r.random() < 0.8 else f"only {i} {k}" for k in range(40)] for i in range(12)]
+    rows = frame(spark, ["\n".join(d) for d in docs] + ["\n".join(docs[0])]).withColumn("doc_id", F.when(F.col("doc_id") == 12, 0).otherwise(F.col("doc_id")))
+    got = line_dedup.suffix_ranks(line_dedup.line_table(rows, "doc_id", "text"), 10).collect()
+    assert len(got) == len({(x.id, x.at) for x in got}) == sum(len(line) == 1 or not i for i, d in enumerate(docs) for line in d)  # of the repeated row all lines occur again
+    for j in range(4):
+        runs = {(x.id, x.at): tuple(docs[x.id][x.at : x.at + (1 << j)]) for x in got}
+        count = collections.Counter(v for v in runs.values() if len(v) == 1 << j)
+        known = {(x.id, x.at): x[f"r{j}"] for x in got if x[f"r{j}"] is not None}
+        if j:
+            assert set(known) == {k for k, v in runs.items() if count[v] > 1}
+        assert len(set(known.values())) == len({runs[k] for k in known}) == len({(runs[k], v) for k, v in known.items()})
+
+
 def test_short_and_unspaced_line_runs(spark):
     paragraph = "这一段文字没有空格但是在许多文件里面反复出现"
     texts = [f"first\n{paragraph}", f"second\n{paragraph}", "third\nAll rights reserved by us.\nshort", "fourth\nAll rights reserved by us.\nshort"]
