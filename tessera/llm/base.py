@@ -146,9 +146,3 @@ def parts_of(text: str, size: int = 1 << 20) -> Iterator[str]:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def text_key(text: str = "text"):
-    """128 bits that stand for a whole text, as two longs; null and the empty text are one."""
-    whole = F.coalesce(F.col(text), F.lit(""))
-    return F.struct(F.xxhash64(whole).alias("a"), F.xxhash64(F.lit(0x5EED), whole).alias("b"))

@@ -13,7 +13,7 @@ tasks by their anchor. An anchor with more than MANY different stretches is deal
 like distances from the anchor (bands of BANDS[0] distances, then BANDS[1], ...) share all the bytes that lie in each of them, so equal
 windows meet at the hash of these. Each deal first takes equal strings as one, which repeat whole, and leaves out what is alone
 under its key; so rows grow with the number of stretches, and no key needs all its stretches in one task. In the last deal a band is
-one window.
+one window. Index keeps such a family over batches that come one after the other, its levels being tables in order of anchor.
 
 Strings are judged on the input. Texts are UTF-8 bytes, null is empty; matches don't cross
 documents; copies and repeated rows are matches of each other. Texts below `length` bytes are kept.
@@ -23,13 +23,14 @@ An empty table gives an empty result.
 from __future__ import annotations
 
 import hashlib
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.base import forget, scratch, small_batches, stored
+from tessera.llm.base import forget, scratch, small_batches, stored, trimmed
 
 GRAM = 32
 MANY = 2000
@@ -265,13 +266,19 @@ def dealt_anew(pieces: DataFrame, length: int) -> tuple[list[DataFrame], list[Da
     return spans_found, fitting
 
 
-def repeated_spans(rows: DataFrame, length: int) -> DataFrame:
-    """rows(key, text) -> (key, from, to): spans of bytes to remove; they may overlap."""
+def repeated_spans(rows: DataFrame, length: int, levels: list[Level] = ()) -> tuple[DataFrame, DataFrame]:
+    """rows(key, text) -> stored tables: (key, from, to), the spans of bytes to remove, which may overlap, and the stretches of rows.
+
+    levels: what earlier batches hold; the spans of these are among the result too.
+    """
     spark = rows.sparkSession
-    occ = stored(stretch_table(rows, length), "stretches")
+    own = stored(stretch_table(rows, length), "stretches")
+    occ = own
+    for level in levels:  # a merge-scan: both sides are in order of anchor
+        occ = occ.unionByName(level.stretches.join(own.select("anchor").distinct(), "anchor", "left_semi"))
+        rows = rows.unionByName(level.texts)
     anchors = occ.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"), F.min("content").alias("lo"), F.max("content").alias("hi")).where("n > 1")
     shared = stored(occ.join(anchors.select("anchor", (F.col("lo") != F.col("hi")).alias("mixed")), "anchor"), "shared")
-    forget(occ)
     contents = shared.where("mixed").groupBy("anchor", "content").agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct("key", "at", "size")).alias("r"))
     contents = stored(contents, "contents")
     alike = shared.join(contents.where("copies > 1").select("anchor", "content"), ["anchor", "content"], "left_semi").unionByName(shared.where("NOT mixed"))
@@ -304,17 +311,67 @@ def repeated_spans(rows: DataFrame, length: int) -> DataFrame:
     cold = cold.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(lambda b: indexed(b, length), "key long, from long, to long")
     for more in (cold, *found):
         whole = whole.union(more)
-    return stored(whole.distinct(), "spans")
+    return stored(whole.distinct(), "spans"), own
+
+
+class Level(NamedTuple):
+    """Batches of an index: their stretches in order of anchor, their texts by key, and the number of stretches."""
+
+    stretches: DataFrame
+    texts: DataFrame
+    size: int
+
+
+class Index:
+    """A logarithmic family over batches that come one after the other, each level being a pair of stored tables.
+
+    A batch is met with itself and with every level; then it becomes a level of its own, and levels of like size
+    merge, so that a stretch is written O(log n) times and a batch meets O(log n) tables.
+    """
+
+    def __init__(self, length: int = 200):
+        self.length, self.levels = length, []
+
+    def add(self, docs: DataFrame, doc_id: str = "doc_id", text: str = "text", with_text: bool = False) -> DataFrame:
+        """remove_repeats() of a batch, for which strings of all earlier batches count as starting elsewhere."""
+        small_batches(docs.sparkSession)
+        rows = keyed(docs, text)
+        with scratch() as keep:
+            found, own = repeated_spans(rows, self.length, self.levels)
+            new = self.level(own, rows)
+            while self.levels and self.levels[-1].size <= 2 * new.size:
+                last = self.levels.pop()
+                merged = self.level(last.stretches.unionByName(new.stretches), last.texts.unionByName(new.texts))
+                for df in (last.stretches, last.texts):
+                    forget(df)
+                new = merged
+            self.levels.append(new)
+            for df in (found, new.stretches, new.texts):
+                keep(df)
+        return without(docs, found, doc_id, text, with_text)
+
+    @staticmethod
+    def level(stretches: DataFrame, texts: DataFrame) -> Level:
+        made = stored(stretches.repartitionByRange("anchor").sortWithinPartitions("anchor"), "level")
+        return Level(made, stored(texts.dropDuplicates(["key"]), "level-texts"), made.count())
+
+
+def keyed(docs: DataFrame, text: str) -> DataFrame:
+    return docs.select(F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("key"), F.col(text).alias("text"))
 
 
 def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = 200, with_text: bool = False) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256[, kept]): a row per document. kept is binary: a cut may split a character."""
-    spark = docs.sparkSession
-    small_batches(spark)
-    rows = docs.select(F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("key"), F.col(text).alias("text"))
+    small_batches(docs.sparkSession)
     with scratch() as keep:
-        found = repeated_spans(rows, length)
+        found, _ = repeated_spans(keyed(docs, text), length)
         keep(found)
+    return without(docs, found, doc_id, text, with_text)
+
+
+def without(docs: DataFrame, found: DataFrame, doc_id: str, text: str, with_text: bool) -> DataFrame:
+    """docs without the spans found, as remove_repeats() returns them."""
+    spark = docs.sparkSession
     own = found.groupBy("key").agg(F.collect_list(F.struct("from", "to")).alias("spans")).withColumnRenamed("key", "k")
     joined = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("t"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("key"))
     joined = joined.join(own.hint("shuffle_hash"), F.col("key") == F.col("k"), "left").select("doc_id", "t", "spans")
@@ -342,4 +399,4 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
     small_batches(spark)
     kind = docs.schema[doc_id].dataType.simpleString()
-    return joined.mapInArrow(run, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_text)
+    return joined.mapInArrow(trimmed(run), f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_text)

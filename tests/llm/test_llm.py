@@ -313,6 +313,29 @@ def test_suffix_dedup(spark, many, monkeypatch):
     assert suffix_dedup.remove_repeats(frame(spark, [])).count() == 0
 
 
+def test_suffix_index_of_batches(spark):
+    """Batches one after the other against brute force over all that came before; few levels remain."""
+    texts = corpus(48, 21) + ["ab" * 300, None, "short"]
+    random.Random(2).shuffle(texts)
+    index, done = suffix_dedup.Index(), []
+    for i in range(0, len(texts), 14):
+        batch = texts[i : i + 14]
+        done += batch
+        got = {r[0]: tuple(r[1:]) for r in index.add(frame(spark, batch)).collect()}
+        assert [got[k] for k in range(len(batch))] == brute_spans(done, 200)[len(done) - len(batch) :]
+    assert all(a.size > 2 * b.size for a, b in zip(index.levels, index.levels[1:])) and len(index.levels) < 4
+
+
+def test_suffix_dedup_of_a_long_text(spark):
+    """A text of several parts: repeats within it, across the parts' edges and in another text."""
+    r = random.Random(5)
+    long = "".join(r.choice("abcdefghij ") for _ in range(suffix_dedup.PART + 30_000))
+    edge = suffix_dedup.PART
+    texts = [long + long[1000:1500] + "é" * 10, "x " + long[edge - 300 : edge + 300] + " y", long[edge - 250 : edge - 20]]
+    got = {x[0]: tuple(x[1:]) for x in suffix_dedup.remove_repeats(frame(spark, texts)).collect()}
+    assert [got[i] for i in range(3)] == brute_spans(texts, 200)
+
+
 def test_family_levels():
     r = random.Random(4)
     strings = [bytes(r.choice(b"ab") for _ in range(60)) for _ in range(80)]
