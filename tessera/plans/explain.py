@@ -53,8 +53,8 @@ def actual(rule: str) -> Column:
 
 
 def trace() -> Column:
-    """Eight entries: whether a rule was reached, whether it decided, its threshold, the value found and the outcome."""
-    holds, place = conditions(), F.array_position(F.array(*map(F.lit, RULES)), F.col("rule"))
+    """Of rows with place, the number of the rule that decides: eight entries: whether a rule was reached, whether it decided, its threshold, the value found and the outcome."""
+    holds, place = conditions(), F.col("place")
     entries = []
     for i, rule in enumerate(RULES, 1):
         outcome = F.when(F.lit(i) > place, "not reached").when(F.lit(i) == place, F.concat(F.lit("decides for "), F.lit(ENCODING_OF[rule]))).otherwise("does not hold")
@@ -66,6 +66,7 @@ def with_explain(rows: DataFrame) -> DataFrame:
     """rows with raw_stats, rule_trace, alternatives (reached, not decisive) and teaching."""
     lessons = F.create_map(*(F.lit(x) for pair in TEACHING.items() for x in pair))
     encodings = F.create_map(*(F.lit(x) for pair in ENCODING_OF.items() for x in pair))
-    out = rows.withColumn("raw_stats", raw_stats()).withColumn("rule_trace", trace())
+    place = F.array_position(F.array(*map(F.lit, RULES)), F.col("rule"))
+    out = rows.withColumn("raw_stats", raw_stats()).withColumn("place", place).withColumn("rule_trace", trace()).drop("place")
     lost = F.transform(F.filter("rule_trace", lambda t: t.evaluated & ~t.fired), lambda t: F.struct(t.rule.alias("rule"), F.element_at(encodings, t.rule).alias("encoding"), t.actual.alias("reason")))
     return out.withColumn("alternatives", lost).withColumn("teaching", F.element_at(lessons, F.col("rule")))
