@@ -427,15 +427,9 @@ def linked_classes(docs: DataFrame, doc_id: str, text: str, size: int, percent:
     def labelled(left: DataFrame) -> DataFrame:
         return left.drop("comp").join(label, "node", "left").withColumn("comp", F.coalesce("component", "node")).drop("component")
 
-    def open_lists(left: DataFrame) -> DataFrame:
-        """The lists that hold two classes or more."""
-        named = labelled(left)
-        still = named.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo != hi").select("token")
-        return stored(named.join(still, "token"), "open")
-
     large = stored(lists.groupBy("token").count().where(F.col("count") > LARGE).select("token"), "large")
     small = lists.join(large, "token", "left_anti").select("token", "node", "short")
-    left = open_lists(lists.join(large, "token").select("token", "node", "short"))
+    left = stored(labelled(lists.join(large, "token").select("token", "node", "short")), "large-lists")
     before = 0
     for turn in range(ROUNDS):
         hubs = left.groupBy("token").agg(*(F.min_by(F.struct("node", "comp"), F.xxhash64("node", F.lit(turn * HUBS + i))).alias(f"h{i}") for i in range(HUBS)))
@@ -448,12 +442,15 @@ def linked_classes(docs: DataFrame, doc_id: str, text: str, size: int, percent:
             break
         links = [stored((links[0] if len(links) == 1 else links[0].union(links[1])).union(found), "links")]
         label = components(links[0])
-        after = open_lists(left)
+        after = stored(labelled(left), "large-lists")
         forget(left)
         left = after
         if fresh * FEWER < before:  # what is left links too little for trials to pay
             break
         before = fresh
+    # Lists of one class make no pairs; a large one is not joined with itself to find that out.
+    still = left.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo != hi").select("token")
+    left = left.join(still, "token")
     # Of the tokens that a pair shares and that are short for its smaller node, the first in that node's order is never left out.
     order = Window.partitionBy("node").orderBy(F.desc("short"), "token")
     earlier = F.array_compact(F.array(*(F.lag("token", i + 1).over(order) for i in range(BEFORE))))
