@@ -351,6 +351,13 @@ def test_suffix_array():
     ids = r.integers(0, 3, 200)
     order, lcp = html_text.suffix_array(ids)
     assert order.tolist() == sorted(range(200), key=lambda i: ids[i:].tolist())
+    for seed, n, kinds in ((2, 300, 2), (3, 1, 5), (4, 50, 1), (5, 120, 40)):
+        ids = np.random.default_rng(seed).integers(0, kinds, n)
+        order, lcp = html_text.suffix_array(ids)
+        rows = [ids[i:].tolist() for i in order]
+        assert rows == sorted(rows)
+        assert lcp.tolist()[1:] == [next((k for k, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b))) for a, b in zip(rows, rows[1:])]
+    assert len(html_text.suffix_array(np.zeros(0, np.int64))[0]) == 0
     assert html_text.repeated_blocks([[1, 2, 3], [4, 2, 3], [5]], [1, 1, 2]) == {2, 3, 5}
 
 
