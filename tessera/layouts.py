@@ -55,7 +55,7 @@ def queries(tables: dict[str, dict[str, str]]) -> dict:
 
         return query
 
-    column = F.col("column").alias("column_name")
+    column = lambda: F.col("column").alias("column_name")
 
     def row_group_advisory(spark: SparkSession, sf_dir: str) -> DataFrame:
         """Files of two row groups, of 1000 and 3000 bytes for each row of the table."""
@@ -76,14 +76,14 @@ def queries(tables: dict[str, dict[str, str]]) -> dict:
             one = distinct.groupBy("g").agg((F.count("v") % 2 == 0).alias("even")).select(F.lit(c).alias("column"), "g", "even")
             kinds = one if kinds is None else kinds.unionAll(one)
         sets = kinds.groupBy("column").agg(F.transform(F.array_sort(F.collect_list(F.struct("g", "even"))), lambda x: F.array(F.when(x["even"], F.lit("RLE_DICTIONARY")).otherwise(F.lit("PLAIN")))).alias("rg_encodings"))
-        runs = sets.select(column, F.explode(islands()).alias("r"))
+        runs = sets.select(column(), F.explode(islands()).alias("r"))
         return runs.select("column_name", F.col("r.from").cast("long").alias("from_group"), F.col("r.to").cast("long").alias("to_group"), F.col("r.encodings").alias("encoding"))
 
     def engine_support(spark: SparkSession, sf_dir: str) -> DataFrame:
         """What Spark asks for to read each recommended encoding of orders."""
         rows = recommend(laid_out(spark, sf_dir, "orders", tables["orders"]), "spark", "balanced")
         known = encoding_support(spark).where("engine = 'spark'").select("encoding", "min_version")
-        return rows.join(known, "encoding", "left").select(column, "encoding", "min_version")
+        return rows.join(known, "encoding", "left").select(column(), "encoding", "min_version")
 
     def codec_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
         """Columns of customer by engine, with whether the codec recommended for small files is supported."""
@@ -95,13 +95,13 @@ def queries(tables: dict[str, dict[str, str]]) -> dict:
         return reduce(DataFrame.unionAll, parts)
 
     return {
-        "impact_stars": every(lambda r: r.select(column, F.round("share", 6).alias("share"), "stars")),
-        "diagnose": every(lambda r: r.select(column, "status", "present_encoding", "effectively_match", F.size("fallback_groups").cast("long").alias("n_fallback"), "largest_dict_bytes")),
+        "impact_stars": every(lambda r: r.select(column(), F.round("share", 6).alias("share"), "stars")),
+        "diagnose": every(lambda r: r.select(column(), "status", "present_encoding", "effectively_match", F.size("fallback_groups").cast("long").alias("n_fallback"), "largest_dict_bytes")),
         "size_prediction": every(lambda r: predicted(r).select(F.round("size_reduction_pct", 6).alias("size_reduction_pct"), F.round("read_speedup", 6).alias("read_speedup"), "overall_confidence")),
         "size_range": every(lambda r: estimated_sizes(predicted(r)).select("low", "high")),
         "health": every(lambda r: health(r).drop("file")),
         "mode_codec": every(lambda r: mode_codec(r).drop("file")),
-        "open_columns": every(lambda r: open_only(r).select(column, "stars")),
+        "open_columns": every(lambda r: open_only(r).select(column(), "stars")),
         "row_group_advisory": row_group_advisory,
         "rg_islands": rg_islands,
         "encoding_support": engine_support,
