@@ -111,5 +111,29 @@ SELECT vec_id, (SELECT count(*) FROM links WHERE links.a = v.vec_id)::BIGINT AS
 FROM v LEFT JOIN low ON low.a = v.vec_id
 """
 
+#: All pairs of documents that share a shingle; components by spreading the smallest id.
+NGRAMS_SQL = r"""
+WITH RECURSIVE w AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+d AS (SELECT doc_id, list_distinct(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE []::VARCHAR[] END) AS s FROM w),
+t AS (SELECT doc_id, len(s) AS n, unnest(s) AS s FROM d),
+links AS (SELECT a.doc_id AS a, b.doc_id AS b FROM t a JOIN t b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))),
+reach(a, b) AS (SELECT a, b FROM links UNION SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a),
+low AS (SELECT a, min(b) AS m FROM reach GROUP BY a)
+SELECT doc_id, len(s)::BIGINT AS n_shingles, least(doc_id, coalesce(m, doc_id)) AS component_id FROM d LEFT JOIN low ON low.a = d.doc_id
+"""
+
+#: Every 200-byte window by its MD5; successive repeated windows that touch are one run.
+REPEATS_SQL = """
+WITH h AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
+win AS (SELECT doc_id, p, md5(substr(x, 2 * p + 1, 400)) AS m FROM (SELECT doc_id, x, unnest(range(0, len(x) // 2 - 199)) AS p FROM h)),
+again AS (SELECT doc_id, p FROM (SELECT doc_id, p, count(*) OVER (PARTITION BY m) AS n FROM win) WHERE n > 1),
+marked AS (SELECT *, coalesce(p - lag(p) OVER (PARTITION BY doc_id ORDER BY p) > 200, true) AS new FROM again),
+runs AS (SELECT doc_id, min(p) AS lo, max(p) + 200 AS hi FROM (SELECT *, sum(new::INT) OVER (PARTITION BY doc_id ORDER BY p) AS run FROM marked) GROUP BY doc_id, run),
+cut AS (SELECT doc_id, lo, hi, coalesce(lag(hi) OVER (PARTITION BY doc_id ORDER BY lo), 0) AS before FROM runs),
+kept AS (SELECT c.doc_id, sum(hi - lo)::BIGINT AS n_removed, count(*)::BIGINT AS n_spans, string_agg(substr(x, 2 * before + 1, 2 * (lo - before)), '' ORDER BY lo) || substr(any_value(x), 2 * max(hi) + 1) AS left_over FROM cut c JOIN h USING (doc_id) GROUP BY c.doc_id)
+SELECT doc_id, (len(x) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(left_over, x))) AS kept_sha256 FROM h LEFT JOIN kept USING (doc_id)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op4_benchmark_decontamination": LEAKS_SQL, "op5_line_dedup": LINES_SQL, "op8_near_vectors": VECTORS_SQL}
+    return {"op4_benchmark_decontamination": LEAKS_SQL, "op5_line_dedup": LINES_SQL, "op6_suffix_dedup": REPEATS_SQL, "op8_near_vectors": VECTORS_SQL, "op10_ngram_join": NGRAMS_SQL}

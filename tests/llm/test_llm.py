@@ -238,7 +238,7 @@ def test_decontamination_of_swapped_halves(spark):
     assert got == leaks(texts, items) == {(0, 0), (1, 1), (2, 2)}
 
 
-@pytest.mark.parametrize("name", ["op5_line_dedup", "op4_benchmark_decontamination", "op8_near_vectors"])
+@pytest.mark.parametrize("name", ["op5_line_dedup", "op4_benchmark_decontamination", "op6_suffix_dedup", "op8_near_vectors", "op10_ngram_join"])
 def test_against_sql(spark, name):
     con = duckdb.connect()
     for t in ("documents", "benchmark", "embeddings"):
