@@ -56,13 +56,17 @@ def scratch():
             OPEN[-1].extend(kept)
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write df to the shared folder and read it again: lineage is cut and lost executors cost nothing."""
+def stored(df: DataFrame, name: str, clean: bool = True) -> DataFrame:
+    """Write df to the shared folder and read it again: lineage is cut and lost executors cost nothing.
+
+    clean: shuffle files of steps that are over go at once; without it they go with a later table. That suits small steps.
+    """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()  # shuffle files of steps that are over go now
+    if clean:
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
     out = spark.read.schema(df.schema).parquet(path)
     out.stored_at = path
     if OPEN:

@@ -16,7 +16,7 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     logarithm of the longest path. Each step's table is written to the shared folder, and
     the tables before it are deleted. Loops and repeated edges are harmless; null ends are dropped.
     """
-    now = stored(edges.where("a != b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
+    now = stored(edges.where("a != b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges", clean=False)
     state = None
     for _ in range(rounds):
         # Large star: neighbours above a node move to its smallest neighbour.
@@ -27,7 +27,7 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         # Small star: a node and its smaller neighbours move to the smallest.
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").union(low.select("u", F.col("m").alias("v")))
-        after = stored(small.distinct(), "edges")
+        after = stored(small.distinct(), "edges", clean=False)
         sums = after.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)")).alias("h")).first()
         forget(now)
         now = after

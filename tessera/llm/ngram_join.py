@@ -367,8 +367,8 @@ def one_of_each_class(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
         rows = rows.withColumn("order", F.struct(F.isnull("doc_id").alias("none"), "doc_id", "key"))
         rows = rows.join(rows.groupBy("class").agg(F.min("order").alias("first")), "class").select(F.col("doc_id").alias(i), F.col("key").alias(k), "copies", (F.col("order") == F.col("first")).alias("stays"))
         # Written, their sizes are known: small ones go to the texts.
-        rows = stored(rows.where("NOT stays OR copies > 1"), "rows-of-classes")
-        gone, several = stored(rows.where("NOT stays").select(i, k), "gone"), stored(rows.where("stays").select(i, k), "several")
+        rows = stored(rows.where("NOT stays OR copies > 1"), "rows-of-classes", clean=False)
+        gone, several = stored(rows.where("NOT stays").select(i, k), "gone"), stored(rows.where("stays").select(i, k), "several", clean=False)
         for df in (gone, several):
             keep(df)
         left = docs.join(gone, same, "left_anti")
@@ -397,28 +397,28 @@ def linked_classes(docs: DataFrame, doc_id: str, text: str, size: int, percent:
         made.where("ell > 0").groupBy("node").agg(F.min("n").alias("n"), F.min("ell").alias("ell"), F.min("q").alias("q"), F.min(F.struct("id", "key")).alias("r"), F.min("bits").alias("bits")).join(listed, "node", "left_semi"),
         "nodes",
     )
-    sides = stored(nodes.select("node", "n", "ell", "q"), "sides")
+    sides = stored(nodes.select("node", "n", "ell", "q"), "sides", clean=False)
     side = lambda k: sides.select(F.col("node").alias(k), F.col("n").alias(f"n_{k}"), F.col("ell").alias(f"ell_{k}"), F.col("q").alias(f"q_{k}"))
     tried = lambda pairs: pairs.join(side("a"), "a").join(side("b"), "b").where(possible(percent))
     parity = lambda k: nodes.select(F.col("node").alias(k), F.col("n").alias(f"n_{k}"), F.col("bits").alias(f"bits_{k}"))
 
     def linked(pairs: DataFrame) -> DataFrame:
         """The pairs whose parity bits and whole texts reach the threshold."""
-        pairs = stored(pairs.select("a", "b").join(parity("a"), "a").join(parity("b"), "b").where(alike(percent)).select("a", "b"), "pairs")
+        pairs = stored(pairs.select("a", "b").join(parity("a"), "a").join(parity("b"), "b").where(alike(percent)).select("a", "b"), "pairs", clean=False)
         if pairs.isEmpty():
             return pairs
         either = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
         # Written, its size is known: below the broadcast threshold the corpus is scanned without a shuffle, else it moves once.
-        wanted = stored(nodes.join(either, "node", "left_semi").select("node", F.xxhash64("r.id", "r.key").alias("row")), "wanted")
+        wanted = stored(nodes.join(either, "node", "left_semi").select("node", F.xxhash64("r.id", "r.key").alias("row")), "wanted", clean=False)
         texts = stored(rows.select(F.xxhash64("id", "key").alias("row"), "text").join(wanted, "row").dropDuplicates(["node"]).select("node", "text"), "texts")
         small_batches(spark, 64)
-        links = stored(verified(pairs, texts, size, percent), "links")
+        links = stored(verified(pairs, texts, size, percent), "links", clean=False)
         for done in (pairs, wanted, texts):
             forget(done)
         return links
 
     star = tried(lists.where("node != hub").groupBy(F.col("hub").alias("a"), F.col("node").alias("b")).agg(F.count(F.lit(1)).alias("c")))
-    star = stored(star.groupBy("b").agg(F.max_by("a", "c").alias("a")).select("a", "b"), "trials")
+    star = stored(star.groupBy("b").agg(F.max_by("a", "c").alias("a")).select("a", "b"), "trials", clean=False)
     links = [linked(star)]
     forget(star)
 
@@ -427,9 +427,9 @@ def linked_classes(docs: DataFrame, doc_id: str, text: str, size: int, percent:
     def labelled(left: DataFrame) -> DataFrame:
         return left.drop("comp").join(label, "node", "left").withColumn("comp", F.coalesce("component", "node")).drop("component")
 
-    large = stored(lists.groupBy("token").count().where(F.col("count") > LARGE).select("token"), "large")
+    large = stored(lists.groupBy("token").count().where(F.col("count") > LARGE).select("token"), "large", clean=False)
     small = lists.join(large, "token", "left_anti").select("token", "node", "short")
-    left = stored(labelled(lists.join(large, "token").select("token", "node", "short")), "large-lists")
+    left = stored(labelled(lists.join(large, "token").select("token", "node", "short")), "large-lists", clean=False)
     before = 0
     for turn in range(ROUNDS):
         hubs = left.groupBy("token").agg(*(F.min_by(F.struct("node", "comp"), F.xxhash64("node", F.lit(turn * HUBS + i))).alias(f"h{i}") for i in range(HUBS)))
@@ -440,9 +440,9 @@ def linked_classes(docs: DataFrame, doc_id: str, text: str, size: int, percent:
         fresh = found.count()
         if not fresh:
             break
-        links = [stored((links[0] if len(links) == 1 else links[0].union(links[1])).union(found), "links")]
+        links = [stored((links[0] if len(links) == 1 else links[0].union(links[1])).union(found), "links", clean=False)]
         label = components(links[0])
-        after = stored(labelled(left), "large-lists")
+        after = stored(labelled(left), "large-lists", clean=False)
         forget(left)
         left = after
         if fresh * FEWER < before:  # what is left links too little for trials to pay
@@ -470,7 +470,7 @@ def linked_classes(docs: DataFrame, doc_id: str, text: str, size: int, percent:
     hot = met(hot, differing <= F.col("n_a") + F.col("n_b") - 2 * needed(percent))
     cold = met(sized.where("NOT large").drop("large"), F.lit(True))
     cold = cold.join(parity("a"), "a").join(parity("b"), "b").where(alike(percent)).select("a", "b")
-    pairs = stored(hot.union(cold).distinct(), "pairs")
+    pairs = stored(hot.union(cold).distinct(), "pairs", clean=False)
     # The whole prefixes of what is left give the count for the bound.
     either = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
     held = stored(made.where("ell > 0").join(either, "node", "left_semi").select("node", "n", "ell", "q", "prefix").dropDuplicates(["node"]), "held")
@@ -482,6 +482,6 @@ def linked_classes(docs: DataFrame, doc_id: str, text: str, size: int, percent:
     ids = made.where("n > 0").groupBy("node").agg(F.min("id").alias("first"))
     named = ids.join(label, "node", "left").withColumn("comp", F.coalesce("component", "node"))
     # Two small tables, one row per set: a set's class, and the class's smallest id.
-    named = stored(named.select("node", "comp", "first"), "classes")
+    named = stored(named.select("node", "comp", "first"), "classes", clean=False)
     classes = named.groupBy("comp").agg(F.min("first").alias("component_id"))
-    return made, stored(named.join(classes, "comp").select("node", "comp", "component_id"), "named")
+    return made, stored(named.join(classes, "comp").select("node", "comp", "component_id"), "named", clean=False)
