@@ -18,7 +18,7 @@ pairs before any text is read. A set's parity bits bound the difference of two s
 is a differing token at least), which discards most of the rest.
 
 Linking. Copies in groups would give all pairs, so links are found in rounds: each node is tried against the
-first of its lists; in lists of more than LARGE nodes, then against a few hubs of other classes. Possible trials are
+first of its lists; in lists of more than LARGE nodes, then in each list against a hub of another class. Possible trials are
 verified on whole texts, and classes merge. When trials help no more, every pair of two classes that shares a list is
 counted, bounded and verified; it is left out of a list where the BEFORE tokens in front of the list's token, in an
 order of each node's own lists, show another shared one. Pairs inside one class change no class and are never verified.
@@ -42,7 +42,7 @@ from tessera.llm.graph import components
 MOST_MATCHES = 16
 FREQUENT = 16
 HEAVIEST = 1 << 20
-ROUNDS = 4
+ROUNDS = 3
 FEWER = 4
 HUBS = 6
 BITS = 512
@@ -428,13 +428,16 @@ def linked_classes(docs: DataFrame, doc_id: str, text: str, size: int, percent:
         return left.drop("comp").join(label, "node", "left").withColumn("comp", F.coalesce("component", "node")).drop("component")
 
     large = stored(lists.groupBy("token").count().where(F.col("count") > LARGE).select("token"), "large", clean=False)
-    small = lists.join(large, "token", "left_anti").select("token", "node", "short")
-    left = stored(labelled(lists.join(large, "token").select("token", "node", "short")), "large-lists", clean=False)
+    sorted_out = lists.join(large.withColumn("large", F.lit(True)), "token", "left")
+    small = sorted_out.where("large IS NULL").select("token", "node", "short")
+    left = stored(labelled(sorted_out.where("large").select("token", "node", "short")), "large-lists", clean=False)
     before = 0
     for turn in range(ROUNDS):
         hubs = left.groupBy("token").agg(*(F.min_by(F.struct("node", "comp"), F.xxhash64("node", F.lit(turn * HUBS + i))).alias(f"h{i}") for i in range(HUBS)))
-        hubs = hubs.select("token", F.explode(F.array_distinct(F.array(*(f"h{i}" for i in range(HUBS))))).alias("h"))
-        trials = left.join(hubs, "token").where("comp != h.comp").groupBy(F.least("h.node", "node").alias("a"), F.greatest("h.node", "node").alias("b")).agg(F.count(F.lit(1)).alias("c"))
+        hubs = hubs.select("token", F.array(*(f"h{i}" for i in range(HUBS))).alias("hubs"))
+        # A member is tried against the first hub of another class, so a round makes no more rows than the lists have.
+        trials = left.join(hubs, "token").withColumn("h", F.get(F.filter("hubs", lambda h: h["comp"] != F.col("comp")), F.lit(0)))
+        trials = trials.where("h IS NOT NULL").groupBy(F.least("h.node", "node").alias("a"), F.greatest("h.node", "node").alias("b")).agg(F.count(F.lit(1)).alias("c"))
         # c counts only the lists that have this hub, so the bound is not exact here: it only thins the trials.
         found = linked(tried(trials))
         fresh = found.count()
@@ -450,7 +453,7 @@ def linked_classes(docs: DataFrame, doc_id: str, text: str, size: int, percent:
         before = fresh
     # Lists of one class make no pairs; a large one is not joined with itself to find that out.
     still = left.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo != hi").select("token")
-    left = left.join(still, "token")
+    left = left.join(still, "token", "left_semi")
     # Of the tokens that a pair shares and that are short for its smaller node, the first in that node's order is never left out.
     order = Window.partitionBy("node").orderBy(F.desc("short"), "token")
     earlier = F.array_compact(F.array(*(F.lag("token", i + 1).over(order) for i in range(BEFORE))))
