@@ -278,6 +278,35 @@ def test_suffix_ranks(spark):
         assert len(set(known.values())) == len({runs[k] for k in known}) == len({(runs[k], v) for k, v in known.items()})
 
 
+def test_suffix_array_of_lines(spark):
+    """Order, common prefixes and intervals against the sorted suffixes, copies beyond the depth of a run and a frequent line among them."""
+    r = random.Random(13)
+    copied = [r.choice("abcd") for _ in range(30)]
+    docs = [[r.choice("abcdef") if r.random() < 0.9 else f"only {i} {k}" for k in range(40)] for i in range(8)] + [["a"] * 25, ["a"] * 21, copied + ["e"], copied + ["f"], copied]
+    ranks = line_dedup.suffix_ranks(line_dedup.line_table(frame(spark, ["\n".join(d) for d in docs]), "doc_id", "text"))
+    found = [(x["rank"], x.id, x.at) for x in ranks.collect()]
+    places, lines = {x.at: x for x in ranks.collect() if x.id == 8}, {x.r0: docs[x.id][x.at] for x in ranks.collect()}
+    assert len({x["rank"] for x in places.values()}) == 25  # runs of one line, longer than any depth looked at
+    order = {line: n for n, line in lines.items()}
+    counts = collections.Counter(line for d in docs for line in d)
+
+    def suffix(i, at):
+        end = next((k for k in range(at, len(docs[i])) if counts[docs[i][k]] == 1), len(docs[i]))
+        return [order[line] for line in docs[i][at:end]]
+
+    want = sorted((suffix(i, at), i, at) for i, d in enumerate(docs) for at, line in enumerate(d) if counts[line] > 1)
+    assert [p[1:] for p in sorted(found)] == [p[1:] for p in want]
+    for parts in ("4", "1"):
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", str(parts == "1").lower())
+        rows = sorted(line_dedup.intervals(line_dedup.suffixes(ranks, 10)).collect(), key=lambda x: (x["rank"], x.id, x.at))
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+        mine = [s for s in want if len(s[0]) >= 10]  # lines of one word each
+        assert [(x.id, x.at) for x in rows] == [s[1:] for s in mine] and all(x.depth == 10 for x in rows)
+        shared = [0] + [next((k for k, (x, y) in enumerate(zip(a[0], b[0])) if x != y), min(len(a[0]), len(b[0]))) for a, b in zip(mine, mine[1:])]
+        assert [x.lcp for x in rows] == [min(n, 10) for n in shared]
+        assert len({x.interval for x in rows}) == len({tuple(s[0][:10]) for s in mine}) == len({(x.interval, tuple(s[0][:10])) for x, s in zip(rows, mine)})
+
+
 def test_short_and_unspaced_line_runs(spark):
     paragraph = "这一段文字没有空格但是在许多文件里面反复出现"
     texts = [f"first\n{paragraph}", f"second\n{paragraph}", "third\nAll rights reserved by us.\nshort", "fourth\nAll rights reserved by us.\nshort"]
