@@ -1,15 +1,16 @@
 """Main text of web pages: structure first, then a suffix array per host.
 
-A page becomes a stream of text blocks. Scripts, styles, forms, comments and elements that name
-themselves menus, headers, footers, asides, notices, adverts or reader comments are left out. If a
-page has an article element (or main), its blocks are the text. Only where a page has neither, what the
-structure doesn't settle is settled by repetition: the block IDs of a host's pages are concatenated, a suffix
-array is built by prefix doubling, and every run of blocks that a different page of the host holds as well
-(common prefix of neighbours with different pages) is boilerplate; runs of one page stay.
-
-A host may hold a third of all pages, so block sequences are first made distinct with their number of pages summed before
-the shuffle, and hosts are split into groups of about GROUP sequences by hash. Groups only bound memory: each one reports
-its blocks and whether they repeat within it, and a block that repeats in a group or occurs in two groups of a host
+A page becomes a stream of text blocks. Scripts, styles, forms and comments are left out. Blocks of elements that name
+themselves menus, headers, footers, asides, notices, adverts or reader comments are in the stream, but never in the text. If a
+page has an article element (or main), its blocks are the text: they are kept though other pages may hold them, since true
+paragraphs recur too. Where a page has neither, what the structure doesn't settle is settled by repetition. The whole streams of all pages of
+a host, settled or not, are concatenated as block IDs (an article's blocks have IDs of their own, so an article's paragraph is never
+a reason to drop a block elsewhere), a suffix array is built by prefix doubling, and every run of blocks that a different page of the host holds
+as well (common prefix of neighbours with different pages) is boilerplate, be it that page's menu; runs of one page stay.
+
+A host may hold a third of all pages, so streams are first made distinct with their number of pages summed before
+the shuffle, and hosts are split into groups of about GROUP streams, or fewer long ones, by hash. Groups only bound memory: each one reports
+its blocks outside articles and whether they repeat within it, and a block that repeats in a group or occurs in two groups of a host
 repeats in the host (a run of one block is enough). It goes from all of the host's unsettled pages.
 
 Null html is an empty text. Pages without a host share the empty host. Repeated rows and equal ids are
@@ -26,12 +27,13 @@ import re
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.base import small_batches, stored
 
 GROUP = 500
+LONG = 40  # blocks a stream, on the whole, from which on a group takes fewer
 SHORTEST = 1
 
 #: Element names by their part in a page.
@@ -50,30 +52,37 @@ ITEMS = ({"li"}, {"dt", "dd"}, {"td", "th"}, {"tr"})
 KEPT = {"body", "html", "article", "main"}
 
 
-def blocks_of(page: str) -> tuple[list[str], bool]:
-    """Text blocks in page order, and whether an article or main element settles them."""
-    blocks: list[tuple[str, int]] = []
+def stream_of(page: str) -> tuple[list[str], list[bool], bool]:
+    """All text blocks in the order of their ends, which of them structure leaves in the text, and whether an article or main element settles that."""
+    blocks: list[tuple[str, int, bool]] = []
     text: list[str] = []
+    aside: list[str] = []  # text of what is left out, but for forms and the like
     stack: list[tuple[str, bool]] = []  # open elements that matter, and whether they are left out
-    hidden = inside = 0
+    hidden = silent = inside = 0
     at, end = 0, len(page)
 
     def close():
-        joined = SPACE.sub(" ", entities.unescape("".join(text))).strip()
-        text.clear()
+        parts = aside if hidden else text
+        joined = SPACE.sub(" ", entities.unescape("".join(parts))).strip()
+        parts.clear()
         if joined:
-            blocks.append((joined, inside))
+            blocks.append((joined, inside, not hidden))
 
     def leave():
-        nonlocal hidden, inside
+        nonlocal hidden, silent, inside
         name, out = stack.pop()
+        if out and hidden == 1:
+            close()
         hidden -= out
+        silent -= name in SILENT
         inside -= name in ("article", "main") and not hidden and not out and inside > 0
 
     while at < end:
         m = TOKEN.search(page, at)
         if not hidden:
             text.append(page[at : m.start() if m else end])
+        elif not silent:
+            aside.append(page[at : m.start() if m else end])
         if not m:
             break
         at = m.end()
@@ -82,10 +91,10 @@ def blocks_of(page: str) -> tuple[list[str], bool]:
         if not name:
             continue
         if not ending:
-            if name in BLOCKS and not hidden:
+            if name in BLOCKS:
                 close()
-            elif name == "br" and not hidden:
-                text.append(" ")
+            elif name == "br":
+                (aside if hidden else text).append(" ")
             if name in ("script", "style", "textarea", "title", "noscript", "template", "svg", "iframe"):
                 over = re.compile(rf"</{name}\s*[^>]*(?:>|$)", re.I).search(page, at)
                 at = over.end() if over else end
@@ -101,34 +110,48 @@ def blocks_of(page: str) -> tuple[list[str], bool]:
             if out or name in ("article", "main", "div", "section", "ul", "ol", "li", "table", "span", "a", *SILENT, *ASIDE):
                 stack.append((name, out))
                 hidden += out
+                silent += name in SILENT
                 inside += name in ("article", "main") and not hidden
         else:
-            if name in BLOCKS and not hidden:
+            if name in BLOCKS:
                 close()
             if any(n == name for n, _ in stack):
                 while stack[-1][0] != name:
                     leave()
                 leave()
-    if not hidden:
-        close()
-    settled = any(i for _, i in blocks)
-    return [b for b, i in blocks if i or not settled], settled
+    close()
+    settled = any(i for _, i, seen in blocks if seen)
+    return [b for b, _, _ in blocks], [seen and (i > 0 or not settled) for _, i, seen in blocks], settled
+
+
+def blocks_of(page: str) -> tuple[list[str], bool]:
+    """Text blocks that structure leaves in the text, in page order, and whether an article or main element settles them."""
+    blocks, kept, settled = stream_of(page)
+    return [b for b, k in zip(blocks, kept, strict=True) if k], settled
+
+
+def block_id(block: Column, article: Column) -> Column:
+    """63 bits of hash: the last one tells blocks of an article from others."""
+    return F.shiftleft(F.shiftrightunsigned(F.xxhash64(block), 2), 1) + article.cast("long")
 
 
 def page_blocks(pages: DataFrame, html: str) -> DataFrame:
-    """pages with __blocks and __settled."""
+    """pages with __blocks (what structure leaves), __settled, and __stream: IDs of all blocks."""
     at = pages.columns.index(html)
     kept = [c for i, c in enumerate(pages.columns) if i != at]
 
     def run(batches):
         for batch in batches:
-            made = [blocks_of(t or "") for t in batch.column(at).to_pylist()]
+            made = [stream_of(t or "") for t in batch.column(at).to_pylist()]
             rest = [batch.column(i) for i in range(len(kept) + 1) if i != at]
-            yield pa.RecordBatch.from_arrays([*rest, pa.array([b for b, _ in made], pa.list_(pa.string())), pa.array([s for _, s in made], pa.bool_())], names=[*kept, "__blocks", "__settled"])
+            new = [pa.array([b for b, _, _ in made], pa.list_(pa.string())), pa.array([k for _, k, _ in made], pa.list_(pa.bool_())), pa.array([s for _, _, s in made], pa.bool_())]
+            yield pa.RecordBatch.from_arrays([*rest, *new], names=[*kept, "__all", "__kept", "__settled"])
 
     small_batches(pages.sparkSession)
-    schema = ", ".join([f"`{c}` {pages.schema[c].dataType.simpleString()}" for c in kept] + ["__blocks array<string>", "__settled boolean"])
-    return pages.mapInArrow(run, schema)
+    schema = ", ".join([f"`{c}` {pages.schema[c].dataType.simpleString()}" for c in kept] + ["__all array<string>", "__kept array<boolean>", "__settled boolean"])
+    blocks = F.filter("__all", lambda b, i: F.get("__kept", i)).alias("__blocks")
+    stream = F.transform("__all", lambda b, i: block_id(b, F.col("__settled") & F.get("__kept", i))).alias("__stream")
+    return pages.mapInArrow(run, schema).select(*(f"`{c}`" for c in kept), blocks, "__settled", stream)
 
 
 def suffix_array(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -183,24 +206,23 @@ def main_text(pages: DataFrame, page_id: str = "page_id", url: str = "url", html
     host = F.coalesce(F.lower(F.regexp_extract(F.col(url), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/@?#]*@)?([^/:?#]+)", 1)), F.lit(""))
     rows = pages.select(F.col(page_id).alias("page_id"), F.col(url).alias("url"), host.alias("host"), F.col(html).alias("html"))
     made = stored(page_blocks(rows, "html"), "blocks")
-    ids = F.transform("__blocks", lambda b: F.shiftrightunsigned(F.xxhash64(b), 1))
-    # Pages whose structure doesn't settle them, once for each url and sequence.
-    open_pages = made.where("NOT __settled AND size(__blocks) > 0").select("host", "url", ids.alias("ids"))
-    distinct = open_pages.distinct().groupBy("host", "ids").agg(F.count(F.lit(1)).alias("n"))
-    sizes = distinct.groupBy("host").agg(F.count(F.lit(1)).alias("m"))
+    # The streams of all pages, once for each url.
+    streams = made.where("size(__stream) > 0").select("host", "url", F.col("__stream").alias("ids"))
+    distinct = streams.distinct().groupBy("host", "ids").agg(F.count(F.lit(1)).alias("n"))
+    sizes = distinct.groupBy("host").agg(F.greatest(F.count(F.lit(1)), F.sum(F.size("ids")) / LONG).alias("m"))
     grouped = distinct.join(sizes, "host").withColumn("part", F.pmod(F.xxhash64("ids"), F.ceil(F.col("m") / GROUP)))
 
     def run(group: pa.Table) -> pa.Table:
         sequences = group.column("ids").to_pylist()
         found = repeated_blocks(sequences, group.column("n").to_pylist())
-        every = sorted(set().union(*sequences))
+        every = sorted(i for i in set().union(*sequences) if not i & 1)  # an article's blocks stay
         pages = [1 + (i in found) for i in every]  # 2: two at least
         return pa.table({"host": pa.array([group.column("host")[0].as_py()] * len(every), pa.string()), "id": pa.array(every, pa.int64()), "pages": pa.array(pages, pa.int64())})
 
     parts = grouped.select("host", "part", "ids", "n").groupBy("host", "part").applyInArrow(run, "host string, id long, pages long")
-    common = parts.groupBy("host", "id").agg(F.sum("pages").alias("pages")).where("pages > 1").select("host", "id")
+    common = stored(parts.groupBy("host", "id").agg(F.sum("pages").alias("pages")).where("pages > 1").select("host", "id"), "host-runs")
     blocks = made.where("NOT __settled").select("page_id", "url", "host", F.xxhash64("__blocks").alias("row"), F.posexplode("__blocks").alias("at", "block"))
-    gone = blocks.withColumn("id", F.shiftrightunsigned(F.xxhash64("block"), 1)).join(common, ["host", "id"], "left_semi")
+    gone = blocks.withColumn("id", block_id(F.col("block"), F.lit(False))).join(common, ["host", "id"], "left_semi")
     gone = gone.groupBy(F.col("page_id").alias("p"), F.col("url").alias("u"), F.col("row").alias("r")).agg(F.collect_set("at").alias("gone"))
     # Only pages that the structure doesn't settle meet the runs found; the others' texts are not moved.
     unsettled = made.where("NOT __settled")

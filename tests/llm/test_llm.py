@@ -413,6 +413,20 @@ def test_html_blocks():
     assert blocks("") == [] and blocks("<") == ["<"] and len(blocks("<article>" + "<p>one</p>" * 20_000 + "x" * 500_000)) == 20_001
 
 
+def test_html_runs_of_whole_streams(spark, monkeypatch):
+    """Menus and footers of settled pages take part in the host's suffix arrays; articles are kept, and are no reason to drop a block."""
+    settled = "<nav><a>Home of news</a></nav><article><p>Shared paragraph</p><div>About</div><p>Own {}</p></article><div class=ad>Buy {}</div><footer>Imprint here</footer>"
+    plain = "<body><div>Home of news</div><div>Shared paragraph</div><div>Mine alone</div><div>Imprint here</div></body>"
+    rows = [(i, f"http://h/{i}", settled.format(i, i)) for i in range(6)] + [(6, "http://h/6", plain), (7, "http://other/7", plain)]
+    assert html_text.stream_of(settled)[0] == ["Home of news", "Shared paragraph", "About", "Own {}", "Buy {}", "Imprint here"]
+    assert html_text.stream_of("<p>a<span class=share>b</span>c<form>d</form>") == (["b", "ac"], [False, True], False)
+    for group in (500, 1):
+        monkeypatch.setattr(html_text, "GROUP", group)
+        got = {r.page_id: r.text for r in html_text.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+        assert [got[i] for i in range(6)] == [f"Shared paragraph\nAbout\nOwn {i}" for i in range(6)]
+        assert got[6] == "Shared paragraph\nMine alone" and got[7] == "Home of news\nShared paragraph\nMine alone\nImprint here"
+
+
 def test_html_runs_of_a_large_host(spark):
     """A notice on two pages goes, however many pages its host has."""
     page = "<body><div>own {}</div><div>notice {}</div></body>"
