@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 
 from tessera.operators.advise import row_group_advice
 from tessera.operators.diagnose import health, islands
-from tessera.operators.profile import profile
-from tessera.operators.sample import whole
+from tessera.operators.profile import group_counts, profile
+from tessera.operators.sample import numbered, whole
 from tessera.operators.views import estimated_sizes, open_only
 from tessera.plans.impact import mode_codec, predicted
 from tessera.plans.rules import codec_support, encoding_support
@@ -69,12 +69,9 @@ def queries(tables: dict[str, dict[str, str]]) -> dict:
     def rg_islands(spark: SparkSession, sf_dir: str) -> DataFrame:
         """Row groups of GROUP_ROWS rows of lineitem; a column is a dictionary there if the number of its different values is even."""
         columns = list(tables["lineitem"])
-        rows = whole(spark, f"{sf_dir}/lineitem.parquet", columns).withColumn("g", F.floor(F.col("__row") / GROUP_ROWS))
-        kinds = None
-        for c in columns:
-            distinct = rows.select("g", F.col(c).alias("v")).groupBy("g", "v").agg(F.count(F.lit(1)).alias("n"))
-            one = distinct.groupBy("g").agg((F.count("v") % 2 == 0).alias("even")).select(F.lit(c).alias("column"), "g", "even")
-            kinds = one if kinds is None else kinds.unionAll(one)
+        counts = group_counts(numbered(spark, f"{sf_dir}/lineitem.parquet", columns), columns, GROUP_ROWS)
+        name = F.element_at(F.array(*map(F.lit, columns)), F.col("i") + 1)
+        kinds = counts.select(name.alias("column"), "g", (F.col("distinct_count") % 2 == 0).alias("even"))
         sets = kinds.groupBy("column").agg(F.transform(F.array_sort(F.collect_list(F.struct("g", "even"))), lambda x: F.array(F.when(x["even"], F.lit("RLE_DICTIONARY")).otherwise(F.lit("PLAIN")))).alias("rg_encodings"))
         runs = sets.select(column(), F.explode(islands()).alias("r"))
         return runs.select("column_name", F.col("r.from").cast("long").alias("from_group"), F.col("r.to").cast("long").alias("to_group"), F.col("r.encodings").alias("encoding"))

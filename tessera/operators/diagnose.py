@@ -16,13 +16,21 @@ def has_dictionary(e: Column) -> Column:
     return F.arrays_overlap(e, F.array(*map(F.lit, DICTIONARIES)))
 
 
+def bound(value: Column, body) -> Column:
+    """body(value) with the value computed once: an expression used in a lambda is computed again for each element."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def islands(groups: str = "rg_encodings") -> Column:
     """Successive row groups of one encoding set: array of (from, to, encodings); null if all are alike."""
-    sets = F.transform(F.col(groups), lambda e: F.array_join(F.array_sort(data_encodings(e)), "+"))
-    start = F.filter(F.transform(F.sequence(F.lit(0), F.size(sets) - 1), lambda i: F.when((i == 0) | (F.get(sets, i) != F.get(sets, i - 1)), i)), lambda i: i.isNotNull())
-    end = F.transform(start, lambda s, k: F.coalesce(F.get(start, k + 1) - 1, F.size(sets) - 1))
-    runs = F.transform(start, lambda s, k: F.struct(s.alias("from"), F.get(end, k).alias("to"), F.get(sets, s).alias("encodings")))
-    return F.when((F.size(groups) >= 2) & (F.size(F.array_distinct(sets)) > 1), runs)
+    each = F.transform(F.col(groups), lambda e: F.array_join(F.array_sort(data_encodings(e)), "+"))
+
+    def runs(sets: Column) -> Column:
+        first = F.filter(F.sequence(F.lit(0), F.size(sets) - 1), lambda i: (i == 0) | (F.get(sets, i) != F.get(sets, i - 1)))
+        one = lambda start: F.transform(start, lambda s, k: F.struct(s.alias("from"), F.coalesce(F.get(start, k + 1) - 1, F.size(sets) - 1).alias("to"), F.get(sets, s).alias("encodings")))
+        return F.when(F.size(F.array_distinct(sets)) > 1, bound(first, one))
+
+    return F.when(F.size(groups) >= 2, bound(each, runs))
 
 
 def islands_text(runs: Column) -> Column:

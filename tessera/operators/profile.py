@@ -23,6 +23,7 @@ PATTERN_ROWS = 1_000
 ORDERED = (T.IntegerType, T.LongType, T.DateType, T.TimestampType, T.TimestampNTZType)
 STATS = "file string, column string, n long, nulls long, null_fraction double, distinct_count long, distinct_method string, cardinality_ratio double, monotonicity double, string_monotonicity double, run_length double, len_min long, len_max long, len_mean double, len_stddev double, uuid_detected boolean, json_detected boolean, byte_entropy double"
 RUNS = "file string, at long, stop long, i int, n long, some long, pairs long, up long, same long, lo long, hi long, total long, squares double, flags binary, bytes array<long>, first_n long, first_d double, first_b binary, last_n long, last_d double, last_b binary"
+PARTS = "g long, i int, done long, n long, d double, b binary"
 
 
 def comparable(kind: T.DataType) -> bool:
@@ -99,11 +100,16 @@ class Run:
         return out
 
 
+def arrow(schema: str) -> pa.Schema:
+    kinds = {"string": pa.string(), "long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "binary": pa.binary(), "array<long>": pa.list_(pa.int64())}
+    return pa.schema([(n, kinds[k]) for n, k in (part.split() for part in schema.split(", "))])
+
+
 def runs(rows: DataFrame, columns: list[str], kinds: dict) -> DataFrame:
     """RUNS rows: the sums of each column over each run of successive rows that a task meets."""
     texts = [isinstance(kinds[c], T.StringType) for c in columns]
     binaries = [isinstance(kinds[c], T.BinaryType) for c in columns]
-    schema = pa.schema([(n, {"string": pa.string(), "long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "binary": pa.binary(), "array<long>": pa.list_(pa.int64())}[k]) for n, k in (part.split() for part in RUNS.split(", "))])
+    schema = arrow(RUNS)
 
     def run(batches):
         file = at = stop = None
@@ -192,6 +198,47 @@ def distinct_counts(rows: DataFrame, columns: list[str], some: DataFrame, exact:
     return out
 
 
+def group_counts(rows: DataFrame, columns: list[str], size: int) -> DataFrame:
+    """(g, i, distinct_count) of every column i over rows g * size to (g + 1) * size - 1.
+
+    A group that a task meets whole is counted there; of the others, at the ends of splits, tasks send the different values.
+    """
+    schema = arrow(PARTS)
+
+    def told(g: int, n: int, pieces: list[list[pa.Array]]):
+        parts = []
+        for i, p in enumerate(pieces):
+            values = pa.chunked_array(p)
+            if n == size:
+                parts.append({"g": [g], "i": [i], "done": [pc.count_distinct(values, mode="only_valid").as_py()]})
+                continue
+            values = pc.unique(values).drop_null()
+            kind = "d" if pa.types.is_floating(values.type) else "n" if pa.types.is_integer(values.type) else "b"
+            # The first row says that there is a group, with or without values.
+            parts.append({"g": [g] * (1 + len(values)), "i": [i] * (1 + len(values)), "done": [0] + [None] * len(values), kind: pa.concat_arrays([pa.nulls(1, values.type), values])})
+        for p in parts:
+            yield pa.RecordBatch.from_arrays([pa.array(p[f.name], f.type) if f.name in p else pa.nulls(len(p["g"]), f.type) for f in schema], schema=schema)
+
+    def run(batches):
+        at, n, pieces = None, 0, [[] for _ in columns]
+        for batch in batches:
+            groups = batch.column(0).to_numpy() // size
+            cuts = [0, *(np.flatnonzero(groups[1:] != groups[:-1]) + 1).tolist(), len(groups)] if len(groups) else []
+            for a, b in zip(cuts, cuts[1:], strict=False):
+                if at != groups[a]:
+                    if n:
+                        yield from told(at, n, pieces)
+                    at, n, pieces = int(groups[a]), 0, [[] for _ in columns]
+                n += b - a
+                for i, p in enumerate(pieces):
+                    p.append(plain(batch.column(i + 1).slice(a, b - a)))
+        if n:
+            yield from told(at, n, pieces)
+
+    parts = rows.select("__row", *(F.col(f"`{c}`").alias(f"v{i}") for i, c in enumerate(columns))).mapInArrow(run, PARTS)
+    return parts.distinct().groupBy("g", "i").agg((F.sum(F.coalesce("done", F.lit(0))) + F.count("n") + F.count("d") + F.count("b")).alias("distinct_count"))
+
+
 def profile(rows: DataFrame, exact: bool | None = None) -> DataFrame:
     """STATS of every comparable column of rows(…, __file, __row), as whole() and sample() give them.
 

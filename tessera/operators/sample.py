@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.sources.footer import file_summary, footers
@@ -28,6 +28,17 @@ def whole(spark: SparkSession, path: str, columns: list[str] | None = None) -> D
     return data.select(*(F.col(f"`{c}`") for c in wanted), same_path(F.col("_metadata.file_path"), True).alias("__file"), F.col("_metadata.row_index").alias("__row"))
 
 
+def numbered(spark: SparkSession, path: str, columns: list[str] | None = None) -> DataFrame:
+    """whole(), with __row counted on from file to file, by name."""
+    rows = whole(spark, path, columns)
+    if len(spark.read.parquet(path).inputFiles()) < 2:
+        return rows
+    sizes = rows.groupBy("__file").agg((F.max("__row") + 1).alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.orderBy("__file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = sizes.select("__file", before.alias("__before"))  # one row per file
+    return rows.join(F.broadcast(offsets), "__file").withColumn("__row", F.col("__row") + F.col("__before")).drop("__before")
+
+
 def sample(spark: SparkSession, path: str, columns: list[str] | None = None, max_rows: int = 2_000_000, footer: DataFrame | None = None) -> DataFrame:
     """Rows below max_rows of row group 0 of each file, with __file and __row.
 

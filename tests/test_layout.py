@@ -12,8 +12,9 @@ from tessera import cli, queries
 from tessera.functions import scalars
 from tessera.operators.advise import row_group_advice
 from tessera.operators.bench import bench
-from tessera.operators.profile import profile
-from tessera.operators.sample import sample, sample_bytes, whole
+from tessera.operators.diagnose import islands
+from tessera.operators.profile import group_counts, profile
+from tessera.operators.sample import numbered, sample, sample_bytes, whole
 from tessera.plans.rules import override_codec
 from tessera.report import profiled, recommend, retune, tune
 from tessera.sources.footer import column_summary, file_summary, footers, footers_of_bytes, info
@@ -173,6 +174,34 @@ def test_diagnosis(spark):
     assert strict["Match"] == "Mismatch"
 
 
+def test_islands_of_many_row_groups(spark):
+    """So many groups that work growing with their square or cube never ends."""
+    sets = [["PLAIN", "RLE"] if i % 3 else ["RLE_DICTIONARY"] for i in range(20_000)]
+    df = spark.createDataFrame([(sets,), ([["PLAIN"]] * 3,), ([["PLAIN"]],), ([["PLAIN"], ["PLAIN"], ["DELTA_BINARY_PACKED", "RLE"]],)], "rg_encodings array<array<string>>")
+    long, alike, one, short = (r.runs for r in df.select(islands().alias("runs")).collect())
+    assert [tuple(r) for r in long[:3]] == [(0, 0, "RLE_DICTIONARY"), (1, 2, "PLAIN"), (3, 3, "RLE_DICTIONARY")] and len(long) == 13_334 and long[-1].to == 19_999
+    assert alike is None and one is None and [tuple(r) for r in short] == [(0, 1, "PLAIN"), (2, 2, "DELTA_BINARY_PACKED")]
+
+
+def test_distinct_values_of_row_groups(spark, tmp_path):
+    """Groups that lie across splits and files, nulls, signs of zero and NaN."""
+    n, nan = 30_000, float("nan")
+    a, s, f = [None if i % 5 == 0 or i < 700 else i % 457 for i in range(n)], [f"{i % 91}" for i in range(n)], [nan if i % 3 else -0.0 if i % 2 else 0.0 for i in range(n)]
+    cut = 12_345
+    (tmp_path / "t").mkdir()
+    for name, part in (("one", slice(0, cut)), ("two", slice(cut, n))):
+        written(tmp_path / "t", name, group=1000, a=pa.array(a[part], pa.int64()), s=s[part], f=f[part])
+    held = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+    try:
+        rows = numbered(spark, f"{tmp_path}/t", ["a", "s", "f"])
+        assert rows.rdd.getNumPartitions() > 3
+        got = {(r.g, r.i): r.distinct_count for r in group_counts(rows, ["a", "s", "f"], 700).collect()}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", held)
+    assert got == {(g, i): len({str(x + 0.0) if i == 2 else x for x in c[700 * g : 700 * g + 700]} - {None}) for g in range(-(-n // 700)) for i, c in enumerate((a, s, f))} and got[0, 0] == 0
+
+
 def test_row_group_advice(spark):
     df = spark.createDataFrame([("a", 1, [12 << 20]), ("b", 1, [200 << 20]), ("c", 1, [600 << 20])], "file string, row_groups int, rg_bytes array<long>")
     assert {r.file: r.verdict for r in row_group_advice(df, "spark").collect()} == {"a": "below", "b": "within", "c": "above"}
