@@ -22,10 +22,10 @@ def same_path(file: str | Column, encoded: bool = False) -> Column:
 
 
 def whole(spark: SparkSession, path: str, columns: list[str] | None = None) -> DataFrame:
-    """All rows of all files, with __file and __row."""
+    """All rows of all files, with __file (as the scan names it, so that no text is made for each row) and __row."""
     data = spark.read.parquet(path)
     wanted = columns if columns is not None else data.columns
-    return data.select(*(F.col(f"`{c}`") for c in wanted), same_path(F.col("_metadata.file_path"), True).alias("__file"), F.col("_metadata.row_index").alias("__row"))
+    return data.select(*(F.col(f"`{c}`") for c in wanted), F.col("_metadata.file_path").alias("__file"), F.col("_metadata.row_index").alias("__row"))
 
 
 def numbered(spark: SparkSession, path: str, columns: list[str] | None = None) -> DataFrame:
@@ -34,7 +34,7 @@ def numbered(spark: SparkSession, path: str, columns: list[str] | None = None) -
     if len(spark.read.parquet(path).inputFiles()) < 2:
         return rows
     sizes = rows.groupBy("__file").agg((F.max("__row") + 1).alias("n"))
-    before = F.coalesce(F.sum("n").over(Window.orderBy("__file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    before = F.coalesce(F.sum("n").over(Window.orderBy(same_path("__file", True)).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     offsets = sizes.select("__file", before.alias("__before"))  # one row per file
     return rows.join(F.broadcast(offsets), "__file").withColumn("__row", F.col("__row") + F.col("__before")).drop("__before")
 
@@ -46,14 +46,15 @@ def sample(spark: SparkSession, path: str, columns: list[str] | None = None, max
     Files' own bounds are joined by full path, so equal names in different folders stay apart.
     """
     rows = whole(spark, path, columns).where(F.col("__row") < max_rows)
-    limits = file_summary(footer if footer is not None else footers(spark, path)).select(same_path("file").alias("__file"), F.get("rg_rows", F.lit(0)).alias("__first"))
+    limits = file_summary(footer if footer is not None else footers(spark, path)).select(same_path("file").alias("__place"), F.get("rg_rows", F.lit(0)).alias("__first"))
     some = limits.limit(FILES + 1).collect()
     if len(some) == 1:
         return rows.where(F.col("__row") < some[0][1])
     if len(some) <= FILES:
-        return rows.join(F.broadcast(spark.createDataFrame(some, limits.schema)), "__file").where(F.col("__row") < F.col("__first")).drop("__first")
+        limits = F.broadcast(spark.createDataFrame(some, limits.schema))
+    within = rows.withColumn("__place", same_path("__file", True)).join(limits, "__place").where(F.col("__row") < F.col("__first")).drop("__place", "__first")
     # A join that moves the rows loses their order.
-    return rows.join(limits, "__file").where(F.col("__row") < F.col("__first")).drop("__first").repartition("__file").sortWithinPartitions("__file", "__row")
+    return within if len(some) <= FILES else within.repartition("__file").sortWithinPartitions("__file", "__row")
 
 
 def sample_bytes(spark: SparkSession, content: bytes, columns: list[str] | None = None, max_rows: int = 2_000_000) -> DataFrame:

@@ -13,7 +13,7 @@ from tessera.functions import scalars
 from tessera.operators.advise import row_group_advice
 from tessera.operators.bench import bench
 from tessera.operators.diagnose import islands
-from tessera.operators.profile import group_counts, profile
+from tessera.operators.profile import distinct_counts, group_counts, profile
 from tessera.operators.sample import numbered, sample, sample_bytes, whole
 from tessera.plans.rules import override_codec
 from tessera.report import profiled, recommend, retune, tune
@@ -89,6 +89,23 @@ def test_sketch_by_column_and_file(spark, tmp_path):
     assert method == "hyperloglog" and abs(count - n) < 0.05 * n
 
 
+def test_nothing_is_made_of_a_file_name_for_each_row(spark, tmp_path):
+    rows = whole(spark, written(tmp_path, a=[1, 2, 2], b=pa.array([None, -0.0, float("nan")])))
+    for exact in (True, False):
+        counts = distinct_counts(rows, ["a", "b"], None, exact)
+        plan = counts._jdf.queryExecution().optimizedPlan().toString()
+        assert "_metadata" in plan and "regexp_replace" not in plan and "url_decode" not in plan.lower() and "hyperloglogplusplus" not in plan.lower()
+        assert sorted((r.i, r.distinct_count) for r in counts.collect()) == [(0, 2), (1, 2)]
+    assert profile(rows).first().file == f"{tmp_path}/t.parquet"
+
+
+def test_sketch_of_equal_and_missing_values(spark):
+    n = 20_000
+    rows = spark.range(n).select(F.lit("f").alias("__file"), F.col("id").alias("__row"), (F.col("id") % 7000).alias("a"), F.when(F.col("id") % 2 == 0, F.lit(-0.0)).otherwise(0.0).alias("zero"), F.lit(None).cast("long").alias("none"), F.concat(F.lit("x"), F.col("id")).alias("s"))
+    got = {r.i: r.distinct_count for r in distinct_counts(rows, ["a", "zero", "none", "s"], None, False).collect()}
+    assert abs(got[0] - 7000) < 350 and abs(got[3] - n) < 0.05 * n and (got[1], got[2]) == (1, 0)
+
+
 def test_patterns_and_entropy(spark, tmp_path):
     uuid = [f"{i:08x}-0000-4000-8000-{i:012X}" for i in range(50)]
     path = written(tmp_path, u=uuid, j=['  {"a": 1}'] * 40 + ["x"] * 10, b=pa.array([bytes([i]) for i in range(50)], pa.binary()))
