@@ -242,21 +242,25 @@ def group_counts(rows: DataFrame, columns: list[str], size: int) -> DataFrame:
     return parts.distinct().groupBy("g", "i").agg((F.sum(F.coalesce("done", F.lit(0))) + F.count("n") + F.count("d") + F.count("b")).alias("distinct_count"))
 
 
-def profile(rows: DataFrame, exact: bool | None = None) -> DataFrame:
+def profile(rows: DataFrame, exact: bool | None = None, counted: bool = True) -> DataFrame:
     """STATS of every comparable column of rows(…, __file, __row), as whole() and sample() give them.
 
     exact: whether values are counted one by one; by default where a column holds fewer than EXACT_BELOW in a file.
+    counted: without it no distinct values are counted, which take a scan and a shuffle for each column, and their figures are null.
     """
     columns = [f.name for f in rows.schema if comparable(f.dataType) and not f.name.startswith("__")]
     kinds = {c: rows.schema[c].dataType for c in columns}
     if not columns:
         return rows.sparkSession.createDataFrame([], STATS)
     found = runs(rows, columns, kinds)
-    if exact is None or any(isinstance(k, T.BinaryType) for k in kinds.values()):
+    if counted and exact is None or any(isinstance(k, T.BinaryType) for k in kinds.values()):
         found = found.cache()  # one row per file, split and column
     sums = stitched(found)
-    counts = distinct_counts(rows, columns, sums.select("file", "i", "some"), exact)
-    out = sums.join(counts, ["file", "i"], "left").withColumn("distinct_count", F.coalesce("distinct_count", F.lit(0).cast("long"))).withColumn("distinct_method", F.coalesce("distinct_method", F.lit("hyperloglog" if exact is False else "exact")))
+    if counted:
+        counts = distinct_counts(rows, columns, sums.select("file", "i", "some"), exact)
+        out = sums.join(counts, ["file", "i"], "left").withColumn("distinct_count", F.coalesce("distinct_count", F.lit(0).cast("long"))).withColumn("distinct_method", F.coalesce("distinct_method", F.lit("hyperloglog" if exact is False else "exact")))
+    else:
+        out = sums.withColumns({"distinct_count": F.lit(None).cast("long"), "distinct_method": F.lit(None).cast("string")})
     name = F.element_at(F.array(*(F.lit(c) for c in columns)), F.col("i") + 1)
     of = lambda kind: F.col("i").isin(*(i for i, c in enumerate(columns) if isinstance(kinds[c], kind)))
     text, some, mean = of(T.StringType), F.col("some"), F.col("total") / F.col("some")
@@ -265,7 +269,7 @@ def profile(rows: DataFrame, exact: bool | None = None) -> DataFrame:
     detected = lambda digits, least: F.coalesce(F.when(text & (F.length("flags") > 0), hits(digits) >= least), F.lit(False))
     out = out.select(
         "file", name.alias("column"), "n", (F.col("n") - some).alias("nulls"), share(F.col("n") - some, F.col("n"), 0.0).alias("null_fraction"),
-        "distinct_count", "distinct_method", share(F.col("distinct_count"), some, 0.0).alias("cardinality_ratio"),
+        "distinct_count", "distinct_method", (share(F.col("distinct_count"), some, 0.0) if counted else F.lit(None).cast("double")).alias("cardinality_ratio"),
         F.when(of(ORDERED), share(F.col("up"), F.col("pairs"), 0.0)).alias("monotonicity"),
         F.when(text, share(F.col("up"), F.col("pairs"), None)).alias("string_monotonicity"),
         share(F.col("same"), F.col("pairs"), 0.0).alias("run_length"),

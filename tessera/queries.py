@@ -37,9 +37,9 @@ def at(sf_dir: str, name: str) -> str:
     return f"{sf_dir}/{name}.parquet"
 
 
-def statistics(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """profile() of a whole table, with distinct values counted one by one."""
-    return profile(whole(spark, at(sf_dir, name), list(TABLES[name])), exact=True)
+def statistics(spark: SparkSession, sf_dir: str, name: str, counted: bool = True) -> DataFrame:
+    """profile() of a whole table, with distinct values counted one by one or, without counted, not at all."""
+    return profile(whole(spark, at(sf_dir, name), list(TABLES[name])), True, counted)
 
 
 def rounded(df: DataFrame, *names: str) -> list:
@@ -60,7 +60,7 @@ REALS = ("null_fraction", "cardinality_ratio", "monotonicity", "string_monotonic
 
 def statistic_query(stat: str, name: str):
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        out = statistics(spark, sf_dir, name).select("column", *STAT_COLUMNS[stat])
+        out = statistics(spark, sf_dir, name, counted=stat == "cardinality").select("column", *STAT_COLUMNS[stat])
         return out.select(*rounded(out, *REALS)).withColumnRenamed("column", "column_name")
 
     return query
@@ -132,13 +132,13 @@ def codec_sql(engine: str, priority: str) -> str:
 
 
 def json_pattern_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return profile(whole(spark, at(sf_dir, "events"), ["props"]), exact=True).select(F.col("column").alias("column_name"), "uuid_detected", "json_detected")
+    return profile(whole(spark, at(sf_dir, "events"), ["props"]), exact=True, counted=False).select(F.col("column").alias("column_name"), "uuid_detected", "json_detected")
 
 
 def uuid_pattern_derived(spark: SparkSession, sf_dir: str) -> DataFrame:
     h = F.md5(F.col("o_orderkey").cast("string"))
     rows = whole(spark, at(sf_dir, "orders"), ["o_orderkey"]).select(F.concat_ws("-", F.substring(h, 1, 8), F.substring(h, 9, 4), F.substring(h, 13, 4), F.substring(h, 17, 4), F.substring(h, 21, 12)).alias("id"), "__file", "__row")
-    return profile(rows, exact=True).select(F.col("column").alias("column_name"), "uuid_detected", "json_detected")
+    return profile(rows, exact=True, counted=False).select(F.col("column").alias("column_name"), "uuid_detected", "json_detected")
 
 
 def byte_entropy_derived(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -99,6 +99,16 @@ def test_nothing_is_made_of_a_file_name_for_each_row(spark, tmp_path):
     assert profile(rows).first().file == f"{tmp_path}/t.parquet"
 
 
+def test_values_are_counted_where_asked_for(spark):
+    """Figures of order, lengths and patterns take one scan, and are the same with values counted."""
+    rows = whole(spark, f"{SF}/events.parquet")
+    drop = ("distinct_count", "distinct_method", "cardinality_ratio")
+    assert sorted(map(str, profile(rows, True, False).drop(*drop).collect())) == sorted(map(str, profile(rows, True).drop(*drop).collect()))
+    for stat in queries.STAT_COLUMNS:
+        plan = queries.queries()[f"{stat}_lineitem"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+        assert (plan.count("Relation [") == 1) == (stat != "cardinality")
+
+
 def test_sketch_of_equal_and_missing_values(spark):
     n = 20_000
     rows = spark.range(n).select(F.lit("f").alias("__file"), F.col("id").alias("__row"), (F.col("id") % 7000).alias("a"), F.when(F.col("id") % 2 == 0, F.lit(-0.0)).otherwise(0.0).alias("zero"), F.lit(None).cast("long").alias("none"), F.concat(F.lit("x"), F.col("id")).alias("s"))
